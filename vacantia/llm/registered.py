@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vacantia.llm import decontaminate
+from vacantia.llm import decontaminate, jaccard
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -13,8 +13,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicate_components(table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op10_decontamination": op10_decontamination}
+QUERIES = {"op7_ngram_jaccard": op7_ngram_jaccard, "op10_decontamination": op10_decontamination}
