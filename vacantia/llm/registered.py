@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vacantia.llm import decontaminate, jaccard
+from vacantia.llm import decontaminate, jaccard, mixing, tokenbin
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -13,6 +13,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokenbin.token_table_report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(table(spark, sf_dir, "documents"))
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicate_components(table(spark, sf_dir, "documents"), n=3, percent=90)
 
@@ -21,4 +31,4 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op7_ngram_jaccard": op7_ngram_jaccard, "op10_decontamination": op10_decontamination}
+QUERIES = {"op1_token_ids": op1_token_ids, "op6_source_mix": op6_source_mix, "op7_ngram_jaccard": op7_ngram_jaccard, "op10_decontamination": op10_decontamination}
