@@ -79,8 +79,11 @@ def slices(batch: pa.RecordBatch, text: str, most: int = SLICE) -> Iterator[tupl
         at = to
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprints of all words in order, and for each text the index of its first word (with one more at the end)."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, values: np.ndarray, prefix: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints of all words in order, and for each text the index of its first word (with one more at the end).
+
+    With prefix, each word is followed by the fingerprint of its first `prefix` bytes, as a term of its own, and indexes count both.
+    """
     found, places, at = [], [], 0
     starts_of_texts = np.unique(offsets[:-1])
     while at < len(data):
@@ -109,9 +112,14 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, values: np.ndarray) -> tu
         np.cumsum(v, out=v)
         h = v[last]
         h[first > 0] -= v[first[first > 0] - 1]
-        found.append(mix(h * inverse[first]))
+        h = mix(h * inverse[first])
+        if prefix:
+            start = v[np.minimum(first + prefix - 1, last)]
+            start[first > 0] -= v[first[first > 0] - 1]
+            h = np.stack([h, mix(start * inverse[first] + np.uint64(prefix))], axis=1).reshape(-1)
+        found.append(h)
         places.append(first + at)
         at = to
     hashes = np.concatenate(found) if found else np.zeros(0, np.uint64)
     place = np.concatenate(places) if places else np.zeros(0, np.int64)
-    return hashes, np.searchsorted(place, offsets)
+    return hashes, np.searchsorted(place, offsets) * (2 if prefix else 1)
