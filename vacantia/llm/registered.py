@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vacantia.llm import decontaminate, jaccard, mixing, tokenbin
+from vacantia.llm import decontaminate, jaccard, mixing, quality, tokenbin, toxicity
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -19,6 +19,10 @@ def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.token_table_report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
@@ -27,8 +31,12 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicate_components(table(spark, sf_dir, "documents"), n=3, percent=90)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op1_token_ids": op1_token_ids, "op6_source_mix": op6_source_mix, "op7_ngram_jaccard": op7_ngram_jaccard, "op10_decontamination": op10_decontamination}
+QUERIES = {"op1_token_ids": op1_token_ids, "op5_quality": op5_quality, "op6_source_mix": op6_source_mix, "op7_ngram_jaccard": op7_ngram_jaccard, "op8_toxicity": op8_toxicity, "op10_decontamination": op10_decontamination}
