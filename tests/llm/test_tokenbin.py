@@ -39,6 +39,15 @@ def tok():
     return x
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(st.sampled_from("ab1 .,!\t\n\r\x0b\x1c\xa0\u2003é'sß<|endoftext|>"), max_size=30) | st.text(max_size=20), max_size=5))
+def test_pieces_are_whole_texts(tok, texts):
+    encoder = t.PieceEncoder(public.path("byte_bpe_50k.json")) if not hasattr(test_table, "encoder") else test_table.encoder
+    test_table.encoder = encoder
+    texts = [x.encode("utf-8", "ignore").decode() for x in texts]
+    assert [i.tolist() for i in encoder.encode(texts)] == [tok.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 def test_table(spark, tok):
     d = pq.read_table("/root/testdata/sf0.001/documents.parquet").to_pandas()
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")

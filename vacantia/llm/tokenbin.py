@@ -14,8 +14,13 @@ and are written with the smallest 64-bit number as theirs.
 
 from __future__ import annotations
 
+import itertools
+import json
+import os
+import re
 import zlib
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -60,36 +65,86 @@ def decode(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
+class PieceEncoder:
+    """A byte-level BPE tokenizer with a memory of the pieces of text it has encoded.
+
+    Such tokenizers split a text before they merge bytes, and no token reaches over the start of a run of blanks. So a text's ids are those of
+    its pieces (blanks, then other characters) one after the other, and most pieces repeat. Texts with other white space are encoded whole.
+    """
+
+    PIECE = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
+    OTHER_SPACE = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+    #: Pieces remembered.
+    MOST = 600_000
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        parts = json.loads(Path(path).read_text())
+        self.by_piece = (parts.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and not parts["pre_tokenizer"].get("add_prefix_space") and parts["pre_tokenizer"].get("use_regex", True) and not parts.get("normalizer") and not parts["model"].get("dropout")
+        self.number, self.flat, self.start = {}, np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text."""
+        number, own, fresh, known = self.number, [], [], len(self.number)
+        get = number.get
+        for t in texts:
+            pieces = self.PIECE.findall(t) if self.by_piece and not self.OTHER_SPACE.search(t) else [t] if t else []
+            k = list(map(get, pieces))
+            if None in k:
+                for i, p in enumerate(pieces):
+                    if k[i] is None:
+                        if (at := get(p)) is None:
+                            at = number[p] = len(number)
+                            fresh.append(p)
+                        k[i] = at
+            own.append(np.array(k, np.int64))
+        if fresh:
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
+            self.start = np.append(self.start, self.start[-1] + np.cumsum(list(map(len, ids))))
+            self.flat = np.append(self.flat, np.fromiter(itertools.chain.from_iterable(ids), np.uint32))
+        out = []
+        for k in own:
+            at, n = self.start[k], self.start[k + 1] - self.start[k]
+            out.append(self.flat[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(at, n)])
+        if known + len(fresh) > self.MOST:  # the frequent ones came first
+            for p in fresh:
+                del number[p]
+            self.start, self.flat = self.start[: known + 1], self.flat[: self.start[known]]
+        return out
+
+
+#: One in each Python worker.
+_encoders: dict[str, PieceEncoder] = {}
+
+
 def tokenized(batches: Iterator[pa.RecordBatch], tokenizer_path: str, end_id: int) -> Iterator[pa.RecordBatch]:
     """Blocks of raw ids, in the order of the rows: part, start, docs, counts, n, ids."""
     from pyspark import TaskContext
-    from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(tokenizer_path)
-    tokenizer.encode_special_tokens = True
-    part, start = TaskContext.get().partitionId(), 0
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+    if tokenizer_path not in _encoders:
+        _encoders[tokenizer_path] = PieceEncoder(tokenizer_path)
+    encoder = _encoders[tokenizer_path]
+    part, start, total = TaskContext.get().partitionId(), 0, 0
     docs: list[int] = []
-    counts: list[int] = []
     ids: list[np.ndarray] = []
 
     def block() -> pa.RecordBatch:
-        flat = np.concatenate(ids)
-        row = [part, start, np.array(docs, "<i8").tobytes(), np.array(counts, "<u4").tobytes(), len(flat), flat.astype("<u4").tobytes()]
+        row = [part, start, np.array(docs, "<i8").tobytes(), np.array([len(i) for i in ids], "<u4").tobytes(), total, np.concatenate(ids).astype("<u4").tobytes()]
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary()), strict=True)], names=["part", "start", "docs", "counts", "n", "ids"])
 
     for batch in batches:
         for rows, _, _ in slices(batch, "text", 1 << 18):
-            texts = [t or "" for t in rows.column(1).to_pylist()]
-            for doc, e in zip(rows.column(0).to_pylist(), tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-                own = e.ids
-                own.append(end_id)
+            for doc, own in zip(rows.column(0).to_pylist(), encoder.encode([t or "" for t in rows.column(1).to_pylist()]), strict=True):
                 docs.append(-(1 << 63) if doc is None else doc)
-                counts.append(len(own))
-                ids.append(np.array(own, np.uint32))
-            if sum(counts) >= BLOCK_IDS:
+                ids.append(np.append(own, np.uint32(end_id)))
+                total += len(own) + 1
+            if total >= BLOCK_IDS:
                 yield block()
-                start += sum(counts)
-                docs, counts, ids = [], [], []
+                start, total, docs, ids = start + total, 0, [], []
     if docs:
         yield block()
 
