@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vacantia.llm import decontaminate, jaccard, language, mixing, quality, tokenbin, topk, toxicity
+from vacantia.llm import decontaminate, jaccard, language, mixing, pii, quality, tokenbin, topk, toxicity
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -19,6 +19,10 @@ def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.token_table_report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data_report(table(spark, sf_dir, "documents"))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
 
@@ -44,8 +48,8 @@ def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL["op9_exact_top_k"] = """
-WITH v AS (SELECT vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL),
-s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), p -> p[1] * p[2])) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
@@ -55,4 +59,4 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op1_token_ids": op1_token_ids, "op4_language": op4_language, "op5_quality": op5_quality, "op6_source_mix": op6_source_mix, "op7_ngram_jaccard": op7_ngram_jaccard, "op8_toxicity": op8_toxicity, "op9_exact_top_k": op9_exact_top_k, "op10_decontamination": op10_decontamination}
+QUERIES = {"op1_token_ids": op1_token_ids, "op2_personal_data": op2_personal_data, "op4_language": op4_language, "op5_quality": op5_quality, "op6_source_mix": op6_source_mix, "op7_ngram_jaccard": op7_ngram_jaccard, "op8_toxicity": op8_toxicity, "op9_exact_top_k": op9_exact_top_k, "op10_decontamination": op10_decontamination}
