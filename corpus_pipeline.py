@@ -3,22 +3,51 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vacantia.llm import decontaminate
+from vacantia.llm import decontaminate, jaccard, mixing, tokenbin, toxicity
+from vacantia.llm.shared import Scratch
 
 
-def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the nearest labelled examples don't call toxic."""
+    return toxicity.without_toxic(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest id, and of several rows with that id one."""
+    found = jaccard.near_duplicate_components(docs, n=3, percent=90)
+    kept = found.where("doc_id is null or doc_id = component_id").select(F.col("doc_id").alias("_kept")).where("_kept is not null").distinct()
+    named = docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
+    return named.select(docs.columns).union(docs.where("doc_id is null"))
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark passage to speak of."""
     return decontaminate.remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-STAGES = [("decontamination", decontamination)]
-#: Several stages have no SQL form; tests/llm hold run() against brute force.
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The sources at their target weights: some documents left out, some taken twice."""
+    return mixing.mixed(docs)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token table of the mix, written and read back: doc_id, start, n_tokens, ids_crc32."""
+    import public_tokenizers
+
+    return tokenbin.token_table_report(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [("toxicity", without_toxic), ("ngram_jaccard", one_of_each_group), ("decontamination", decontaminated), ("source_mix", mixed), ("token_ids", token_ids)]
+#: Nearest neighbours, components, the cube method and tokenizers have no SQL form: tests/llm/test_pipeline.py holds run() against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    scratch, docs = Scratch(spark), spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = scratch.write(docs, f"{k}_{name}")
     return docs
