@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vacantia.llm import decontaminate, jaccard, language, mixing, pii, quality, tokenbin, topk, toxicity
+from vacantia.llm import decontaminate, jaccard, language, mixing, pii, quality, repeats, tokenbin, topk, toxicity
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -23,6 +23,10 @@ def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data_report(table(spark, sf_dir, "documents"))
 
 
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeated_spans(table(spark, sf_dir, "documents"))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
 
@@ -59,4 +63,4 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op1_token_ids": op1_token_ids, "op2_personal_data": op2_personal_data, "op4_language": op4_language, "op5_quality": op5_quality, "op6_source_mix": op6_source_mix, "op7_ngram_jaccard": op7_ngram_jaccard, "op8_toxicity": op8_toxicity, "op9_exact_top_k": op9_exact_top_k, "op10_decontamination": op10_decontamination}
+QUERIES = {"op1_token_ids": op1_token_ids, "op2_personal_data": op2_personal_data, "op3_repeats": op3_repeats, "op4_language": op4_language, "op5_quality": op5_quality, "op6_source_mix": op6_source_mix, "op7_ngram_jaccard": op7_ngram_jaccard, "op8_toxicity": op8_toxicity, "op9_exact_top_k": op9_exact_top_k, "op10_decontamination": op10_decontamination}
