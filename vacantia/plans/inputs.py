@@ -89,7 +89,7 @@ _OUTREACH = {
     "name": f"concat({pick(_FIRST, 'c_custkey % 7')}, ' ', {pick(_LAST, 'c_custkey % 5')})",
     "email": "concat(CASE c_custkey % 6 " + " ".join(f"WHEN {k} THEN {f.format(*_NAME)}" for k, f in enumerate(_FORMS)) + " END, '@d', CAST(c_nationkey % 9 AS VARCHAR(10)), '.example.com')",
     "result": pick(("delivered", "bounced", "replied"), "c_custkey % 3"),
-    "at": "c_custkey",
+    "sent_no": "c_custkey",
 }
 
 
