@@ -20,7 +20,6 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -75,15 +74,15 @@ class PieceEncoder:
     PIECE = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
     OTHER_SPACE = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
     #: Pieces remembered.
-    MOST = 600_000
+    MOST = 400_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        parts = json.loads(Path(path).read_text())
-        self.by_piece = (parts.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and not parts["pre_tokenizer"].get("add_prefix_space") and parts["pre_tokenizer"].get("use_regex", True) and not parts.get("normalizer") and not parts["model"].get("dropout")
+        kind = json.loads(self.tokenizer.pre_tokenizer.__getstate__()) if self.tokenizer.pre_tokenizer else {}
+        self.by_piece = kind.get("type") == "ByteLevel" and not kind.get("add_prefix_space") and kind.get("use_regex", True) and self.tokenizer.normalizer is None and not getattr(self.tokenizer.model, "dropout", None)
         self.number, self.flat, self.start = {}, np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
