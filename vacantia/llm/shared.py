@@ -32,9 +32,9 @@ class Scratch:
 def bit_filter(df: DataFrame, key: Column, bits: int = 24) -> np.ndarray:
     """Bitmap of 2**bits bits over the keys' low bits. It passes all keys of df and, the more of it is set, others too: what it passes still has to be joined."""
     low = key.bitwiseAND(F.lit((1 << bits) - 1))
-    rows = df.select(F.shiftright(low, 6).alias("slot"), F.expr("1L").alias("one"), low.bitwiseAND(F.lit(63)).cast("int").alias("bit")).groupBy("slot").agg(F.expr("bit_or(shiftleft(one, bit))").alias("word")).toPandas()
+    rows = df.select(F.shiftright(low, 6).alias("slot"), F.expr("1L").alias("one"), low.bitwiseAND(F.lit(63)).cast("int").alias("bit")).groupBy("slot").agg(F.expr("bit_or(shiftleft(one, bit))").alias("word")).toArrow()
     words = np.zeros(1 << (bits - 6), np.uint64)
-    words[rows.slot.to_numpy(np.int64)] = rows.word.to_numpy(np.int64).view(np.uint64)
+    words[rows["slot"].to_numpy()] = rows["word"].to_numpy().view(np.uint64)
     return words
 
 
