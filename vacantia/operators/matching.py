@@ -119,7 +119,7 @@ def score_profiles(profiles: DataFrame, id_col: str = "profile_id", text_col: st
 
 def letter_requirement(description: Column) -> Column:
     """required, optional, mentioned, not_mentioned or unknown."""
-    said = F.regexp_extract(description, r"(?i)([^.\n]*(?:cover letter|covering letter|motivation letter|letter of motivation)[^.\n]*(?:[.]|$))", 1)
+    said = F.coalesce(F.get(F.filter(F.split(description, r"(?<=[.])|\n"), lambda v: v.rlike(r"(?i)cover letter|covering letter|motivation letter|letter of motivation")), F.lit(0)), F.lit(""))
     return F.when(F.trim(F.coalesce(description, F.lit(""))) == "", "unknown").when(said == "", "not_mentioned").when(said.rlike(r"(?i)\b(?:required|must|mandatory|please (?:submit|include|attach)|submit .*cover)"), "required").when(said.rlike(r"(?i)\boptional\b"), "optional").otherwise("mentioned")
 
 
