@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vacantia.llm.shared import modest_batches
 from vacantia.llm.words import ALNUM, slices, word_hashes
 
 WINDOW = 13
@@ -145,6 +146,7 @@ def shard_matches(hashes: np.ndarray, first: np.ndarray, block: TestBlock) -> tu
 
 def test_blocks(benchmark: DataFrame, window: int, item_col: str, text_col: str, block_words: int) -> list:
     """The benchmark in broadcast blocks. Its rows pass the driver one block at a time."""
+    modest_batches(benchmark.sparkSession)
     sc, out, ids, hashes, n = benchmark.sparkSession.sparkContext, [], [], [], 0
     for r in benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("i is not null").toLocalIterator():
         data = np.frombuffer((r.t or "").encode(), np.uint8)

@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vacantia.llm.shared import modest_batches
+
 
 def held_out(doc_id: Column) -> Column:
     """The third of the ids whose labels are never learnt from; a null id is not held out."""
@@ -18,6 +20,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, m
     Rows are taken in the order of a hash of the id, so that reruns agree. Several labels of an id count as the largest. An id that
     stands at several documents gives that many rows.
     """
+    modest_batches(docs.sparkSession)
     known = labels.where(~held_out(F.col("doc_id"))).where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).alias("y"))
     count = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
     few = min(count.get(0, 0), count.get(1, 0), most // 2)

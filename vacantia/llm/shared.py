@@ -9,6 +9,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows of an Arrow batch where the session leaves Spark's default: documents are long, and a batch is held by the JVM and by Python.
+BATCH_ROWS = 1000
+
+
+def modest_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches of texts to a few MB, unless the session sets their size."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 class Scratch:
     """Tables of one run, written as Parquet under the checkpoint folder so that lost executors cost no recomputation.
 
@@ -17,6 +28,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+        modest_batches(spark)
         self.spark, self.path = spark, f"{base.rstrip('/')}/stage-{uuid.uuid4().hex}"
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
