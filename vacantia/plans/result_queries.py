@@ -225,3 +225,14 @@ def outbox_final(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _events(spark, sf_dir)
     attempts = e.where("event_type <> 'view'").selectExpr("user_id as job_id", "ts", "event_id as attempt_id", f"{_TRIES} as outcome")
     return ev.outbox_final(e.selectExpr("user_id as job_id", "ts as at"), attempts).select("job_id", "status", "attempts")
+
+
+@query(ORACLE_SQL["outbox_final"].replace("SELECT f.job_id, CASE", "SELECT status, count(*) AS n FROM (SELECT f.job_id, CASE") + ") z GROUP BY status")
+def outbound_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ev.outbound_summary(outbox_final(spark, sf_dir))
+
+
+@query("SELECT application_id, status, confidence, n FROM (SELECT o_orderkey AS application_id, CASE o_orderkey % 4 WHEN 0 THEN 'applied' WHEN 1 THEN 'offer' ELSE 'saved' END AS status, CAST(least(greatest(o_orderkey % 300 - 100, 0), 100) AS BIGINT) AS confidence, CAST(least(o_orderkey % 9 + 1, 6) AS INTEGER) AS n FROM orders) z")
+def applications_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_orderkey as application_id", "case o_orderkey % 4 when 0 then 'applied' when 1 then 'offer' when 2 then 'lost?' end as status", "o_orderkey % 300 - 100 as confidence", "transform(sequence(1, cast(o_orderkey % 9 + 1 as int)), i -> named_struct('at', date_add(to_date(o_orderdate), i), 'sent', false)) as follow_ups")
+    return ct.clean_applications(a).select("application_id", "status", F.col("confidence").cast("long").alias("confidence"), F.size("follow_ups").alias("n"))

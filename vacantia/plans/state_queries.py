@@ -195,3 +195,20 @@ def segment_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_COV + f" SELECT DISTINCT concat('Company ', CAST(connector_id AS VARCHAR)) AS company FROM c WHERE latest_status = 'complete' AND concat('Company ', CAST(connector_id AS VARCHAR)) NOT IN (SELECT company FROM ({POSTINGS}) p)")
 def coverage_without_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cov.coverage_without_roles(cov.coverage(runs(spark, sf_dir)).withColumn("company", F.expr("concat('Company ', connector_id)")), postings(spark, sf_dir))
+
+
+_HOSTS = "SELECT company, detail_url, CASE WHEN k IS NOT NULL THEN concat('c', CAST(k AS VARCHAR), '.example.org') WHEN posting_id % 3 = 0 THEN NULL ELSE 'jobs.example.com' END AS employer_domain, posting_id FROM"
+
+
+@query(f"{_HOSTS} ({POSTINGS}) p LEFT JOIN (SELECT n_nationkey AS k FROM nation WHERE n_nationkey < 10) n ON company = concat('Company ', CAST(k AS VARCHAR))".replace("SELECT company, detail_url, ", "SELECT "))
+def employer_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    catalog = spark.read.parquet(f"{sf_dir}/nation.parquet").where("n_nationkey < 10").selectExpr("concat('Company ', n_nationkey) as name", "concat('https://www.c', n_nationkey, '.example.org/careers') as url")
+    jobs = postings(spark, sf_dir).withColumn("detail_url", F.expr("case when posting_id % 3 = 0 then 'https://in.linkedin.com/jobs/1' else detail_url end"))
+    return link.employer_domain(jobs, catalog).select("posting_id", "employer_domain")
+
+
+@query(f"WITH s AS (SELECT listing_id % 700 AS job_id, connector_id, listing_id, run_no, listing_id % 3 = 0 AS official, seen_at FROM ({SIGHTINGS}) x WHERE run_no % 2 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY official DESC, seen_at DESC, concat(CAST(listing_id AS VARCHAR), '-', CAST(connector_id AS VARCHAR), '-', CAST(run_no AS VARCHAR))) AS n FROM s), f AS (SELECT job_id, concat(CAST(listing_id AS VARCHAR), '-', CAST(connector_id AS VARCHAR), '-', CAST(run_no AS VARCHAR)) AS first_source FROM r WHERE n = 1), c AS (SELECT job_id, count(*) AS n_sources FROM s GROUP BY ALL) SELECT j.job_id, coalesce(n_sources, 0) AS n_sources, first_source, 'India location,Finance relevance confirmed,' || CASE WHEN j.job_id % 2 = 0 THEN '0-2 years' ELSE 'Up to 1.5 years' END AS evidence FROM (SELECT DISTINCT listing_id % 700 AS job_id FROM ({SIGHTINGS}) z) j LEFT JOIN f USING (job_id) LEFT JOIN c USING (job_id)")
+def presented_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sources = sightings(spark, sf_dir).selectExpr("listing_id % 700 as job_id", "concat(listing_id, '-', connector_id, '-', run_no) as source_id", "listing_id % 3 = 0 as is_official", "seen_at as verified_at", "'' as apply_url", "run_no % 2 = 0 as active")
+    jobs = sources.selectExpr("job_id", "'india' as location_status", "'exact' as domain_status", "'zero_to_two' as experience_status", "case when job_id % 2 = 0 then 0.0D end as minimum_years", "case when job_id % 2 = 0 then 2.0D else 1.5D end as maximum_years").distinct()
+    return cov.present_jobs(jobs, sources).select("job_id", F.size("sources").cast("long").alias("n_sources"), F.try_element_at("sources", F.lit(1))["source_id"].alias("first_source"), F.array_join("evidence", ",").alias("evidence"))
