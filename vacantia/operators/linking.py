@@ -34,6 +34,22 @@ def link_observations(obs: DataFrame, jobs: DataFrame, shared_urls: DataFrame |
     return all_.select(*[obs[c] for c in obs.columns], F.coalesce(F.expr(case(1, quoted)), F.lit("pending")).alias("link_status"), F.expr(case(2, plain)).alias("job_id"), F.expr(case(3, quoted)).alias("matched_by"))
 
 
+def group_pending(pending: DataFrame, rounds: int = 3) -> DataFrame:
+    """(obs_id, new_job): observations that no job matches, grouped by shared employer id, URL or title, place and day within a company; new_job is the smallest
+    obs_id that `rounds` steps over shared keys reach.
+    """
+    company = normal_text(F.col("company"))
+    mark = lambda kind, *parts: F.md5(F.concat_ws("|", company, F.lit(kind), *parts))
+    day = F.coalesce(F.to_date("posted_at").cast("string"), F.lit(""))
+    keys = F.array_compact(F.array(F.when(F.col("employer_job_id").isNotNull(), mark("id", F.col("employer_job_id"))), *[F.when(F.col(c) != "", mark("url", canonical_url(F.col(c)))) for c in ("detail_url", "apply_url")], mark("print", normal_text(F.col("title")), normal_text(F.col("location")), day)))
+    held = pending.select("obs_id", F.explode(F.array_distinct(keys)).alias("key"))
+    label = pending.select("obs_id", F.col("obs_id").alias("new_job"))
+    for _ in range(rounds):
+        least = held.join(label, "obs_id").groupBy("key").agg(F.min("new_job").alias("new_job"))
+        label = held.join(least, "key").groupBy("obs_id").agg(F.min("new_job").alias("new_job"))
+    return label
+
+
 def merge_canonical(jobs: DataFrame, obs: DataFrame) -> DataFrame:
     """jobs with the fields of their linked observation (job_id, is_official, verified_at, fields): an official one that is not older replaces what it has, any other only fills gaps."""
     fields = ("title", "location", "description", "category")

@@ -212,3 +212,11 @@ def presented_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     sources = sightings(spark, sf_dir).selectExpr("listing_id % 700 as job_id", "concat(listing_id, '-', connector_id, '-', run_no) as source_id", "listing_id % 3 = 0 as is_official", "seen_at as verified_at", "'' as apply_url", "run_no % 2 = 0 as active")
     jobs = sources.selectExpr("job_id", "'india' as location_status", "'exact' as domain_status", "'zero_to_two' as experience_status", "case when job_id % 2 = 0 then 0.0D end as minimum_years", "case when job_id % 2 = 0 then 2.0D else 1.5D end as maximum_years").distinct()
     return cov.present_jobs(jobs, sources).select("job_id", F.size("sources").cast("long").alias("n_sources"), F.try_element_at("sources", F.lit(1))["source_id"].alias("first_source"), F.array_join("evidence", ",").alias("evidence"))
+
+
+_ROUND = "l{b} AS (SELECT obs_id, min(m) AS j FROM k JOIN (SELECT key, min(j) AS m FROM k JOIN l{a} USING (obs_id) GROUP BY key) g USING (key) GROUP BY obs_id)"
+
+
+@query(f"WITH o AS ({_OBS}), k AS (SELECT obs_id, concat(company, 'i', employer_job_id) AS key FROM o WHERE employer_job_id IS NOT NULL UNION ALL SELECT obs_id, concat(company, 'u', url) FROM o UNION ALL SELECT obs_id, concat(company, 'f', title, '|', location, '|', CAST(CAST(posted_at AS DATE) AS VARCHAR)) FROM o), l0 AS (SELECT obs_id, obs_id AS j FROM o), {_ROUND.format(a=0, b=1)}, {_ROUND.format(a=1, b=2)}, {_ROUND.format(a=2, b=3)} SELECT obs_id, j AS new_job FROM l3")
+def new_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link.group_pending(_linkable(spark, sf_dir)[0])

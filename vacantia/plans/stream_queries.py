@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vacantia.plans.result_queries import _TRIES
 from vacantia.streaming import events as ev
-from vacantia.streaming.run import run_available
+from vacantia.streaming.run import run_available, shared_folder
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,5 +32,14 @@ def stream_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_available(ev.stream_stale(events(spark, sf_dir).selectExpr("user_id % 40 as connector_id", "ts"), 50))
 
 
-QUERIES = {f.__name__: f for f in (stream_cooldown, stream_outbox, stream_rate, stream_stale)}
+def stream_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inventory after all batches: one row for each listing (here: user), its latest event as its metadata."""
+    seen = events(spark, sf_dir).selectExpr("user_id as listing_id", "md5(event_type) as metadata_hash", "'queued' as hydration_status", "cast(null as timestamp) as hydrated_at", "ts as first_seen_at", "ts as last_seen_at")
+    folder, now = shared_folder(spark), []
+    query = ev.stream_inventory(seen, f"{folder}/inventory", f"{folder}/state", ["listing_id"], lambda: spark.read.parquet(now[-1]) if now else None, now.append)
+    query.awaitTermination()
+    return spark.read.parquet(now[-1])
+
+
+QUERIES = {f.__name__: f for f in (stream_cooldown, stream_inventory, stream_outbox, stream_rate, stream_stale)}
 ORACLE_SQL: dict[str, str] = {}

@@ -179,7 +179,8 @@ def stream_inventory(source: DataFrame, path: str, checkpoint: str, keys: list[s
 
     def batch(df: DataFrame, _: int) -> None:
         old = read()
-        one = df.dropDuplicates(keys)
+        newest = Window.partitionBy(*keys).orderBy(F.desc("last_seen_at"), "metadata_hash")
+        one = df.withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n")
         new = one if old is None else apply_snapshot(old, one, keys)
         published(write_snapshot(old, new, path, keys))
 
