@@ -8,6 +8,8 @@ chance of about 2**-60 a pair.
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +20,19 @@ CHUNK = 1 << 20
 #: Bytes of text that one slice of an Arrow batch holds, if it has more than one row.
 SLICE = 2 << 20
 
+_libc = ctypes.CDLL(None) if sys.platform == "linux" else None
+if hasattr(_libc, "mallopt"):
+    # M_MMAP_THRESHOLD: arrays of a MB or more go back to the system when they are freed, instead of staying with a reused worker.
+    _libc.mallopt(-3, 1 << 20)
+
+
+def give_back() -> None:
+    """Return free memory to the system: Python workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
 _R = 0x9E3779B97F4A7C13  # odd, 3 modulo 8
 _RINV = pow(_R, -1, 1 << 64)
 
@@ -77,6 +92,7 @@ def slices(batch: pa.RecordBatch, text: str, most: int = SLICE) -> Iterator[tupl
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1)
         yield batch.slice(at, to - at), data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
         at = to
+    give_back()
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray, values: np.ndarray, prefix: int = 0) -> tuple[np.ndarray, np.ndarray]:
