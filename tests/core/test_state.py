@@ -91,3 +91,27 @@ def test_coverage_and_diagnostics(spark):
     n = lambda k: spark.createDataFrame([(1, "u" if i % 2 else "") for i in range(k)], "run_id int, apply_url string")
     d = coverage.run_diagnostic(n(5), n(4), n(3), n(1)).first()
     assert (d.candidates_selected, d.details_due, d.details_fetched, d.details_backlogged, d.apply_urls_resolved, d.jobs_created, d.hydration_status) == (5, 4, 3, 1, 1, 1, "partial")
+
+
+def test_observations_and_signals(spark):
+    listings = spark.createDataFrame([("a", "1", "Analyst", "https://x/1"), ("a", "2", "Clerk", "https://x/2"), ("a", "3", "", "https://x/3")], "connector_id string, source_external_id string, title string, detail_url string")
+    details = spark.createDataFrame([("a", "1", "text", None), ("a", "2", "  ", None), ("a", "3", "text", None)], "connector_id string, source_external_id string, description string, apply_url string")
+    good, bad = extract.build_observations(listings, details)
+    assert [r.source_external_id for r in good.collect()] == ["1"]
+    assert {r.source_external_id: list(r.missing) for r in bad.collect()} == {"2": ["description"], "3": ["title"]}
+    signals = contacts.clean_signals(spark.createDataFrame([("https://a", "Co", "odd", None, T(1)), ("https://a", "Co", "event", "n", T(2)), ("http://b", "Co", "event", "n", T(2)), ("https://c", " ", "event", "n", T(2))], "url string, company string, type string, note string, at timestamp"))
+    assert [(r.url, r.type, r.at) for r in signals.collect()] == [("https://a", "event", T(2))]
+    assert [(r.status, r.verified) for r in contacts.signals_to_applications(signals).collect()] == [("saved", False)]
+
+
+def test_pending_groups_and_feed_merge(spark):
+    obs = spark.createDataFrame([(1, "A", "E1", "x", "p", T(1), "https://x.com/1", ""), (2, "A", "E1", "y", "q", T(2), "https://x.com/2", ""), (3, "A", None, "z", "r", T(3), "https://x.com/2/", ""), (4, "B", "E1", "x", "p", T(1), "https://x.com/1", "")], "obs_id int, company string, employer_job_id string, title string, location string, posted_at timestamp, detail_url string, apply_url string")
+    assert {r.obs_id: r.new_job for r in linking.group_pending(obs).collect()} == {1: 1, 2: 1, 3: 1, 4: 4}
+
+
+def test_lifecycle(spark):
+    sources = spark.createDataFrame([(1, "c", "a", True), (2, "c", "b", True), (3, "d", "x", False), (4, "d", "y", True)], "job_id int, connector_id string, listing_id string, active boolean")
+    inventory = spark.createDataFrame([("c", "a", True)], "connector_id string, listing_id string, active boolean")
+    jobs = spark.createDataFrame([(1, T(1)), (2, None), (3, None), (4, T(1)), (5, T(1))], "job_id int, closed_at timestamp")
+    got = {r.job_id: r.closed_at for r in lifecycle.reconcile_lifecycle(sources, inventory, jobs, "c", F.lit(T(9))).collect()}
+    assert got == {1: None, 2: T(9), 3: None, 4: None, 5: T(1)}
