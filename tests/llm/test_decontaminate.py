@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import pandas as pd
@@ -65,3 +66,15 @@ def test_locations(spark):
     d = spark.createDataFrame(pd.DataFrame({"doc_id": [1], "text": ["pre fix " + " ".join(text.split()[5:25]) + " end"]}))
     b = spark.createDataFrame(pd.DataFrame({"item_id": [9], "text": [text]}))
     assert [tuple(m) for m in find_matches(d, b).first().matches] == [("9", 5, 2, 20)]
+
+
+def test_fragments_that_leave_an_item_and_go_on_in_its_words(spark):
+    item = [f"t{i}" for i in range(13)]
+    broken = " ".join(item[:3] + ["t8"])
+    rng = random.Random(5)
+    mixed = [" ".join(w for _ in range(12) for k in [rng.randrange(13)] for w in (item if rng.random() < 0.2 else item[k : k + rng.randrange(1, 9)])) for _ in range(300)]
+    for texts in ([broken, " ".join(item)], [broken] * 3 + [" ".join(item)], [broken] * 10 + [" ".join(item)], mixed):
+        docs, bench = list(enumerate(texts)), [(1, " ".join(item)), (2, "t3 t1 t2"), (3, "t5"), (4, " ".join(item[::-1] + item))]
+        for b in (bench[:1], bench):
+            got = rows(contamination_report(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), spark.createDataFrame(b, "item_id long, text string")))
+            assert got == brute(docs, b)

@@ -65,9 +65,10 @@ class TestBlock:
 def suffix_array(words: np.ndarray, active: np.ndarray, depth: int) -> np.ndarray:
     """Active positions in the order of the suffixes that start there, exact to `depth` words; by doubling of ranks.
 
-    A position that isn't active stands for its first word alone, which sorts before every longer suffix with that word.
+    A suffix ends with the word of the first position that isn't active (see `ends`), and sorts before every longer one that it begins.
     """
     rank, order, span = words << 32, np.argsort(words[active], kind="stable"), 1
+    rank[active] += 1
     padded = np.concatenate([rank, np.zeros(depth + 2, np.int64)])
     while span < depth and len(active):
         a, b = padded[active], padded[active + span]
@@ -83,8 +84,18 @@ def suffix_array(words: np.ndarray, active: np.ndarray, depth: int) -> np.ndarra
     return active[order]
 
 
-def bounds(sa: np.ndarray, words: np.ndarray, test: np.ndarray, at: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each test prefix (place and length) the range of suffix array entries that start with it; all searched at once."""
+def ends(n: int, active: np.ndarray) -> np.ndarray:
+    """For each position the last one of its suffix: itself or the next that isn't active. No window reaches over it."""
+    at = np.arange(n)
+    at[active] = n
+    return np.minimum.accumulate(at[::-1])[::-1]
+
+
+def bounds(sa: np.ndarray, words: np.ndarray, last: np.ndarray, test: np.ndarray, at: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each test prefix (place and length) the range of suffix array entries that start with it; all searched at once.
+
+    Words are compared as the array is sorted: after the end of a suffix stands a 0, less than any test word.
+    """
 
     def search(after: bool) -> np.ndarray:
         lo, hi = np.zeros(len(at), np.int64), np.full(len(at), len(sa), np.int64)
@@ -95,7 +106,7 @@ def bounds(sa: np.ndarray, words: np.ndarray, test: np.ndarray, at: np.ndarray,
             same, d = np.arange(len(open_)), 0
             while len(same):
                 same = same[d < left[same]]
-                x, y = words[place[same] + d], test[want[same] + d]
+                x, y = np.where(place[same] + d <= last[place[same]], words[place[same] + d], 0), test[want[same] + d]
                 less[same[x < y]] = True
                 less[same[x > y]] = False
                 same, d = same[x == y], d + 1
@@ -126,7 +137,7 @@ def shard_matches(hashes: np.ndarray, first: np.ndarray, block: TestBlock) -> tu
     if len(block.single):
         active = np.union1d(active, np.flatnonzero(np.isin(words, block.single)))
     sa = suffix_array(words, active, block.longest)
-    lo, hi = bounds(sa, words, block.words, block.at, block.length)
+    lo, hi = bounds(sa, words, ends(len(words), active), block.words, block.at, block.length)
     many = hi - lo
     if not many.sum():
         return none
