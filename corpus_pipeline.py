@@ -15,10 +15,14 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id, and of several rows with that id one."""
-    found = jaccard.near_duplicate_components(docs, n=3, percent=90)
-    kept = found.where("doc_id is null or doc_id = component_id").select(F.col("doc_id").alias("_kept")).where("_kept is not null").distinct()
-    named = docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
+    """Of each group of near duplicates the document with the smallest id; of several texts with that id the one with the smallest hash, once.
+
+    Texts that share an id are told apart: each is judged in its own group.
+    """
+    keyed = docs.withColumn("_hash", F.xxhash64("text"))
+    found = jaccard.near_duplicate_components(keyed.select(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "_hash")).alias("doc_id"), "text"), n=3, percent=90)
+    kept = found.where("doc_id = component_id").select("doc_id.doc_id", "doc_id._hash").distinct()
+    named = keyed.join(kept, ["doc_id", "_hash"], "left_semi").dropDuplicates(["doc_id", "_hash"])
     return named.select(docs.columns).union(docs.where("doc_id is null"))
 
 

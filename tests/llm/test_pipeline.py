@@ -44,3 +44,14 @@ def test_stages_keep_columns_and_bear_edges(spark):
             n[name] += df.count()
         corpus_pipeline.STAGES[-1][1](spark, df, SF).count()
     assert n["toxicity"] == 6 and n["ngram_jaccard"] == 4
+
+
+def test_texts_that_share_an_id_are_judged_one_by_one(spark):
+    one, two, three = "a b c d e f g h", "k l m n o p q r", "s t u v w x y z"
+    long = [f"w{i}" for i in range(200)]
+    near = [" ".join(long), " ".join([*long[:-1], "other"])]
+    rows = [(1, one), (1, two), (1, one), (2, two), (5, one), (5, three), (6, near[0]), (6, near[1]), (7, None), (7, ""), (None, one)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.one_of_each_group(spark, docs, SF).collect()]
+    assert collections.Counter(x for x in got if x[0] != 6) == collections.Counter([(1, one), (1, two), (5, three), (7, None), (7, ""), (None, one)])
+    assert len([x for x in got if x[0] == 6]) == 1
