@@ -109,6 +109,15 @@ def test_pending_groups_and_feed_merge(spark):
     assert {r.obs_id: r.new_job for r in linking.group_pending(obs).collect()} == {1: 1, 2: 1, 3: 1, 4: 4}
 
 
+def test_pending_chains_of_any_length(spark):
+    schema = "obs_id int, company string, employer_job_id string, title string, location string, posted_at timestamp, detail_url string, apply_url string"
+    chain = [(1 + 7 * i % 41, "A", None, f"t{i}", "p", T(1), f"https://x.com/{i}", f"https://x.com/{i + 1}") for i in range(41)]
+    alone = [(100, "A", None, "other", "p", T(1), "https://x.com/other", ""), (101, "B", None, "t1", "p", T(1), "https://x.com/1", "")]
+    got = {r.obs_id: r.new_job for r in linking.group_pending(spark.createDataFrame(chain + alone, schema)).collect()}
+    assert got == {**{i: 1 for i in range(1, 42)}, 100: 100, 101: 101}
+    assert linking.group_pending(spark.createDataFrame([], schema)).count() == 0
+
+
 def test_lifecycle(spark):
     sources = spark.createDataFrame([(1, "c", "a", True), (2, "c", "b", True), (3, "d", "x", False), (4, "d", "y", True)], "job_id int, connector_id string, listing_id string, active boolean")
     inventory = spark.createDataFrame([("c", "a", True)], "connector_id string, listing_id string, active boolean")
