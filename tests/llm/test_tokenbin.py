@@ -1,10 +1,12 @@
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
-from hypothesis import given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from vacantia.llm import tokenbin as t
+from vacantia.llm.words import buffers
 
 public = pytest.importorskip("public_tokenizers")
 
@@ -34,18 +36,33 @@ def got(df):
 def tok():
     from tokenizers import Tokenizer
 
-    x = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
-    x.encode_special_tokens = True
-    return x
+    return Tokenizer.from_file(public.path("byte_bpe_50k.json"))
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.lists(st.text(st.sampled_from("ab1 .,!\t\n\r\x0b\x1c\xa0\u2003é'sß<|endoftext|>"), max_size=30) | st.text(max_size=20), max_size=5))
-def test_pieces_are_whole_texts(tok, texts):
-    encoder = t.PieceEncoder(public.path("byte_bpe_50k.json")) if not hasattr(test_table, "encoder") else test_table.encoder
-    test_table.encoder = encoder
+ENCODERS = {}
+
+
+@pytest.fixture(params=[1 << 20, 8], ids=["roomy", "full"])
+def encoder(request, monkeypatch):
+    """One with room for all pieces, one that is full at once."""
+    monkeypatch.setattr(t.PieceTable, "MOST", request.param)
+    if request.param not in ENCODERS:
+        ENCODERS[request.param] = t.PieceEncoder(public.path("byte_bpe_50k.json"))
+    return ENCODERS[request.param]
+
+
+@settings(max_examples=400, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.text(st.sampled_from("ab1 .,!(-\t\n\r\x00\x0b\x1c\xa0\u2003éÀ×÷ÿ“—'stßñ日<|endoftext|>"), max_size=30) | st.lists(st.sampled_from(["<|endoftext|>", " it's", "'ll", "Don't.", "--", " ab", "é,", "a" * 20, " " * 17, "x\n\ny"]), max_size=9).map("".join) | st.text(max_size=20), max_size=5))
+def test_pieces_are_whole_texts(tok, encoder, texts):
     texts = [x.encode("utf-8", "ignore").decode() for x in texts]
-    assert [i.tolist() for i in encoder.encode(texts)] == [tok.encode(x, add_special_tokens=False).ids for x in texts]
+    data, offsets = buffers(pa.array(texts, pa.string()))
+    ids, n = encoder.encode(data, offsets)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])][: len(texts)] == [tok.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_special_strings_are_the_librarys(tok, encoder):
+    data, offsets = buffers(pa.array(["a <|endoftext|> b", "a b"], pa.string()))
+    assert 50256 in encoder.encode(data, offsets)[0]
 
 
 def test_table(spark, tok):

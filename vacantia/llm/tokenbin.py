@@ -14,7 +14,6 @@ and are written with the smallest 64-bit number as theirs.
 
 from __future__ import annotations
 
-import itertools
 import json
 import os
 import re
@@ -27,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vacantia.llm.shared import Scratch
-from vacantia.llm.words import slices
+from vacantia.llm.words import mix, slices
 
 #: Ids of a block, if it holds more than one document.
 BLOCK_IDS = 1 << 18
@@ -64,56 +63,198 @@ def decode(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
+class PieceTable:
+    """Pieces of up to SHORT bytes with their ids. Two 64-bit numbers hold a piece's bytes and length, so look-ups are exact; slots are found by linear probing."""
+
+    SHORT = 15
+    #: Pieces remembered, and their ids.
+    MOST, MOST_IDS = 1 << 20, 1 << 22
+
+    def __init__(self):
+        self.slots = np.zeros(2 * self.MOST, np.int32)
+        self.a, self.b = np.zeros(self.MOST + 1, np.uint64), np.zeros(self.MOST + 1, np.uint64)
+        #: Entry 0 stands for an empty slot.
+        self.start, self.ids, self.n = np.zeros(self.MOST + 2, np.int32), np.zeros(self.MOST_IDS, np.uint32), 1
+
+    def _slot(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (mix(a ^ mix(b)) & np.uint64(len(self.slots) - 1)).astype(np.int64)
+
+    def find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Entry of each piece, 0 if it isn't known."""
+        slot = self._slot(a, b)
+        entry = self.slots[slot]
+        open_ = np.flatnonzero((entry > 0) & ((self.a[entry] != a) | (self.b[entry] != b)))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & (len(self.slots) - 1)
+            entry[open_] = e = self.slots[slot[open_]]
+            open_ = open_[(e > 0) & ((self.a[e] != a[open_]) | (self.b[e] != b[open_]))]
+        return entry
+
+    def add(self, a: np.ndarray, b: np.ndarray, ids: np.ndarray, n_ids: np.ndarray) -> None:
+        """Remember different new pieces, as many of the first as there is room for: frequent ones come early."""
+        many = min(self.MOST + 1 - self.n, int(np.searchsorted(np.cumsum(n_ids), self.MOST_IDS - self.start[self.n], side="right")))
+        if many <= 0:
+            return
+        a, b, ends, new = a[:many], b[:many], self.start[self.n] + np.cumsum(n_ids[:many]), np.arange(self.n, self.n + many, dtype=np.int32)
+        self.ids[self.start[self.n] : ends[-1]] = ids[: ends[-1] - self.start[self.n]]
+        self.a[new], self.b[new], self.start[new + 1] = a, b, ends
+        self.n += many
+        slot = self._slot(a, b)
+        while len(new):
+            free = np.flatnonzero(self.slots[slot] == 0)
+            free = free[np.unique(slot[free], return_index=True)[1]]
+            self.slots[slot[free]] = new[free]
+            left = np.ones(len(new), bool)
+            left[free] = False
+            new, slot = new[left], (slot[left] + 1) & (len(self.slots) - 1)
+
+
 class PieceEncoder:
     """A byte-level BPE tokenizer with a memory of the pieces of text it has encoded.
 
-    Such tokenizers split a text before they merge bytes, and no token reaches over the start of a run of blanks. So a text's ids are those of
-    its pieces (blanks, then other characters) one after the other, and most pieces repeat. Texts with other white space are encoded whole.
+    Such tokenizers split a text before they merge bytes: no token reaches over the start of a run of blanks, nor from a letter to a mark or (apostrophes
+    apart) from a mark to a letter. So a text's ids are those of its pieces one after the other, and most pieces repeat. New pieces are encoded as one
+    text and told apart by their ids' bytes. Texts with other white space or with the string of a special token are encoded whole.
     """
 
-    PIECE = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
-    OTHER_SPACE = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-    #: Pieces remembered.
-    MOST = 400_000
+    #: Bytes of new pieces that are encoded as one text.
+    JOINED = 1 << 16
+    # The other white space, as bytes of UTF-8.
+    OTHER_SPACE = re.compile(rb"[\x0b\x0c\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+    BLANK = np.isin(np.arange(256), list(b" \t\n\r"))
+    #: ASCII letters 1, marks 2, the apostrophe 3.
+    KIND = np.zeros(256, np.uint8)
+    KIND[[*range(65, 91), *range(97, 123)]] = 1
+    KIND[[b for b in range(33, 127) if not chr(b).isalnum()]] = 2
+    KIND[39] = 3
+    #: Bytes that begin other white space.
+    RARE = np.isin(np.arange(256), [0x0B, 0x0C, *range(0x1C, 0x20), 0xC2, 0xE1, 0xE2, 0xE3])
+
+    #: Second bytes of the letters from U+00C0 to U+00FF.
+    LATIN = np.isin(np.arange(256), [b for b in range(0x80, 0xC0) if b not in (0x97, 0xB7)])
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         kind = json.loads(self.tokenizer.pre_tokenizer.__getstate__()) if self.tokenizer.pre_tokenizer else {}
         self.by_piece = kind.get("type") == "ByteLevel" and not kind.get("add_prefix_space") and kind.get("use_regex", True) and self.tokenizer.normalizer is None and not getattr(self.tokenizer.model, "dropout", None)
-        self.number, self.flat, self.start = {}, np.zeros(0, np.uint32), np.zeros(1, np.int64)
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text."""
-        number, own, fresh, known = self.number, [], [], len(self.number)
-        get = number.get
-        for t in texts:
-            pieces = self.PIECE.findall(t) if self.by_piece and not self.OTHER_SPACE.search(t) else [t] if t else []
-            k = list(map(get, pieces))
-            if None in k:
-                for i, p in enumerate(pieces):
-                    if k[i] is None:
-                        if (at := get(p)) is None:
-                            at = number[p] = len(number)
-                            fresh.append(p)
-                        k[i] = at
-            own.append(np.array(k, np.int64))
-        if fresh:
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
-            self.start = np.append(self.start, self.start[-1] + np.cumsum(list(map(len, ids))))
-            self.flat = np.append(self.flat, np.fromiter(itertools.chain.from_iterable(ids), np.uint32))
-        out = []
-        for k in own:
-            at, n = self.start[k], self.start[k + 1] - self.start[k]
-            out.append(self.flat[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(at, n)])
-        if known + len(fresh) > self.MOST:  # the frequent ones came first
-            for p in fresh:
-                del number[p]
-            self.start, self.flat = self.start[: known + 1], self.flat[: self.start[known]]
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # A byte-level token has one character for each of its bytes.
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.n_bytes = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        self.n_bytes[list(vocabulary.values())] = list(map(len, vocabulary))
+        self.table = PieceTable()
+
+    def library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def whole(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Which texts can't be cut into pieces."""
+        out = np.full(len(offsets) - 1, not self.by_piece)
+        if self.by_piece and len(data):
+            raw, at = data.tobytes(), []
+            if self.RARE[data].any():
+                at += [m.start() for m in self.OTHER_SPACE.finditer(raw)]
+            for s in self.special:
+                i = raw.find(s)
+                while i >= 0:
+                    at.append(i)
+                    i = raw.find(s, i + 1)
+            out[np.searchsorted(offsets, at, side="right") - 1] = True
         return out
 
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts, one after the other, and how many each has."""
+        n_texts, size = len(offsets) - 1, len(data)
+        if not size:
+            return np.zeros(0, np.uint32), np.zeros(n_texts, np.int64)
+        whole = self.whole(data, offsets)
+        blank = self.BLANK[data]
+        begins = np.empty(size, bool)
+        begins[0] = True
+        np.logical_and(blank[1:], ~blank[:-1], out=begins[1:])
+        kind = self.KIND[data]
+        letter, mark = kind == 1, kind > 1
+        letter[1:] |= self.LATIN[data[1:]] & (data[:-1] == 0xC3)
+        begins[1:] |= (letter[:-1] & mark[1:]) | ((kind[:-1] == 2) & (kind[1:] == 1))
+        for k in np.flatnonzero(whole):
+            begins[offsets[k] : offsets[k + 1]] = False
+        begins[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
+        first = np.flatnonzero(begins)
+        length = np.diff(first, append=size)
+        # The bytes of a piece as two numbers, little-endian, the last byte being its length.
+        padded = np.concatenate([data, np.zeros(16, np.uint8)])
+        eight = np.ndarray((size + 9,), "<u8", padded, 0, (1,))
+        short = length <= PieceTable.SHORT
+        at, n = first[short], length[short]
+        a = eight[at] & self._low[np.minimum(n, 8)]
+        b = (eight[at + 8] & self._low[np.maximum(n - 8, 0)]) | (n.astype(np.uint64) << np.uint64(56))
+        entry = np.zeros(len(first), np.int32)
+        entry[short] = self.table.find(a, b)
+        start, count = self.table.start[entry].astype(np.int64), (self.table.start[entry + 1] - self.table.start[entry]).astype(np.int64)
+        ids = self.table.ids
+        missing = np.flatnonzero(entry == 0)
+        if len(missing):
+            of_text = np.searchsorted(offsets, first[missing], side="right") - 1
+            is_short = short[missing]
+            mine = (np.cumsum(short) - 1)[missing[is_short]]
+            order = np.lexsort((b[mine], a[mine]))
+            new = np.ones(len(order), bool)
+            new[1:] = (a[mine][order][1:] != a[mine][order][:-1]) | (b[mine][order][1:] != b[mine][order][:-1])
+            name = np.empty(len(order), np.int64)
+            name[order] = np.cumsum(new) - 1
+            one = order[new]  # of each new short piece, then all long ones
+            apart = missing[~is_short]
+            asked = np.concatenate([missing[is_short][one], apart])
+            joinable = blank[first[asked]] & ~blank[first[asked] + length[asked] - 1] & ~np.concatenate([whole[of_text[is_short][one]], whole[of_text[~is_short]]])
+            fresh, n_fresh = self._fresh(data, first[asked], length[asked], joinable)
+            ends = np.cumsum(n_fresh)
+            place = np.empty(len(asked), np.int64)
+            place[np.concatenate([np.flatnonzero(joinable), np.flatnonzero(~joinable)])] = np.arange(len(asked))
+            which = np.empty(len(missing), np.int64)
+            which[is_short], which[~is_short] = place[name], place[len(one) :]
+            used = self.table.start[self.table.n]
+            ids = np.concatenate([ids[:used], fresh])
+            start[missing], count[missing] = used + (ends - n_fresh)[which], n_fresh[which]
+            joined = int(joinable.sum())
+            for some, at in ((joinable, 0), (~joinable, joined)):  # of each the short pieces come first
+                kept = one[some[: len(one)]]
+                self.table.add(a[mine][kept], b[mine][kept], fresh[ends[at - 1] if at else 0 :], n_fresh[at : at + len(kept)])
+        before = np.cumsum(count) - count
+        out = ids[np.arange(count.sum()) + np.repeat(start - before, count)]
+        total = np.append(before, count.sum())
+        return out, np.diff(total[np.searchsorted(first, offsets)])
+
+    _low = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+
+    def _fresh(self, data: np.ndarray, first: np.ndarray, length: np.ndarray, joinable: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces and how many each has, first the joinable pieces, then the others."""
+        parts, counts, at = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], 0
+
+        def one_by_one(pieces: np.ndarray) -> None:
+            found = self.library([data[first[k] : first[k] + length[k]].tobytes().decode() for k in pieces])
+            parts.extend(found)
+            counts.append(np.array(list(map(len, found)), np.int64))
+
+        together = np.flatnonzero(joinable)
+        ends = np.cumsum(length[together])
+        while at < len(together):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + self.JOINED, side="right")))
+            part, own = together[at:to], ends[at:to] - (ends[at - 1] if at else 0)
+            text = data[np.arange(own[-1]) + np.repeat(first[part] - own + length[part], length[part])].tobytes().decode()
+            ids = self.library([text])[0]
+            reach = np.cumsum(self.n_bytes[ids])
+            cut = np.searchsorted(reach, own)
+            if reach[-1] == own[-1] and (reach[cut] == own).all():
+                parts.append(ids)
+                counts.append(np.diff(cut, prepend=-1))
+            else:  # an id whose bytes its token doesn't show
+                one_by_one(part)
+            at = to
+        one_by_one(np.flatnonzero(~joinable))
+        return np.concatenate(parts), np.concatenate(counts)
+
 
 #: One in each Python worker.
 _encoders: dict[str, PieceEncoder] = {}
@@ -128,22 +269,27 @@ def tokenized(batches: Iterator[pa.RecordBatch], tokenizer_path: str, end_id: in
         _encoders[tokenizer_path] = PieceEncoder(tokenizer_path)
     encoder = _encoders[tokenizer_path]
     part, start, total = TaskContext.get().partitionId(), 0, 0
-    docs: list[int] = []
-    ids: list[np.ndarray] = []
+    docs, counts, ids = [], [], []
 
     def block() -> pa.RecordBatch:
-        row = [part, start, np.array(docs, "<i8").tobytes(), np.array([len(i) for i in ids], "<u4").tobytes(), total, np.concatenate(ids).astype("<u4").tobytes()]
+        row = [part, start, np.concatenate(docs).astype("<i8").tobytes(), np.concatenate(counts).astype("<u4").tobytes(), total, np.concatenate(ids).astype("<u4").tobytes()]
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary()), strict=True)], names=["part", "start", "docs", "counts", "n", "ids"])
 
     for batch in batches:
-        for rows, _, _ in slices(batch, "text", 1 << 18):
-            for doc, own in zip(rows.column(0).to_pylist(), encoder.encode([t or "" for t in rows.column(1).to_pylist()]), strict=True):
-                docs.append(-(1 << 63) if doc is None else doc)
-                ids.append(np.append(own, np.uint32(end_id)))
-                total += len(own) + 1
+        for rows, data, offsets in slices(batch, "text"):
+            own, n = encoder.encode(data, offsets)
+            n += 1
+            out = np.full(len(own) + len(n), end_id, np.uint32)
+            inner = np.ones(len(out), bool)
+            inner[np.cumsum(n) - 1] = False
+            out[inner] = own
+            docs.append(rows.column(0).fill_null(-(1 << 63)).to_numpy())
+            counts.append(n)
+            ids.append(out)
+            total += len(out)
             if total >= BLOCK_IDS:
                 yield block()
-                start, total, docs, ids = start + total, 0, [], []
+                start, total, docs, counts, ids = start + total, 0, [], [], []
     if docs:
         yield block()
 
