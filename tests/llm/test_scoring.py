@@ -1,9 +1,13 @@
+import math
+import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 
-from vacantia.llm import quality, toxicity
+from vacantia.llm import quality, registered, toxicity
 from vacantia.llm.labelled import held_out, isotonic, training_sample
 
 SF = "/root/testdata/sf0.01"
@@ -41,16 +45,80 @@ def test_without_toxic_keeps_columns(spark):
     assert kept.columns == d.columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in d.collect()} - bad and bad
 
 
-def test_index_is_exact():
+@pytest.mark.parametrize("frequent", [0, 9, 40])
+def test_index_is_exact(frequent):
     rnd = np.random.default_rng(3)
     x = rnd.random((700, 40)) * (rnd.random((700, 40)) < 0.15)
     x = (x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12)).astype(np.float32)
-    q = x[:90] + 0
-    index = toxicity.Index(x, rnd.integers(0, 2, 700).astype(float), np.ones(700))
-    cosine, who = index.nearest(q, 7)
-    want = -np.sort(-(q @ x.T), axis=1)[:, :7]
+    row, term = np.nonzero(x)
+    index = toxicity.Index(row, term, x[row, term], 40, rnd.integers(0, 2, 700).astype(float), np.ones(700), frequent)
+    mine = row < 90
+    cosine, who = index.nearest(row[mine], term[mine], x[row, term][mine], 90, 7)
+    want = -np.sort(-(x[:90] @ x.T), axis=1)[:, :7]
     assert np.allclose(np.where(want > 0, want, 0), np.maximum(cosine, 0), atol=1e-5)
     assert (who[:, 0] >= 0).any()
+    back = np.argsort(index.place)  # number in the index -> row
+    assert np.allclose((x[:90, None] * x[back[np.maximum(who, 0)]]).sum(axis=2)[who >= 0], cosine[who >= 0], atol=1e-5)
+
+
+def _words(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def test_toxicity_query_against_brute_force(spark):
+    """All cosines of all documents with all examples, in plain Python."""
+    d, labels = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").toPandas(), spark.read.parquet("/root/testdata/sf0.001/labels.parquet").toPandas()
+    got = {r.doc_id: r.score for r in registered.op8_toxicity(spark, "/root/testdata/sf0.001").collect()}
+    counts = {i: Counter(_words(t)) for i, t in zip(d.doc_id, d.text, strict=True)}
+    df = Counter(w for c in counts.values() for w in c)
+    known = {i: int(t) for i, t in zip(labels.doc_id, labels.toxic, strict=True) if t in (0, 1) and zlib.crc32(str(i).encode()) % 3 != 1 and i in counts}
+    n, n1 = len(known), sum(known.values())
+    in_, toxic = Counter(w for i in known for w in counts[i]), Counter(w for i, y in known.items() if y for w in counts[i])
+    factor = {w: (math.log((1 + len(d)) / (1 + df[w])) + 1e-3) * abs(toxic[w] * n - in_[w] * n1) / math.sqrt(max(in_[w] * (n - in_[w]) * (n - n1) * n1, 1e-9)) for w in in_}
+
+    def vector(c):
+        v = {w: (1 + math.log(k)) * factor[w] for w, k in c.items() if w in factor}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / size for w, x in v.items()} if size else {}
+
+    vectors = {i: vector(c) for i, c in counts.items()}
+
+    def vote(i, leave):
+        near = sorted(((sum(x * vectors[j].get(w, 0) for w, x in vectors[i].items()), j) for j in known if j != leave), reverse=True)[:15]
+        total = sum(s * s for s, _ in near if s > 0)
+        return (sum(s * s * known[j] for s, j in near if s > 0) / total if total > 1e-12 else -1.0), near
+
+    own = {i: vote(i, i)[0] for i in known}
+    ends, values = isotonic(np.array(list(own.values())), np.array([float(known[i]) for i in own]), np.ones(n))
+    clear = 0
+    for i in counts:
+        v, near = vote(i, None)
+        if len(near) < 15 or near[-1][0] > 0:
+            at = np.searchsorted(ends, [v - 1e-4, v + 1e-4])
+            low, high = values[np.minimum(at, len(values) - 1)]
+            assert low - 1e-6 <= got[i] <= high + 1e-6
+            clear += low == high
+    assert clear > 0.5 * len(counts)
+
+
+def test_rare_words_count(spark):
+    """A word in a few of many toxic examples marks a text that has nothing else of them."""
+    rnd = random.Random(5)
+    plain = [" ".join(rnd.choices([f"w{k}" for k in range(400)], k=20)) for _ in range(900)]
+    texts = [f"{p} {'zork' if k % 100 == 0 else 'vile'}" if k % 2 == 0 else p for k, p in enumerate(plain)]
+    d = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(5000, plain[1] + " zork"), (5001, plain[3])], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 2 == 0)) for k in range(900)], "doc_id long, toxic int")
+    got = {r.doc_id: r.score for r in toxicity.toxicity_report(d, labels).where("doc_id >= 5000").collect()}
+    assert got[5000] > got[5001]
+
+
+def test_ties_and_repeats(spark):
+    rows = [(i, "you idiot" if i % 2 else "good day", 9) for i in range(60)]
+    d = spark.createDataFrame(rows + rows, "doc_id long, text string, n_chars long")
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(60)], "doc_id long, quality int, toxic int")
+    for report in (toxicity.toxicity_report, quality.quality_report):
+        got = report(d, labels).collect()
+        assert len(got) == 120 and len({(r.doc_id % 2, r.score) for r in got}) == 2
 
 
 def test_sum_of_squares_identity():
@@ -68,5 +136,7 @@ def test_sample_and_isotonic(spark):
     n = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
     assert sum(n.values()) <= 60 and n[1] == 30 and weight[1] < 1 < weight[0]
     assert d.where(held_out(d.doc_id)).count() == sum(zlib.crc32(str(i).encode()) % 3 == 1 for i in range(500))
+    again = spark.createDataFrame([(i, "t", 1) for i in range(500) for _ in range(1 if i % 10 else 7)], "doc_id long, text string, n_chars long")
+    assert 0 < training_sample(again, labels, "toxic", 60)[0].count() <= 60  # rows count, not ids
     ends, values = isotonic(np.array([1.0, 2, 3, 4]), np.array([0.0, 1, 0, 1]), np.ones(4))
     assert (np.diff(values) > 0).all() and values[0] == 0 and values[-1] == 1 and len(ends) == 3

@@ -1,11 +1,14 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine with block-max inverted indexes.
 
-Terms are chosen by their association with the label (chi-squared over the training sample); their document frequencies are counted over all
-documents. The examples (a bounded sample, see `examples`) lie in blocks of an inverted index that keeps each term's largest weight in
-each block. A query visits blocks in the order of their bounds until its k-th best cosine is not below the next bound, so the neighbours
-are exact. Neighbours vote with their cosine; an isotonic fit on the examples' own leave-one-out votes turns votes into probabilities.
+A text's weight on a term (a word) is (1 + log count) x idf x |phi|: idf is counted over all documents, phi is the correlation of the term's presence
+with the label in the training sample. Every word of the examples is a term; a factor near 0 makes a word that says nothing about the label light.
 
-Texts without a chosen term (also null and empty ones) get the rate of toxic examples among such. Without training labels every score is 0.
+The examples (a bounded sample, see `examples`) lie in blocks. Postings of the less frequent terms are added up for each query; the most frequent terms
+keep their largest weight in each block, which with the largest sum of the others bounds the cosines in it. A query visits blocks in the order of
+their bounds until its k-th best cosine is not below the next bound, so the neighbours are exact. Neighbours vote with their cosine; an
+isotonic fit on the examples' own leave-one-out votes turns votes into probabilities.
+
+Texts without a known term (also null and empty ones) get the rate of toxic examples among such. Without training labels every score is 0.
 Repeated rows are scored alike. Ties between neighbours go to the example that comes first in the index.
 """
 
@@ -21,13 +24,13 @@ from pyspark.sql import functions as F
 from vacantia.llm.labelled import held_out, isotonic, training_sample
 from vacantia.llm.words import ALNUM, slices, word_hashes
 
-#: Most labelled rows that become examples, and most terms.
-EXAMPLES, TERMS = 6000, 1024
-NEIGHBOURS, BLOCK = 15, 64
-#: Besides whole words, their first bytes are terms, as many languages build words from few stems.
-PREFIX = 6
-#: A word that comes so often is another term than one that comes once.
-TIMES = (1, 2, 3, 5)
+#: Most labelled rows that become examples.
+EXAMPLES = 6000
+NEIGHBOURS, BLOCK = 15, 256
+#: Terms with a column in the blocks instead of postings; sets the work, not the result.
+FREQUENT = 1024
+#: Postings added up at once.
+AT_ONCE = 1 << 21
 REJECT_FROM = 0.7
 
 
@@ -43,94 +46,126 @@ def distinct_words(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, n
 
 
 class Vocabulary:
-    """Terms: a word (or word start) that stands in a text at least TIMES[level] times."""
-
-    def __init__(self, words: np.ndarray, levels: np.ndarray):
-        self.words, at = np.unique(words, return_inverse=True)
-        self.table = np.full((len(self.words), len(TIMES)), -1)
-        self.table[at, levels] = np.arange(len(words))
-        self.size = len(words)
-        self.low = np.zeros(1 << 16, bool)
-        self.low[(self.words & np.uint64(0xFFFF)).astype(np.int64)] = True
-
-    def terms(self, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(text, term), in the order of the texts."""
-        if not self.size:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        mine = np.flatnonzero(self.low[(hashes & np.uint64(0xFFFF)).astype(np.int64)])
-        at = np.minimum(np.searchsorted(self.words, hashes[mine]), len(self.words) - 1)
-        ok = self.words[at] == hashes[mine]
+    """Words in the order of their fingerprints; a term is a word's place."""
+
+    def __init__(self, words: np.ndarray):
+        self.words = np.unique(words)
+        self.size = len(self.words)
+        self.low = np.zeros(1 << 22, bool)
+        self.low[self._low(self.words)] = True
+
+    @staticmethod
+    def _low(words: np.ndarray) -> np.ndarray:
+        return (words & np.uint64((1 << 22) - 1)).astype(np.int64)
+
+    def terms(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, term, count), in the order of the texts."""
+        hashes, first = word_hashes(data, offsets, ALNUM)
+        mine = np.flatnonzero(self.low[self._low(hashes)])
+        at = np.searchsorted(self.words, hashes[mine])
+        at[at == self.size] = 0
+        ok = self.words[at] == hashes[mine] if self.size else np.zeros(0, bool)
         row = np.searchsorted(first, mine[ok], side="right") - 1
-        code, times = np.unique(row * len(self.words) + at[ok], return_counts=True)
-        rows, terms = [], []
-        for level, least in enumerate(TIMES):
-            term = self.table[code % len(self.words), level]
-            ok = (times >= least) & (term >= 0)
-            rows.append((code // len(self.words))[ok])
-            terms.append(term[ok])
-        row, term = np.concatenate(rows), np.concatenate(terms)
-        order = np.lexsort((term, row))
-        return row[order], term[order]
-
-
-def choose_terms(rows: DataFrame, most: int, least_chi2: float = 30.0, share: float = 0.01) -> Vocabulary:
-    """The terms whose presence goes most with the label or against it: chi-squared of at least least_chi2, and share of the sample's rows."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, data, offsets in slices(batch, "text"):
-                row, h, times = distinct_words(*word_hashes(data, offsets, ALNUM, PREFIX))
-                y = part.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-                for level, least in enumerate(TIMES):
-                    words, of = np.unique(h[times >= least], return_inverse=True)
-                    each = np.bincount(of * 2 + y[row[times >= least]], minlength=2 * len(words)).reshape(-1, 2)
-                    yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(np.full(len(words), level), pa.int32()), pa.array(each[:, 0], pa.int64()), pa.array(each[:, 1], pa.int64())], names=["word", "level", "a", "b"])
-
-    n = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
-    n0, n1 = float(n.get(0, 0)), float(n.get(1, 0))
-    if not n0 or not n1:
-        return Vocabulary(np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    found = rows.mapInArrow(count, "word long, level int, a long, b long").groupBy("word", "level").agg(F.sum("a").cast("double").alias("a"), F.sum("b").cast("double").alias("b")).where("a + b >= 5")
-    chi2 = f"({n0 + n1} * pow(b * {n0} - a * {n1}, 2)) / ({n0} * {n1} * (a + b) * ({n0 + n1} - a - b + 1e-9))"
-    best = found.selectExpr("word", "level", f"{chi2} as chi2").where(f"chi2 >= {max(least_chi2, share * (n0 + n1))}").orderBy(F.desc("chi2"), "word", "level").limit(most).toPandas()
-    return Vocabulary(best.word.to_numpy(np.int64).view(np.uint64), best.level.to_numpy(np.int64))
+        code, times = np.unique(row * self.size + at[ok], return_counts=True)
+        return code // max(self.size, 1), code % max(self.size, 1), times
+
+
+def association(term: np.ndarray, y: np.ndarray, size: int, n0: int, n1: int) -> np.ndarray:
+    """|phi| of each term's presence and the label; term, y: of each (example, term)."""
+    with_, toxic = np.bincount(term, minlength=size).astype(float), np.bincount(term[y > 0], minlength=size).astype(float)
+    n = n0 + n1
+    return np.abs(toxic * n - with_ * n1) / np.sqrt(np.maximum(with_ * (n - with_) * n0 * n1, 1e-9))
+
+
+def unit(row: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+    """Weights of rows of length 1."""
+    return weight / np.maximum(np.sqrt(np.bincount(row, weight * weight, n)), 1e-12)[row]
 
 
 class Index:
-    """Examples in blocks. Each block has its terms, the examples' weights on them, and each term's largest weight."""
-
-    def __init__(self, vectors: np.ndarray, y: np.ndarray, weight: np.ndarray):
-        order = np.argsort(vectors.argmax(axis=1), kind="stable") if vectors.size else np.arange(len(y))
-        self.vectors, self.y, self.weight = vectors[order], y[order], weight[order]
-        self.at = np.arange(0, len(y), BLOCK)
-        self.block_max = np.maximum.reduceat(self.vectors, self.at, axis=0) if len(y) else vectors
-        self.terms = [np.flatnonzero(m) for m in self.block_max]
-        self.blocks = [np.ascontiguousarray(self.vectors[a : a + BLOCK][:, t].T) for a, t in zip(self.at, self.terms, strict=True)]
-
-    def nearest(self, queries: np.ndarray, k: int, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Cosines and numbers of each query's k nearest examples (without: one example that each query leaves out)."""
-        n = len(queries)
+    """Examples in blocks. Frequent terms: a dense column each, and the largest weight of each block. Others: postings by term."""
+
+    def __init__(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, n_terms: int, y: np.ndarray, class_weight: np.ndarray, frequent: int = FREQUENT):
+        n = len(y)
+        # Examples with the same heaviest term lie together.
+        heavy = np.full(n, -1)
+        by = np.argsort(weight, kind="stable")
+        heavy[row[by]] = term[by]
+        order = np.argsort(heavy, kind="stable")
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)
+        self.y, self.weight, self.place, row = y[order], class_weight[order], place, place[row]
+        df = np.bincount(term, minlength=n_terms)
+        top = np.sort(np.argsort(-df, kind="stable")[:frequent])
+        self.column = np.full(n_terms, -1, np.int32)
+        self.column[top] = np.arange(len(top))
+        dense = self.column[term] >= 0
+        self.dense = np.zeros((n, len(top)), np.float32)
+        self.dense[row[dense], self.column[term[dense]]] = weight[dense]
+        self.at = np.arange(0, n, BLOCK)
+        self.block_max = np.maximum.reduceat(self.dense, self.at, axis=0) if n else self.dense
+        row, term, weight = row[~dense], term[~dense], weight[~dense]
+        by = np.lexsort((row, term))
+        self.example, self.own = row[by].astype(np.int32), weight[by].astype(np.float32)
+        self.start = np.searchsorted(term[by], np.arange(n_terms + 1))
+
+    def nearest(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, k: int, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Cosines and numbers of each query's k nearest examples (without: one example that each query leaves out). Queries: weights in the order of the rows."""
         score, who = np.full((n, k), -1.0, np.float32), np.full((n, k), -1, np.int64)
-        if not len(self.blocks):
+        if not len(self.y):
             return score, who
-        bound = queries @ self.block_max.T
+        cost = np.bincount(row, np.where(self.column[term] < 0, self.start[term + 1] - self.start[term], 0), n) + len(self.y)
+        part = np.cumsum(cost) // AT_ONCE
+        at = 0
+        while at < n:
+            to = int(np.searchsorted(part, part[at], side="right"))
+            a, b = np.searchsorted(row, [at, to])
+            self._some(row[a:b] - at, term[a:b], weight[a:b], score[at:to], who[at:to], None if without is None else without[at:to])
+            at = to
+        return score, who
+
+    def _some(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray, score: np.ndarray, who: np.ndarray, without: np.ndarray | None) -> None:
+        n, k, examples = *score.shape, len(self.y)
+        queries = np.zeros((n, self.dense.shape[1]), np.float32)
+        dense = self.column[term] >= 0
+        queries[row[dense], self.column[term[dense]]] = weight[dense]
+        row, term, weight = row[~dense], term[~dense], weight[~dense]
+        many = self.start[term + 1] - self.start[term]
+        entry = np.arange(many.sum()) + np.repeat(self.start[term] - np.cumsum(many) + many, many)
+        sums = np.bincount(np.repeat(row * examples, many) + self.example[entry], np.repeat(weight, many) * self.own[entry], n * examples).reshape(n, examples).astype(np.float32)
+        bound = np.maximum.reduceat(sums, self.at, axis=1) + queries @ self.block_max.T
+        cosine, visited = np.zeros((n, examples), np.float32), np.zeros(bound.shape, bool)
+
+        def visit(wanted: np.ndarray) -> None:
+            """Cosines in the blocks that are wanted, of the queries that want them."""
+            for b in np.flatnonzero(wanted.any(axis=0)):
+                q, a = np.flatnonzero(wanted[:, b]), self.at[b]
+                cosine[q, a : a + BLOCK] = sums[q, a : a + BLOCK] + queries[q] @ self.dense[a : a + BLOCK].T
+                if without is not None:
+                    mine = q[(without[q] >= a) & (without[q] < a + BLOCK)]
+                    cosine[mine, without[mine]] = 0
+            visited[wanted] = True
+
+        # First each query's most promising blocks, two more at a time while it has fewer than k cosines, then all that can still beat its k-th best.
         order = np.argsort(-bound, axis=1, kind="stable")
-        for turn in range(len(self.blocks)):
-            block = order[:, turn]
-            open_ = np.flatnonzero((bound[np.arange(n), block] > 0) & (bound[np.arange(n), block] + 1e-6 >= score[:, -1]))
-            if not len(open_):
+        for turn in range(0, bound.shape[1], 2):
+            least = np.partition(cosine, max(examples - k, 0), axis=1)[:, max(examples - k, 0)] if turn else np.zeros(n, np.float32)
+            few = np.flatnonzero((least <= 0) & (bound[np.arange(n), order[:, turn]] > 0))
+            if not len(few):
                 break
-            by = open_[np.argsort(block[open_], kind="stable")]
-            for q in np.split(by, np.flatnonzero(np.diff(block[by])) + 1):
-                b = block[q[0]]
-                own = queries[np.ix_(q, self.terms[b])] @ self.blocks[b]
-                ids = np.broadcast_to(self.at[b] + np.arange(own.shape[1]), own.shape)
-                if without is not None:
-                    own = np.where(ids == without[q][:, None], -1.0, own)
-                s, w = np.concatenate([score[q], own], axis=1), np.concatenate([who[q], ids], axis=1)
-                best = np.lexsort((w, -s), axis=1)[:, :k]
-                score[q], who[q] = np.take_along_axis(s, best, 1), np.take_along_axis(w, best, 1)
-        return score, who
+            wanted = np.zeros(bound.shape, bool)
+            wanted[few[:, None], order[few, turn : turn + 2]] = True
+            visit(wanted)
+        least = np.partition(cosine, max(examples - k, 0), axis=1)[:, max(examples - k, 0)]
+        visit((bound > 0) & (bound + 1e-6 >= least[:, None]) & ~visited)
+        # The cosine's bits, then the example's number, make keys without ties.
+        bits = int(examples).bit_length()
+        key = (np.maximum(cosine, 0).view(np.int32).astype(np.int64) << bits) | ((1 << bits) - 1 - np.arange(examples))
+        some = min(k, examples)
+        top = np.argpartition(key, examples - some, axis=1)[:, examples - some :]
+        top = np.take_along_axis(top, np.argsort(-np.take_along_axis(key, top, 1), axis=1), 1)
+        found = np.take_along_axis(cosine, top, 1)
+        score[:, :some], who[:, :some] = np.where(found > 0, found, -1), np.where(found > 0, top, -1)
 
     def votes(self, score: np.ndarray, who: np.ndarray) -> np.ndarray:
         """Share of toxic among the neighbours, by squared cosine and class weight; -1 without any."""
@@ -139,70 +174,74 @@ class Index:
         return np.where(total > 0, (w * self.y[np.maximum(who, 0)]).sum(axis=1) / np.maximum(total, 1e-30), -1.0)
 
 
-def unit_vectors(row: np.ndarray, term: np.ndarray, n: int, idf: np.ndarray) -> np.ndarray:
-    """TF-IDF rows of length 1. How often a word comes shows in its terms by count, each of which a text has or has not."""
-    x = np.zeros((n, len(idf)), np.float32)
-    x[row, term] = idf[term]
-    return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12)
-
-
 class Model:
-    def __init__(self, vocabulary: Vocabulary, idf: np.ndarray, index: Index, ends: np.ndarray, values: np.ndarray):
-        self.vocabulary, self.idf, self.index, self.ends, self.values = vocabulary, idf, index, ends, values
+    def __init__(self, vocabulary: Vocabulary, factor: np.ndarray, index: Index, ends: np.ndarray, values: np.ndarray):
+        self.vocabulary, self.factor, self.index, self.ends, self.values = vocabulary, factor, index, ends, values
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Probabilities, and the neighbours' cosines and numbers as evidence."""
+        n = len(offsets) - 1
         if not len(self.ends):
-            n = len(offsets) - 1
             return np.zeros(n), np.full((n, 1), -1.0), np.full((n, 1), -1)
-        vectors = unit_vectors(*self.vocabulary.terms(*word_hashes(data, offsets, ALNUM, PREFIX)), len(offsets) - 1, self.idf)
-        cosine, who = self.index.nearest(vectors, NEIGHBOURS)
+        row, term, times = self.vocabulary.terms(data, offsets)
+        cosine, who = self.index.nearest(row, term, unit(row, (1 + np.log(times)) * self.factor[term], n), n, NEIGHBOURS)
         return self.probability(self.index.votes(cosine, who)), cosine, who
 
     def probability(self, votes: np.ndarray) -> np.ndarray:
         return self.values[np.minimum(np.searchsorted(self.ends, votes), len(self.values) - 1)]
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: int = EXAMPLES, terms: int = TERMS) -> Model:
-    """Learn from the labelled rows outside the held-out fold. examples bounds the sample, terms the vocabulary."""
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", examples: int = EXAMPLES) -> Model:
+    """Learn from the labelled rows outside the held-out fold; `examples` bounds the sample."""
     rows, weight = training_sample(docs, labels, label, examples)
-    words = choose_terms(rows, terms)
 
-    def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, each = 0, np.zeros(words.size, np.int64)
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in slices(batch, "text"):
-                n += part.num_rows
-                each += np.bincount(words.terms(*word_hashes(data, offsets, ALNUM, PREFIX))[1], minlength=words.size)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(words.size + 1), pa.int64()), pa.array(np.append(each, n), pa.int64())], names=["term", "n"])
+                row, word, times = distinct_words(*word_hashes(data, offsets, ALNUM))
+                cut = np.searchsorted(row, np.arange(1, part.num_rows))
+                yield pa.RecordBatch.from_arrays([part.column(1).cast(pa.int32()), *(pa.array([x.tobytes() for x in np.split(v, cut)], pa.binary()) for v in (word, times.astype("<i8")))], names=["y", "words", "times"])
 
-    counts = np.zeros(words.size + 1)
-    for r in docs.select("text").mapInArrow(frequency, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator():
-        counts[r.term] = r.n
-    idf = np.log((1 + counts[-1]) / (1 + counts[:-1])).astype(np.float32) + np.float32(1e-3)
+    # The words of at most `examples` texts.
+    own = rows.mapInArrow(words, "y int, words binary, times binary").toPandas().sort_values(["words", "times", "y"], ignore_index=True)
+    y = own.y.to_numpy(float)
+    row = np.repeat(np.arange(len(own)), [len(w) // 8 for w in own.words]) if len(own) else np.zeros(0, np.int64)
+    word, times = np.frombuffer(b"".join(own.words), np.uint64), np.frombuffer(b"".join(own.times), "<i8")
+    vocabulary = Vocabulary(word)
+    term = np.searchsorted(vocabulary.words, word)
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        n, each = 0, np.zeros(known.size, np.int64)
         for batch in batches:
             for part, data, offsets in slices(batch, "text"):
-                row, term = words.terms(*word_hashes(data, offsets, ALNUM, PREFIX))
-                each = [x.astype("<u4").tobytes() for x in np.split(term, np.searchsorted(row, np.arange(1, part.num_rows)))]
-                yield pa.RecordBatch.from_arrays([part.column(1).cast(pa.int32()), pa.array(each, pa.binary())], names=["y", "terms"])
-
-    own = rows.mapInArrow(vectors, "y int, terms binary").orderBy("terms", "y").toPandas()
-    each = [np.frombuffer(b, "<u4").astype(np.int64) for b in own.terms]
-    row = np.repeat(np.arange(len(own)), [len(e) for e in each]) if len(own) else np.zeros(0, np.int64)
-    x = unit_vectors(row, np.concatenate(each) if each else row, len(own), idf)
-    y = own.y.to_numpy(float)
-    index = Index(x, y, np.array([weight[int(k)] for k in y]))
+                n += part.num_rows
+                each += np.bincount(known.terms(data, offsets)[1], minlength=known.size)
+        used = np.flatnonzero(each)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1), pa.int64()), pa.array(np.append(each[used], n), pa.int64())], names=["term", "n"])
+
+    # One row for each term.
+    found = docs.select("text").mapInArrow(frequency, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(vocabulary.size + 1)
+    counts[found["term"].to_numpy()] = found["n"].to_numpy()
+    n1 = int(y.sum())
+    factor = (np.log((1 + counts[-1]) / (1 + counts[:-1])) + 1e-3) * association(term, y[row], vocabulary.size, len(y) - n1, n1)
+    value = unit(row, (1 + np.log(times)) * factor[term], len(y))
+    says = value > 0
+    index = Index(row[says], term[says], value[says], vocabulary.size, y, np.array([weight[int(k)] for k in y]))
     if not len(y):
-        return Model(words, idf, index, np.zeros(0), np.zeros(0))
-    parts = [index.votes(*index.nearest(index.vectors[a : a + 512], NEIGHBOURS, np.arange(a, min(a + 512, len(y))))) for a in range(0, len(y), 512)]
-    return Model(words, idf, index, *isotonic(np.concatenate(parts), index.y, index.weight))
+        return Model(vocabulary, factor, index, np.zeros(0), np.zeros(0))
+    # The examples as queries, in the order of the index.
+    place = index.place
+    at = np.argsort(place[row], kind="stable")
+    votes = index.votes(*index.nearest(place[row][at], term[at], value[at], len(y), NEIGHBOURS, np.arange(len(y))))
+    return Model(vocabulary, factor, index, *isotonic(votes, index.y, index.weight))
 
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score, evidence (cosine, toxic of the nearest examples that share a term)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by EXAMPLES x TERMS
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the words of EXAMPLES texts
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
