@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pyarrow.parquet as pq
 
@@ -5,21 +7,22 @@ from vacantia.llm.topk import exact_top_k
 
 
 def brute(rows, k=10, every=100):
-    seen = {}
+    seen = []
     for i, v in rows:
         if i is not None and v is not None and None not in v and np.isfinite(np.array(v, float)).all():
-            x = np.floor(1024 * np.array(v, float)).astype("<i8")
-            seen[i] = min(seen.get(i, (x.tobytes(), x)), (x.tobytes(), x), key=lambda y: y[0])
-    ids = sorted(seen)
-    width = max((len(seen[i][1]) for i in ids), default=0)
-    x = np.array([np.pad(seen[i][1], (0, width - len(seen[i][1]))) for i in ids]).reshape(len(ids), width)
+            x = [math.floor(1024 * float(c)) for c in v]
+            if sum(c * c for c in x) < 2**62:
+                seen.append((i, x))
+    seen.sort()
+    width = max((len(x) for _, x in seen), default=0)
+    ids, x = np.array([i for i, _ in seen], np.int64), np.array([v + [0] * (width - len(v)) for _, v in seen], np.int64).reshape(len(seen), width)
     out = []
     for a, i in enumerate(ids):
         if i % every == 0:
             s = x @ x[a]
             order = [b for b in np.lexsort((ids, -s)) if b != a][:k]
-            out += [(i, r + 1, ids[b], int(s[b])) for r, b in enumerate(order)]
-    return out
+            out += [(int(i), r + 1, int(ids[b]), int(s[b])) for r, b in enumerate(order)]
+    return sorted(out)
 
 
 def got(df):
@@ -28,7 +31,7 @@ def got(df):
 
 def test_table(spark):
     t = pq.read_table("/root/testdata/sf0.1/embeddings.parquet").to_pandas()
-    assert got(exact_top_k(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet"), "id % 100 = 0", block=7)) == brute(zip(t.vec_id.tolist(), t.embedding, strict=True))
+    assert got(exact_top_k(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet"), "id % 100 = 0", block=7, tile=500)) == brute(zip(t.vec_id.tolist(), t.embedding, strict=True))
 
 
 def test_edges(spark):
@@ -37,6 +40,19 @@ def test_edges(spark):
     rows = [(i, None if v is None else [None if x is None else float(x) for x in v]) for i, v in rows]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 as id", "2 as score", "3 as rank")
     assert got(exact_top_k(df, "id % 100 = 0")) == brute(rows)
+    again = df.union(df.where("vec_id in (0, 100, 5, 1003)")).union(df.where("vec_id in (0, 7)"))
+    same = rows + [r for r in rows if r[0] in (0, 100, 5, 1003)] + [r for r in rows if r[0] in (0, 7)]
+    assert got(exact_top_k(again, "id % 100 = 0", block=2, tile=16)) == brute(same)
     few = df.where("vec_id in (0, 1, 2)")
     assert got(exact_top_k(few, "id % 100 = 0")) == brute([r for r in rows if r[0] in (0, 1, 2)])
     assert exact_top_k(df.limit(0), "id % 100 = 0").count() == 0
+
+
+def test_rows_that_share_an_id(spark):
+    rows = [(100, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [0.5, 0.0]), (200, [1.0, 1.0]), (200, [0.0, 3.0]), (200, [0.0, 3.0])]
+    assert got(exact_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "id % 100 = 0", k=3)) == brute(rows, 3)
+
+
+def test_large_components(spark):
+    rows = [(k, [c * 2.0**20, 1.0]) for k, c in ((0, 1), (1, 1.5), (2, -1), (3, 1023), (4, 2.0**30), (100, 1000))]
+    assert got(exact_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "id % 100 = 0")) == brute(rows)

@@ -4,15 +4,20 @@ A table holds each candidate's distances to many pivots. For a query, the larges
 distances bounds their distance from below (triangle inequality), and with both lengths the inner product from above. Candidates are
 evaluated in the order of their bounds until the k-th best score lies above all that remain; so results are exact.
 
-Queries are a stated set and go to the tasks in blocks of at most `block` vectors. Each task sends at most k rows a query on.
+Queries are a stated set. Candidates lie packed in tiles, queries packed in blocks; each group of tiles meets each block once, as a join on the group's
+number. Each meeting sends at most k rows a query on.
 
-A component x counts as floor(1024 * x), which must stay below 2**27 for scores to fit 64 bits. Vectors that are null or hold null or non-finite components, and rows without an id,
-take no part. Shorter vectors are filled with zeros. Of rows that share an id one counts, the first by its bytes. Ties go to the smaller id.
+Rows that agree in id and vector are one candidate with a number of copies, each of which counts; other rows that share an id are candidates and
+queries of their own. Only a row itself is no candidate of its own query.
+
+A component x counts as floor(1024 * x). Vectors that are null or hold null or non-finite components, and rows without an id, take no part, nor do vectors
+whose squared length is 2**62 or more: scores of all others fit 64 bits. Shorter vectors are filled with zeros. Ties go to the smaller id.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +28,9 @@ from vacantia.llm.shared import Scratch
 
 #: Rows from which pivots and first thresholds are taken, and pivots.
 SAMPLE, PIVOTS = 2048, 48
-QUERY_BLOCK = 2048
+#: Queries of a block, candidates of a tile.
+QUERY_BLOCK, TILE = 2048, 8192
+MOST_SQUARED = 2.0**62
 #: Candidates evaluated between two looks at the bound.
 STEP = 64
 
@@ -33,9 +40,11 @@ def whole_numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         ids, vectors = [], []
         for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if i is not None and v is not None and None not in v and np.isfinite(x := np.array(v, np.float64)).all():
-                ids.append(i)
-                vectors.append(np.floor(1024 * x).astype("<i8").tobytes())
+            if i is not None and v is not None and None not in v:
+                x = np.floor(1024 * np.array(v, np.float64))
+                if np.isfinite(x).all() and (x * x).sum() < MOST_SQUARED:
+                    ids.append(i)
+                    vectors.append(x.astype("<i8").tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(vectors, pa.binary())], names=["id", "v"])
 
 
@@ -71,8 +80,8 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 class Block:
     """Some queries with their pivot distances and a score that their k-th best reaches at least."""
 
-    def __init__(self, ids: list[int], x: np.ndarray, pivots: np.ndarray, sample_ids: np.ndarray, sample: np.ndarray, k: int):
-        self.ids, self.x = np.array(ids, np.int64), x
+    def __init__(self, ids: np.ndarray, copies: np.ndarray, x: np.ndarray, pivots: np.ndarray, sample_ids: np.ndarray, sample: np.ndarray, k: int):
+        self.ids, self.copies, self.x = ids, copies, x
         self.to_pivots, self.norm = distances(x, pivots), (x.astype(float) ** 2).sum(axis=1)
         self.least = np.full(len(ids), np.iinfo(np.int64).min)
         for q in range(len(ids)):
@@ -81,15 +90,20 @@ class Block:
                 self.least[q] = np.partition(own, len(own) - k)[len(own) - k]
 
 
-def search(block: Block, ids: np.ndarray, x: np.ndarray, to_pivots: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query, candidates, scores) of up to k candidates each that can be among the best."""
+def search(block: Block, ids: np.ndarray, copies: np.ndarray, x: np.ndarray, to_pivots: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(query, candidates, copies, scores) of up to k different candidates each that can be among the best."""
     norm = (x.astype(float) ** 2).sum(axis=1)
     for q in range(len(block.ids)):
         apart = np.abs(to_pivots - block.to_pivots[q]).max(axis=1) if to_pivots.shape[1] else np.zeros(len(x))
         both = norm + block.norm[q]
         most = (both - apart * apart) / 2 + 1e-9 * both + 1e-6
-        least = block.least[q]
-        open_ = np.flatnonzero((most >= least) & (ids != block.ids[q]))
+        least, others = block.least[q], copies
+        own = np.flatnonzero(ids == block.ids[q])
+        own = own[(x[own] == block.x[q]).all(axis=1)]
+        if len(own):  # one of the copies is the query itself
+            others = copies.copy()
+            others[own] -= 1
+        open_ = np.flatnonzero((most >= least) & (others > 0))
         open_ = open_[np.argsort(-most[open_], kind="stable")]
         got, scores = open_[:0], np.zeros(0, np.int64)
         for at in range(0, len(open_), STEP):
@@ -101,53 +115,70 @@ def search(block: Block, ids: np.ndarray, x: np.ndarray, to_pivots: np.ndarray,
             if len(got) == k:
                 least = max(least, scores[-1])
         if len(got):
-            yield q, ids[got], scores
+            yield q, ids[got], others[got], scores
+
+
+def packed(most: int) -> Callable:
+    """Rows (id, copies, v) of a task as rows (part, ids, copies, v) of at most `most` each."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-def exact_top_k(vectors: DataFrame, queries: str, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int = PIVOTS, block: int = QUERY_BLOCK) -> DataFrame:
+        part, rows, n = TaskContext.get().partitionId(), [], 0
+
+        def out() -> pa.RecordBatch:
+            t = pa.Table.from_batches(rows)
+            row = [part, t["id"].to_numpy().astype("<i8").tobytes(), t["copies"].to_numpy().astype("<i8").tobytes(), t["v"].to_pylist()]
+            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, (pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.binary())), strict=True)], names=["part", "ids", "copies", "v"])
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, most):
+                piece = batch.slice(at, most)
+                if n and n + piece.num_rows > most:
+                    yield out()
+                    rows, n = [], 0
+                rows.append(piece)
+                n += piece.num_rows
+        if n:
+            yield out()
+
+    return run
+
+
+def exact_top_k(vectors: DataFrame, queries: str, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int = PIVOTS, block: int = QUERY_BLOCK, tile: int = TILE) -> DataFrame:
     """query_id, rank, vec_id, score of the k best other rows for every row that satisfies the SQL condition `queries` on `id`."""
     spark = vectors.sparkSession
     scratch = Scratch(spark)
-    numbers = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector")).mapInArrow(whole_numbers, "id long, v binary").groupBy("id").agg(F.min("v").alias("v"))
+    numbers = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector")).mapInArrow(whole_numbers, "id long, v binary").groupBy("id", "v").agg(F.count("*").alias("copies"))
     whole = scratch.write(numbers, "numbers")
     width = (whole.agg(F.max(F.length("v"))).first()[0] or 0) // 8
-    taken = whole.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toPandas()
+    taken = whole.orderBy(F.xxhash64("id", "v"), "id", "v").limit(SAMPLE).toPandas()
     sample, sample_ids = matrix([bytes(v) for v in taken.v], width), taken.id.to_numpy(np.int64)
     points = choose_pivots(sample, pivots)
+    groups = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in packed(tile)(batches):
+            d = distances(matrix(batch.column(3)[0].as_py(), width), points)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([d.astype("<f8").tobytes()], pa.binary())], names=["part", "ids", "copies", "v", "d"])
+
+    shape = "ids binary, copies binary, v array<binary>"
+    pivot_table = scratch.write(whole.repartition(groups, F.xxhash64("id", "v")).mapInArrow(measured, f"part int, {shape}, d binary"), "pivot_table")
+    blocks = whole.where(queries).select("id", "copies", "v").repartition(groups, F.xxhash64("id", "v")).mapInArrow(packed(block), f"part int, {shape}")
+    asked = scratch.write(blocks.selectExpr("ids as q_ids", "copies as q_copies", "v as q_v"), "asked").select("*", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            d = distances(matrix(batch.column(1).to_pylist(), width), points)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([r.astype("<f8").tobytes() for r in d], pa.binary())], names=["id", "v", "d"])
-
-    pivot_table = scratch.write(whole.mapInArrow(measured, "id long, v binary, d binary"), "pivot_table")
-
-    def pass_over(part: Block) -> DataFrame:
-        shared = spark.sparkContext.broadcast(part)  # at most `block` vectors
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                x = matrix(batch.column(1).to_pylist(), width)
-                d = np.stack([np.frombuffer(r, "<f8") for r in batch.column(2).to_pylist()]) if batch.num_rows else np.zeros((0, len(points)))
-                for q, ids, scores in search(shared.value, batch.column(0).to_numpy(), x, d, k):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), shared.value.ids[q])), pa.array(ids), pa.array(scores)], names=["query_id", "vec_id", "score"])
-
-        return pivot_table.mapInArrow(run, "query_id long, vec_id long, score long")
-
-    found, ids, rows = None, [], []
-    asked = whole.where(queries)
-
-    def next_block() -> None:
-        nonlocal found, ids, rows
-        part = pass_over(Block(ids, matrix(rows, width), points, sample_ids, sample, k))
-        found, ids, rows = part if found is None else found.union(part), [], []
-
-    for r in asked.toLocalIterator():
-        ids.append(r.id)
-        rows.append(bytes(r.v))
-        if len(ids) == block:
-            next_block()
-    if ids or found is None:
-        next_block()
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            for ids, copies, v, d, q_ids, q_copies, q_v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                part = Block(np.frombuffer(q_ids, "<i8"), np.frombuffer(q_copies, "<i8"), matrix(q_v, width), points, sample_ids, sample, k)
+                ids, copies, x = np.frombuffer(ids, "<i8"), np.frombuffer(copies, "<i8"), matrix(v, width)
+                for q, found, many, scores in search(part, ids, copies, x, np.frombuffer(d, "<f8").reshape(len(ids), -1), k):
+                    n = len(found)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part.ids[q])), pa.array([hashlib.md5(q_v[q]).digest()] * n, pa.binary()), pa.array(np.full(n, part.copies[q])), pa.array(found), pa.array(np.minimum(many, k)), pa.array(scores)], names=["query_id", "of", "asks", "vec_id", "copies", "score"])
+
+    # A pair of packed rows at a time: one tile and one block are all a task holds.
+    pairs = pivot_table.join(asked, "part").select("ids", "copies", "v", "d", "q_ids", "q_copies", "q_v")
+    found = pairs.mapInArrow(run, "query_id long, of binary, asks long, vec_id long, copies long, score long")
+    each = found.select("query_id", "of", "asks", "vec_id", "score", F.explode(F.expr("sequence(1L, copies)")))
+    rank = F.row_number().over(Window.partitionBy("query_id", "of").orderBy(F.desc("score"), "vec_id"))
+    return each.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", F.explode(F.expr("sequence(1L, asks)")).alias("_ask")).drop("_ask")
