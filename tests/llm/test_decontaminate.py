@@ -5,6 +5,7 @@ import re
 import pandas as pd
 import pyarrow.parquet as pq
 
+from vacantia.llm import decontaminate
 from vacantia.llm.decontaminate import contamination_report, find_matches, remove_contaminated
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -20,7 +21,7 @@ def brute(docs, bench):
         w = words(t)
         n = min(13, len(w))
         for k in range(len(w) - n + 1 if n else 0):
-            windows.setdefault(tuple(w[k : k + n]), set()).add(str(i))
+            windows.setdefault(tuple(w[k : k + n]), set()).add(None if i is None else str(i))
     sizes = {len(k) for k in windows}
     out = {}
     for d, t in docs:
@@ -30,7 +31,7 @@ def brute(docs, bench):
                 if (x := windows.get(tuple(w[k : k + n]))) is not None:
                     hit.update(range(k, k + n))
                     items |= x
-        out[d] = (len(w), len(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), len(hit) > 0 and 20 * len(hit) >= len(w))
+        out[d] = (len(w), len(hit), len(items), hashlib.sha256(",".join(sorted(items - {None})).encode()).hexdigest(), len(hit) > 0 and 20 * len(hit) >= len(w))
     return out
 
 
@@ -54,13 +55,31 @@ def test_edges(spark):
     b = spark.createDataFrame(bench, "item_id long, text string")
     for block in (1 << 20, 10):
         got = find_matches(d, b, block_words=block).selectExpr("doc_id", "n_words", "aggregate(hits, 0, (a,h)->a+h.end-h.start) n_hit", "size(array_distinct(transform(matches, m->m.item_id))) n").collect()
-        assert sorted((r.doc_id or 0, r.n_words, r.n_hit, r.n) for r in got) == sorted((k or 0, *brute([(0, t)], [x for x in bench if x[0] is not None])[0][:3]) for k, t in docs)
-    kept = {r.doc_id for r in remove_contaminated(d, b).collect()}
+        assert sorted((r.doc_id or 0, r.n_words, r.n_hit, r.n) for r in got) == sorted((k or 0, *brute([(0, t)], bench)[0][:3]) for k, t in docs)
+    named = d.selectExpr("doc_id", "text", "1 as hits", "2 as n_words", "'m' as matches", "3 as id")
+    assert remove_contaminated(named, b).columns == named.columns
+    kept = {r.doc_id for r in remove_contaminated(named, b).collect()}
     assert kept == {2, 3, 5, 7, 9}
     assert contamination_report(d.limit(0), b).count() == 0
     assert contamination_report(d, b.limit(0)).where("contaminated").count() == 0
 
 
+def test_items_without_an_id(spark):
+    text = " ".join(f"k{i}" for i in range(30))
+    docs, bench = [(1, text), (2, "a b " + text[:80]), (3, "none")], [(None, text), (None, "b"), (7, text)]
+    for b in (bench, bench[:2]):
+        assert rows(contamination_report(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(b, "item_id long, text string"))) == brute(docs, b)
+
+
+def test_many_blocks_take_several_passes(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCKS_AT_ONCE", 2)
+    bench = [(k, " ".join(f"i{k}w{j}" for j in range(20))) for k in range(9)]
+    docs = [(k, f"x y {bench[k][1]} z {bench[(k + 4) % 9][1][:60]}") for k in range(9)] + [(20, "x y z")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    assert rows(decontaminate.find_matches(d, b, block_words=20).transform(lambda f: decontaminate.digest(f))) == brute(docs, bench)
+    assert {r.doc_id for r in remove_contaminated(d, b, block_words=20).collect()} == {20}
+
+
 def test_locations(spark):
     text = " ".join(f"k{i}" for i in range(30))
     d = spark.createDataFrame(pd.DataFrame({"doc_id": [1], "text": ["pre fix " + " ".join(text.split()[5:25]) + " end"]}))

@@ -6,10 +6,11 @@ verbatim matches with their locations. Documents with enough matched words are r
 
 Only suffixes that begin with two adjacent benchmark words (or with the word of a one-word item) are entered, as no other suffix can
 hold a window. Nothing is shuffled: a document is judged where it is read, and the benchmark, a stated query set, goes to the tasks
-in blocks of at most BLOCK_WORDS words.
+in blocks of about BLOCK_WORDS words, at most BLOCKS_AT_ONCE of them in one pass over the documents. A larger benchmark takes more passes.
 
 Null texts have no words; empty tables, items without words and repeated rows are all allowed. Matches are found for each row on its own, so
-repeated ids change nothing. Items that share an id count as one.
+repeated ids change nothing. Items that share an id count as one, and so do all items without an id: their windows hit like any other, they count as one
+item, and lists of ids leave them out.
 """
 
 from __future__ import annotations
@@ -18,15 +19,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vacantia.llm.shared import modest_batches
+from vacantia.llm.shared import Scratch, modest_batches, own_names
 from vacantia.llm.words import ALNUM, slices, word_hashes
 
 WINDOW = 13
 #: Words of benchmark text that one block of test suffixes holds (16 bytes each).
 BLOCK_WORDS = 1 << 20
+#: Blocks that one pass over the documents broadcasts.
+BLOCKS_AT_ONCE = 8
 
 MATCHES = "array<struct<item_id:string,item_word:int,doc_word:int,n_words:int>>"
 
@@ -155,18 +158,23 @@ def shard_matches(hashes: np.ndarray, first: np.ndarray, block: TestBlock) -> tu
     return row, item[head], block.at[which[head]] - block.item_at[item[head]], start[head] - shifted[row], start[tail] + length[tail] - start[head]
 
 
-def test_blocks(benchmark: DataFrame, window: int, item_col: str, text_col: str, block_words: int) -> list:
-    """The benchmark in broadcast blocks. Its rows pass the driver one block at a time."""
+def test_blocks(benchmark: DataFrame, window: int, item_col: str, text_col: str, block_words: int) -> Iterator[TestBlock]:
+    """The benchmark in blocks; its rows pass the driver one block at a time."""
     modest_batches(benchmark.sparkSession)
-    sc, out, ids, hashes, n = benchmark.sparkSession.sparkContext, [], [], [], 0
-    for r in benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("i is not null").toLocalIterator():
+    ids: list[str | None] = []
+    hashes: list[np.ndarray] = []
+    n, any_ = 0, False
+    for r in benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).alias("t")).toLocalIterator():
         data = np.frombuffer((r.t or "").encode(), np.uint8)
         h, _ = word_hashes(data, np.array([0, len(data)]), ALNUM)
-        ids, hashes, n = [*ids, r.i], [*hashes, h], n + len(h)
+        ids.append(r.i)
+        hashes.append(h)
+        n += len(h)
         if n >= block_words:
-            out.append(sc.broadcast(TestBlock(ids, hashes, window)))
-            ids, hashes, n = [], [], 0
-    return [*out, sc.broadcast(TestBlock(ids, hashes, window))] if ids or not out else out
+            yield TestBlock(ids, hashes, window)
+            ids, hashes, n, any_ = [], [], 0, True
+    if ids or not any_:
+        yield TestBlock(ids, hashes, window)
 
 
 def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -178,20 +186,53 @@ def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start[new], end[np.append(np.flatnonzero(new)[1:], len(start)) - 1] if len(start) else end
 
 
-def scanned(batches: Iterator[pa.RecordBatch], text: str, blocks: list) -> Iterator[tuple[pa.RecordBatch, np.ndarray, list]]:
-    """(rows, words of each, matches in each as (ids, item words, doc words, lengths) or None)."""
-    for batch in batches:
-        for rows, data, offsets in slices(batch, text):
-            hashes, first = word_hashes(data, offsets, ALNUM)
-            per_row: list = [None] * rows.num_rows
-            for b in blocks:
-                row, item, item_word, doc_word, n = shard_matches(hashes, first, b.value)
-                order = np.lexsort((item_word, item, doc_word, row))
-                for k in np.split(order, np.flatnonzero(np.diff(row[order])) + 1) if len(order) else []:
-                    mine = ([b.value.ids[i] for i in item[k]], item_word[k], doc_word[k], n[k])
-                    was = per_row[row[k[0]]]
-                    per_row[row[k[0]]] = mine if was is None else (was[0] + mine[0], *(np.concatenate([x, y]) for x, y in zip(was[1:], mine[1:], strict=True)))
-            yield rows, np.diff(first), per_row
+def row_matches(data: np.ndarray, offsets: np.ndarray, blocks: list) -> tuple[np.ndarray, list]:
+    """Words of each row, and its matches as (item_id, item_word, doc_word, n_words)."""
+    hashes, first = word_hashes(data, offsets, ALNUM)
+    per_row: list[list[tuple]] = [[] for _ in offsets[1:]]
+    for b in blocks:
+        row, item, item_word, doc_word, n = shard_matches(hashes, first, b.value)
+        order = np.lexsort((item_word, item, doc_word, row))
+        for r, *rest in zip(*(x[order].tolist() for x in (row, item, item_word, doc_word, n)), strict=True):
+            per_row[r].append((b.value.ids[rest[0]], *rest[1:]))
+    return np.diff(first), per_row
+
+
+_FIELDS = ("item_id", "item_word", "doc_word", "n_words")
+_MATCH = pa.list_(pa.struct([("item_id", pa.string()), ("item_word", pa.int32()), ("doc_word", pa.int32()), ("n_words", pa.int32())]))
+_SPAN = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+
+def with_matches(docs: DataFrame, benchmark: DataFrame, window: int, text_col: str, item_col: str, item_text: str, block_words: int, names: tuple[str, str, str]) -> DataFrame:
+    """docs and three more columns: number of words, matches, and hits (the words inside any match, merged)."""
+    spark, scratch, columns = docs.sparkSession, Scratch(docs.sparkSession), docs.columns
+    shape = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema)}, `{names[0]}` long, `{names[1]}` {MATCHES}, `{names[2]}` array<struct<start:int,end:int>>"
+
+    def one_pass(df: DataFrame, blocks: list) -> DataFrame:
+        known = len(df.columns) > len(columns)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for rows, data, offsets in slices(batch, text_col):
+                    n_words, found = row_matches(data, offsets, blocks)
+                    matches = [[dict(zip(_FIELDS, m, strict=True)) for m in x] for x in found]
+                    if known:
+                        matches = [a + b for a, b in zip(rows.column(-2).to_pylist(), matches, strict=True)]
+                    hits = []
+                    for x in matches:
+                        at = np.array([m["doc_word"] for m in x], np.int64)
+                        start, end = merged(at, at + np.array([m["n_words"] for m in x], np.int64))
+                        hits.append([{"start": a, "end": b} for a, b in zip(start.tolist(), end.tolist(), strict=True)])
+                    yield pa.RecordBatch.from_arrays([*rows.columns[: len(columns)], pa.array(n_words, pa.int64()), pa.array(matches, _MATCH), pa.array(hits, _SPAN)], names=[*columns, *names])
+
+        return df.mapInArrow(run, shape)
+
+    out, blocks, done = docs, [], 0
+    for block in test_blocks(benchmark, window, item_col, item_text, block_words):
+        if len(blocks) == BLOCKS_AT_ONCE:
+            out, blocks, done = scratch.write(one_pass(out, blocks), f"pass{done}"), [], done + 1
+        blocks.append(spark.sparkContext.broadcast(block))
+    return one_pass(out, blocks)
 
 
 def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -199,48 +240,29 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id
 
     Returns id_col, n_words, matches (item_id, item_word, doc_word, n_words), hits (start, end: the words inside any match, merged).
     """
-    blocks = test_blocks(benchmark, window, item_col, item_text, block_words)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        match = pa.list_(pa.struct([("item_id", pa.string()), ("item_word", pa.int32()), ("doc_word", pa.int32()), ("n_words", pa.int32())]))
-        span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-        for rows, n_words, per_row in scanned(batches, "text", blocks):
-            matches, hits = [], []
-            for m in per_row:
-                if m is None:
-                    matches.append([])
-                    hits.append([])
-                    continue
-                matches.append([dict(zip(("item_id", "item_word", "doc_word", "n_words"), x, strict=True)) for x in zip(m[0], *(v.tolist() for v in m[1:]), strict=True)])
-                start, end = merged(m[2], m[2] + m[3])
-                hits.append([{"start": s, "end": e} for s, e in zip(start.tolist(), end.tolist(), strict=True)])
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n_words, pa.int64()), pa.array(matches, match), pa.array(hits, span)], names=["id", "n_words", "matches", "hits"])
-
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = source.schema["id"].dataType.simpleString()
-    return source.mapInArrow(run, f"id {kind}, n_words long, matches {MATCHES}, hits array<struct<start:int,end:int>>").withColumnRenamed("id", id_col)
+    found = with_matches(source, benchmark, window, "text", item_col, item_text, block_words, ("n_words", "matches", "hits"))
+    return found.select(F.col("id").alias(id_col), "n_words", "matches", "hits")
+
+
+def _n_hit(hits: str) -> Column:
+    return F.aggregate(hits, F.lit(0).cast("long"), lambda a, h: a + (h["end"] - h["start"]))
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: tuple[int, int] = (1, 20), text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """The documents of which less than share[0]/share[1] of the words (or none) lie in a benchmark match; all their columns."""
-    blocks = test_blocks(benchmark, window, item_col, item_text, block_words)
+    names = own_names(docs, "n_words", "matches", "hits")
+    found = with_matches(docs, benchmark, window, text_col, item_col, item_text, block_words, names)
+    hit = _n_hit(names[2])
+    return found.where((hit == 0) | (share[1] * hit < share[0] * F.col(names[0]))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, n_words, per_row in scanned(batches, text_col, blocks):
-            keep = np.ones(rows.num_rows, bool)
-            for i, m in enumerate(per_row):
-                if m is not None:
-                    start, end = merged(m[2], m[2] + m[3])
-                    keep[i] = share[1] * int((end - start).sum()) < share[0] * n_words[i]
-            yield rows.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    return digest(find_matches(docs, benchmark))
 
 
-def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Digest of find_matches for each document: words, hit words, items and the verdict."""
-    found = find_matches(docs, benchmark)
+def digest(found: DataFrame) -> DataFrame:
+    """Of find_matches for each document: words, hit words, items and the verdict."""
     items = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item_id"])))
-    hit = F.aggregate("hits", F.lit(0).cast("long"), lambda a, h: a + (h["end"] - h["start"]))
     longest = F.coalesce(F.array_max(F.transform("matches", lambda m: m["n_words"])), F.lit(0))
-    return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), longest.alias("longest_match")).withColumn("contaminated", F.expr("n_hit > 0 and 20 * n_hit >= n_words"))
+    return found.select("doc_id", "n_words", _n_hit("hits").alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), longest.alias("longest_match")).withColumn("contaminated", F.expr("n_hit > 0 and 20 * n_hit >= n_words"))

@@ -20,6 +20,10 @@ def modest_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+#: Least and most bits of a filter, as powers of 2: 32 MB at most.
+FILTER_BITS = (18, 28)
+
+
 class Scratch:
     """Tables of one run, written as Parquet under the checkpoint folder so that lost executors cost no recomputation.
 
@@ -41,8 +45,43 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def bit_filter(df: DataFrame, key: Column, bits: int = 24) -> np.ndarray:
-    """Bitmap of 2**bits bits over the keys' low bits. It passes all keys of df and, the more of it is set, others too: what it passes still has to be joined."""
+def own_names(df: DataFrame, *names: str) -> tuple[str, ...]:
+    """The names, each with as many underscores in front as it takes to differ from df's columns."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return tuple(out)
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+    """rows with the columns of their group: a left join on `key` (nulls are a group too), where one group may hold a large part of all rows.
+
+    groups: one row for each key, with its number of rows in `size`. Groups of a hundredth of all rows or more, of which there are a hundred at most, are
+    broadcast; all others are joined by a shuffle, in which each key has less than a hundredth.
+    """
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    (other,) = own_names(rows, f"{key}_of")
+    named = groups.withColumnRenamed(key, other)
+    hot = named.where(F.col(size) * 100 >= total)
+    hot = rows.sparkSession.createDataFrame(hot.collect(), hot.schema)
+    (is_hot,) = own_names(rows, "is_hot")
+    marked = rows.join(F.broadcast(hot.withColumn(is_hot, F.lit(True))), F.col(key).eqNullSafe(F.col(other)), "left")
+    joined = marked.where(F.col(is_hot)).drop(other, is_hot)
+    rest = marked.where(F.col(is_hot).isNull()).select(*rows.columns)
+    rest = rest.join(named.where(F.col(size) * 100 < total), F.col(key).eqNullSafe(F.col(other)), "left").drop(other)
+    return joined.unionByName(rest.select(*joined.columns))
+
+
+def bit_filter(df: DataFrame, key: Column, bits: int | None = None) -> np.ndarray:
+    """Bitmap of 2**bits bits over the keys' low bits, by default 8 to 16 for each row of df within FILTER_BITS.
+
+    It passes all keys of df and, the more of it is set, others too: what it passes still has to be joined.
+    """
+    if bits is None:
+        bits = min(max((8 * df.count()).bit_length(), FILTER_BITS[0]), FILTER_BITS[1])
     low = key.bitwiseAND(F.lit((1 << bits) - 1))
     rows = df.select(F.shiftright(low, 6).alias("slot"), F.expr("1L").alias("one"), low.bitwiseAND(F.lit(63)).cast("int").alias("bit")).groupBy("slot").agg(F.expr("bit_or(shiftleft(one, bit))").alias("word")).toArrow()
     words = np.zeros(1 << (bits - 6), np.uint64)
