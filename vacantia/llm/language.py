@@ -9,27 +9,28 @@ log P(l | page) = log prior of the page's host + text log-likelihood + log P(dec
   whole table. A page's own mass is left out, so that a page doesn't vote for itself.
 
 Null or empty pages have only a prior; a page without a host has the whole table's. Without labelled documents the language is null. Repeated rows are
-judged alike. Languages are those of the labelled documents, MOST_LANGUAGES at most.
+judged alike. Languages are those of the labelled documents, however many: LANGUAGES_AT_ONCE of them are scored in one pass over the pages. Ties go to
+the language whose name comes first.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vacantia.llm.shared import Scratch
+from vacantia.llm.shared import Scratch, join_groups
 from vacantia.llm.words import buffers, mix, slices
 
 BUCKETS = 1 << 14
 EVIDENCE = 200
 #: Pages' worth of belief in the wider group, and of each unseen value.
 STRENGTH, UNSEEN = 5.0, 0.5
-MOST_LANGUAGES = 200
+LANGUAGES_AT_ONCE = 200
 
 _MARKUP = re.compile(r"(?is)<(script|style)\b.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)|<[^<>]*>?|&[a-z#0-9]{1,10};")
 _DECLARED = re.compile(r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})")
@@ -67,11 +68,14 @@ def fit_text(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") ->
             yield pa.RecordBatch.from_arrays([pa.array([x] * len(used), pa.string()), pa.array(used, pa.int32()), pa.array(n[used], pa.int64())], names=["lang", "bucket", "n"])
 
     known = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null")
-    found = known.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    names = sorted(r.lang for r in found.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect())
+    # One row for each language and bucket.
+    found = known.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    lang, bucket = found["lang"].combine_chunks().dictionary_encode(), found["bucket"].to_numpy()
+    found_names = lang.dictionary.to_pylist()
+    names = sorted(found_names)
+    place = np.array([names.index(x) for x in found_names], np.int64)
     n = np.zeros((len(names), BUCKETS))
-    for r in found.where(F.col("lang").isin(names)).toLocalIterator():  # a row for each language and bucket
-        n[names.index(r.lang), r.bucket] = r.n
+    n[place[lang.indices.to_numpy()], bucket] = found["n"].to_numpy()
     return names, np.log((n + 0.5) / (n + 0.5).sum(axis=1, keepdims=True))
 
 
@@ -93,14 +97,20 @@ def identify(pages: DataFrame, docs: DataFrame, id_col: str = "page_id", url_col
     scratch = Scratch(pages.sparkSession)
     names, model = fit_text(docs)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rows, _, _ in slices(batch, "html", 1 << 20):
-                html = [h or "" for h in rows.column(2).to_pylist()]
-                data, offsets = buffers(pa.array([_MARKUP.sub(" ", h) for h in html], pa.string()))
-                log = text_log_likelihood(data, offsets, model)
-                declared = [m[1].lower() if (m := _DECLARED.search(h)) else None for h in html]
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(declared, pa.string()), pa.array(log.tolist(), pa.list_(pa.float64()))], names=["id", "url", "declared", "log"])
+    def read_block(model: np.ndarray, first: bool) -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for rows, _, _ in slices(batch, "html", 1 << 20):
+                    html = [h or "" for h in rows.column(2).to_pylist()]
+                    data, offsets = buffers(pa.array([_MARKUP.sub(" ", h) for h in html], pa.string()))
+                    log = text_log_likelihood(data, offsets, model).tolist()
+                    if first:
+                        declared = pa.array([m[1].lower() if (m := _DECLARED.search(h)) else None for h in html], pa.string())
+                    else:
+                        declared, log = rows.column(3), [a + b for a, b in zip(rows.column(4).to_pylist(), log, strict=True)]
+                    yield pa.RecordBatch.from_arrays([*rows.columns[:3], declared, pa.array(log, pa.list_(pa.float64()))], names=["id", "url", "html", "declared", "log"])
+
+        return run
 
     source = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     kind = source.schema["id"].dataType.simpleString()
@@ -110,7 +120,11 @@ def identify(pages: DataFrame, docs: DataFrame, id_col: str = "page_id", url_col
     top = F.array_max("log")
     weight = F.transform("log", lambda x: F.exp(x - top))
     total = F.aggregate(weight, F.lit(0.0), lambda a, x: a + x)
-    read = source.mapInArrow(run, f"id {kind}, url string, declared string, log array<double>")
+    read = source
+    for at in range(0, len(names), LANGUAGES_AT_ONCE):
+        read = read.mapInArrow(read_block(model[at : at + LANGUAGES_AT_ONCE], at == 0), f"id {kind}, url string, html string, declared string, log array<double>")
+        if at + LANGUAGES_AT_ONCE < len(names):
+            read = scratch.write(read, f"languages{at}")
     read = read.select("id", "declared", "log", F.transform(weight, lambda x: x / total).alias("post"), _host(F.col("url")).alias("host"))
     read = read.select("*", F.nullif(F.regexp_extract("host", r"([^.]+)$", 1), F.lit("")).alias("suffix"), F.nullif(F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1), F.lit("")).alias("domain"))
     base = scratch.write(read, "pages")
@@ -118,28 +132,29 @@ def identify(pages: DataFrame, docs: DataFrame, id_col: str = "page_id", url_col
     k = range(len(names))
     sums = F.array(*[F.sum(F.col("post")[i]) for i in k]).alias("mass")
     add = F.array(*[F.sum(F.col("mass")[i]) for i in k]).alias("mass")
-    hosts = scratch.write(base.groupBy("host", "domain").agg(sums), "hosts")
-    domains = hosts.groupBy("domain").agg(add)
+    hosts = scratch.write(base.groupBy("host", "domain").agg(sums, F.count("*").alias("pages")), "hosts")
+    domains = hosts.groupBy("domain").agg(add, F.sum("pages").alias("domain_pages"))
     all_mass = hosts.agg(add).first()[0]
     whole = np.array([x or 0.0 for x in (all_mass or [0.0] * len(names))]) + UNSEEN
     prior = F.array(*[F.lit(float(x)) for x in whole / whole.sum()])
 
     def group(column: str) -> DataFrame:
         """log P(value | language) of the column's values."""
-        mass = base.groupBy(column).agg(sums)
+        mass = scratch.write(base.groupBy(column).agg(sums, F.count("*").alias(f"{column}_pages")), column)
         n = mass.count()
         logs = F.array(*[F.log((F.col("mass")[i] + UNSEEN) / F.lit(float(whole[i] - UNSEEN + UNSEEN * (n + 1)))) for i in k])
-        return mass.select(F.col(column).alias("value"), logs.alias(f"{column}_log"))
+        return mass.select(column, logs.alias(f"{column}_log"), f"{column}_pages")
 
     def smoothed(mass: Column, wider: Column) -> Column:
         sum_ = F.aggregate(mass, F.lit(0.0), lambda a, x: a + x)
         return F.zip_with(mass, wider, lambda m, w: (m + STRENGTH * w) / (sum_ + STRENGTH))
 
     less = lambda mass: F.zip_with(mass, F.col("post"), lambda m, p: F.greatest(m - p, F.lit(0.0)))
-    joined = base.join(hosts.select(F.col("host").alias("h"), F.col("mass").alias("host_mass")), F.col("host") == F.col("h"), "left")
-    joined = joined.join(domains.select(F.col("domain").alias("d"), F.col("mass").alias("domain_mass")), F.col("domain") == F.col("d"), "left")
+    # A page without a host belongs to no group.
+    joined = join_groups(base, hosts.select("host", F.when(F.col("host").isNotNull(), F.col("mass")).alias("host_mass"), "pages"), "host", "pages")
+    joined = join_groups(joined, domains.select("domain", F.when(F.col("domain").isNotNull(), F.col("mass")).alias("domain_mass"), "domain_pages"), "domain", "domain_pages")
     for column in ("declared", "suffix"):
-        joined = joined.join(group(column), F.col(column).eqNullSafe(F.col("value")), "left").drop("value")
+        joined = join_groups(joined, group(column), column, f"{column}_pages")
     by_domain = F.when(F.col("domain_mass").isNull(), prior).otherwise(smoothed(less(F.col("domain_mass")), prior))
     joined = joined.withColumn("by_domain", by_domain).withColumn("prior", F.when(F.col("host_mass").isNull(), F.col("by_domain")).otherwise(smoothed(less(F.col("host_mass")), F.col("by_domain"))))
     score = F.array(*[F.col("log")[i] + F.log(F.col("prior")[i]) + F.col("declared_log")[i] + F.col("suffix_log")[i] for i in k])
