@@ -118,7 +118,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", examples: in
                 cut = np.searchsorted(row, np.arange(1, part.num_rows))
                 yield pa.RecordBatch.from_arrays([part.column(1).cast(pa.int32()), pa.array([b.astype("<u2").tobytes() for b in np.split(bucket, cut)], pa.binary()), pa.array([s.astype("<f8").tobytes() for s in stats], pa.binary())], names=["y", "buckets", "stats"])
 
-    own = rows.mapInArrow(run, "y int, buckets binary, stats binary").orderBy("stats", "buckets", "y").toPandas()
+    own = rows.mapInArrow(run, "y int, buckets binary, stats binary").toPandas().sort_values(["stats", "buckets", "y"], ignore_index=True)
     y = own.y.to_numpy(float)
     none = np.zeros(len(STATISTICS))
     if len(weight) < 2 or not len(y):
