@@ -1,10 +1,15 @@
 """Classification of postings: place, field, experience, tier, noise, candidates, exclusions. Native expressions only.
 
 Input columns: title, location, category, department, description, experience_text (strings; null as empty).
+
+Verdicts are added as the one row of an inlined struct: the optimiser keeps such a column whole, so that a filter on a verdict doesn't repeat its
+patterns, and pushes filters on earlier columns below it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +27,16 @@ def first(value: Column, pattern: str) -> Column:
     return F.when(found != "", found)
 
 
+def added(df: DataFrame, struct: Column) -> DataFrame:
+    """df and the struct's fields."""
+    return df.select(*df.columns, F.inline(F.array(struct)))
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once a row."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def spaced(title: Column) -> Column:
     """Titles often join parts with underscores, which hide word ends."""
     return F.trim(F.regexp_replace(F.regexp_replace(title, "_", " "), r"\s+", " "))
@@ -30,36 +45,40 @@ def spaced(title: Column) -> Column:
 def classify_location(df: DataFrame) -> DataFrame:
     """Adds location_status (india, uncertain, not_india) and location_evidence."""
     place = text("location")
-    home, other = first(place, w.INDIA), first(place, w.OTHER_COUNTRY)
-    vague = place.rlike(w.UNCERTAIN_REGION) | (F.trim(place) == "")
-    status = F.when(home.isNotNull(), "india").when(vague, "uncertain").when(other.isNotNull(), "not_india").otherwise("uncertain")
-    return df.withColumns({"location_status": status, "location_evidence": F.when(home.isNotNull(), home).when(~vague, other)})
 
+    def judged(f: Column) -> Column:
+        status = F.when(f["home"].isNotNull(), "india").when(f["vague"], "uncertain").when(f["other"].isNotNull(), "not_india").otherwise("uncertain")
+        return F.struct(status.alias("location_status"), F.when(f["home"].isNotNull(), f["home"]).when(~f["vague"], f["other"]).alias("location_evidence"))
 
-def domain_status(title: Column, category: Column, description: Column) -> tuple[Column, Column]:
-    """(exact, likely or unrelated; evidence)."""
-    about = F.concat_ws(" ", title, category)
-    rest = F.regexp_replace(description, w.EMPLOYER_BOILERPLATE, "")
+    facts = F.struct(first(place, w.INDIA).alias("home"), first(place, w.OTHER_COUNTRY).alias("other"), (place.rlike(w.UNCERTAIN_REGION) | (F.trim(place) == "")).alias("vague"))
+    return added(df, once(facts, judged))
+
+
+def domain(title: Column, category: Column, description: Column) -> Column:
+    """(domain_status: exact, likely or unrelated; domain_evidence). What decides early is tested first."""
+    verdict = lambda status, evidence: F.struct(F.lit(status).alias("domain_status"), evidence.alias("domain_evidence"))
+    unrelated = verdict("unrelated", F.array().cast("array<string>"))
     found = lambda value: F.array_distinct(F.array_compact(F.array(*[first(value, p) for p in w.CONCEPTS])))
-    said, told, likely = found(about), found(rest), first(F.concat_ws(" ", about, rest), w.LIKELY)
-    none = F.array().cast("array<string>")
+    about = F.concat_ws(" ", title, category)
     out = F.concat_ws(" ", title, description).rlike(w.GENERAL_APPLICATION) | title.rlike(w.OTHER_FIELD_TITLE)
-    foreign = category.rlike(w.OTHER_FIELD_CATEGORY)
-    status = F.when(out, "unrelated").when(F.size(said) > 0, "exact").when(foreign, "unrelated").when(F.size(told) > 0, "exact").when(likely.isNotNull(), "likely").otherwise("unrelated")
-    evidence = F.when(out, none).when(F.size(said) > 0, said).when(foreign, none).when(F.size(told) > 0, told).when(likely.isNotNull(), F.array(likely)).otherwise(none)
-    return status, evidence
+
+    def by_text(rest: Column) -> Column:
+        likely = lambda: once(first(F.concat_ws(" ", about, rest), w.LIKELY), lambda x: F.when(x.isNotNull(), verdict("likely", F.array(x))).otherwise(unrelated))
+        return once(found(rest), lambda told: F.when(F.size(told) > 0, verdict("exact", told)).otherwise(likely()))
+
+    told = lambda: F.when(category.rlike(w.OTHER_FIELD_CATEGORY), unrelated).otherwise(once(F.regexp_replace(description, w.EMPLOYER_BOILERPLATE, ""), by_text))
+    return F.when(out, unrelated).otherwise(once(found(about), lambda said: F.when(F.size(said) > 0, verdict("exact", said)).otherwise(told())))
 
 
 def classify_domain(df: DataFrame) -> DataFrame:
     """Adds domain_status and domain_evidence."""
-    status, evidence = domain_status(text("title"), text("category"), text("description"))
-    return df.withColumns({"domain_status": status, "domain_evidence": evidence})
+    return added(df, domain(text("title"), text("category"), text("description")))
 
 
 def extract_experience(df: DataFrame) -> DataFrame:
     """Adds experience_status, minimum_years, maximum_years, experience_evidence."""
-    band = df.withColumn("_band", experience_band(F.concat_ws("\n", text("experience_text"), text("description"))))
-    return band.select(*df.columns, F.col("_band.status").alias("experience_status"), F.col("_band.minimum_years").alias("minimum_years"), F.col("_band.maximum_years").alias("maximum_years"), F.col("_band.evidence").alias("experience_evidence"))
+    band = experience_band(F.concat_ws("\n", text("experience_text"), text("description")))
+    return added(df, band.cast("struct<experience_status:string,minimum_years:double,maximum_years:double,experience_evidence:array<string>>"))
 
 
 def compose_tier(df: DataFrame) -> DataFrame:
@@ -121,11 +140,11 @@ def job_feed(df: DataFrame, most: int = 2000) -> DataFrame:
     """The serving feed of classified postings: the newest `most` targeted ones, then without noise, judged again without category and by all wording, strictly 0-2 years."""
     open_ = df.where("active and location_status = 'india' and domain_status in ('exact', 'likely') and match_tier in ('exact', 'possible') and experience_status in ('zero_to_two', 'ambiguous')")
     newest = open_.orderBy(F.desc("last_seen_at"), "posting_id").limit(most)
-    again, _ = domain_status(text("title"), F.lit(""), text("description"))
-    kept = newest.where(~noise(text("title"))).withColumns({"_again": again, "_band": experience_band(F.concat_ws("\n", text("title"), text("experience_text"), text("description")))})
+    judged = added(newest.where(~noise(text("title"))), domain(text("title"), F.lit(""), text("description")).cast("struct<_again:string,_why:array<string>>"))
+    kept = added(judged.where("_again <> 'unrelated'"), F.struct(experience_band(F.concat_ws("\n", text("title"), text("experience_text"), text("description"))).alias("_band")))
     inside = "({0} is null or {0} between 0 and 2)"
-    strict = f"_again <> 'unrelated' and _band.status = 'zero_to_two' and {inside.format('_band.minimum_years')} and {inside.format('_band.maximum_years')} and {inside.format('minimum_years')} and {inside.format('maximum_years')}"
-    return kept.where(strict).drop("_again", "_band")
+    strict = f"_band.status = 'zero_to_two' and {inside.format('_band.minimum_years')} and {inside.format('_band.maximum_years')} and {inside.format('minimum_years')} and {inside.format('maximum_years')}"
+    return kept.where(strict).drop("_again", "_why", "_band")
 
 
 def ranked(df: DataFrame) -> DataFrame:
@@ -134,6 +153,18 @@ def ranked(df: DataFrame) -> DataFrame:
     return df.withColumn("feed_rank", F.row_number().over(Window.orderBy(tier, F.desc("first_seen_at"), "posting_id")))
 
 
+def by_score(feed: DataFrame, scores: DataFrame) -> DataFrame:
+    """Adds score and score_rank to a feed: best match first, unscored ones last, then the newest listed, then by company. scores: posting_id, score (one row for each posting)."""
+    order = Window.orderBy(F.desc_nulls_last("score"), F.desc_nulls_last("posted_at"), "company", "posting_id")
+    return feed.join(scores.select("posting_id", "score"), "posting_id", "left").withColumn("score_rank", F.row_number().over(order))
+
+
+def whole_feed(roles: DataFrame, portal: DataFrame, imported: DataFrame) -> DataFrame:
+    """Merged roles, portal listings and imported links as one feed; origin says which. Columns that one of them lacks are null."""
+    every = [df.withColumn("origin", F.lit(name)) for name, df in (("role", roles), ("portal", portal), ("imported", imported))]
+    return every[0].unionByName(every[1], allowMissingColumns=True).unionByName(every[2], allowMissingColumns=True)
+
+
 def candidate_queue(df: DataFrame, newest: int = 2000, most: int = 250) -> DataFrame:
     """Postings that wait for details: of the newest hydrate rows those at home that look right, `most` of them."""
     waiting = df.where("active and candidate_status = 'hydrate'").orderBy(F.desc("last_seen_at"), "posting_id").limit(newest)
