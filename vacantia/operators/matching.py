@@ -67,10 +67,32 @@ def _terms(groups: tuple[str, ...] | None = None) -> list[tuple[str, str, tuple[
 
 
 def terms_in(value: Column, groups: tuple[str, ...] | None = None) -> Column:
-    """The terms (with aliases) that stand in a text as whole words, in list order. The dictionary is short: it is part of the expression."""
-    padded = F.concat(F.lit(" "), normal(value), F.lit(" "))
-    table = F.array(*[F.struct(F.lit(t).alias("t"), F.array(*[F.lit(f" {v} ") for v in vs]).alias("v")) for _, t, vs in _terms(groups) if vs])
-    return F.get(F.transform(F.array(padded), lambda p: F.transform(F.filter(table, lambda x: F.exists(x["v"], lambda v: p.contains(v))), lambda x: x["t"])), F.lit(0))
+    """The terms (with aliases) that stand in a text as whole words, in list order.
+
+    The text is cut into words once; its runs of one to three words (as many as the longest term has) are looked up among all spellings by hash.
+    """
+    table = [(t, vs) for _, t, vs in _terms(groups) if vs]
+    place = {v: k for k, (_, vs) in enumerate(table) for v in vs}
+    longest = max(len(v.split()) for v in place)
+    # Constants as text, which the optimiser folds into one literal each.
+    spellings, names = (F.split(F.lit("|".join(x)), r"\|") for x in (place, [t for t, _ in table]))
+    places = F.str_to_map(F.lit("|".join(f"{v}={k}" for v, k in place.items())), F.lit(r"\|"), F.lit("="))
+
+    def runs(words: Column, n: int) -> Column:
+        return words if n == 1 else F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
+
+    def found(words: Column) -> Column:
+        return _let(F.array_intersect(spellings, F.concat(*[runs(words, n) for n in range(1, longest + 1)])), listed)
+
+    def listed(hit: Column) -> Column:
+        return F.transform(F.array_sort(F.array_distinct(F.transform(hit, lambda v: F.element_at(places, v).cast("int")))), lambda k: F.get(names, k))
+
+    return _let(F.split(normal(value), " "), found)
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once a row."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def profile_lines(profiles: DataFrame, id_col: str = "profile_id", text_col: str = "text") -> DataFrame:
@@ -150,49 +172,81 @@ def profile_terms(lines: DataFrame, id_col: str = "profile_id") -> DataFrame:
     return found.groupBy(id_col, "term").agg(F.min_by(F.struct("pos", "line"), "pos").alias("x")).select(id_col, "term", "x.pos", "x.line")
 
 
-def evidence(requirements: DataFrame, terms: DataFrame) -> DataFrame:
-    """(posting_id, no, profile_id, matches, excerpt) of requirements with at least one proven term: an inverted-index join on the term, never profiles x postings."""
-    wanted = requirements.where("priority <> 'context'").select("posting_id", "no", "type", F.size("terms").alias("n_terms"), F.explode(F.array_distinct("terms")).alias("term"))
-    hit = wanted.join(terms, "term").groupBy("posting_id", "no", "profile_id").agg(F.first("type").alias("type"), F.first("n_terms").alias("n_terms"), F.count("*").alias("matches"), F.min_by("line", "pos").alias("excerpt"))
-    return hit.withColumn("supported", (F.col("type") == "skill") | (F.col("matches") >= F.least(F.lit(2), F.col("n_terms"))))
+def term_sets(df: DataFrame, id_col: str, value: Column, groups: tuple[str, ...] | None = None) -> DataFrame:
+    """(id, terms): the sorted terms of each text that has any."""
+    return df.select(id_col, F.inline(F.array(F.struct(F.array_sort(terms_in(value, groups)).alias("terms"))))).where(F.size("terms") > 0)
 
 
-def match_scores(requirements: DataFrame, proofs: DataFrame, postings: DataFrame, profiles: DataFrame) -> DataFrame:
-    """(posting_id, profile_id, score, hard_gaps, confidence) of the pairs that share a term: the mean of the coverages of required and skill rows, title and domain, that apply.
+def likely_pairs(jobs: DataFrame, people: DataFrame, cheap: int = 20, salts: int = 16) -> DataFrame:
+    """(profile_id, posting_id, shared): the `cheap` postings that share most terms with each profile, one at least; ties go to the smaller posting_id.
 
-    proofs: evidence(). A pair without any shared term has no row: all of its coverages are 0.
+    jobs: posting_id, terms; people: profile_id, terms (term_sets). All postings with the same set of terms share equally much, so of each set only the first `cheap` ids
+    can be among the best of anyone: different sets are compared, not postings and profiles. Terms are few and common; each is split into `salts` keys.
+    """
+    first = Window.partitionBy("terms").orderBy("posting_id")
+    offers = jobs.select("posting_id", "terms").withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= cheap).groupBy("terms").agg(F.sort_array(F.collect_list("posting_id")).alias("ids"))
+    offers = offers.withColumn("offer", F.xxhash64("terms")).select("offer", "ids", "terms")
+    asks = people.select("terms").distinct().withColumn("ask", F.xxhash64("terms"))
+    left = offers.select("offer", F.explode("terms").alias("term"), F.pmod("offer", F.lit(salts)).alias("salt"))
+    right = asks.select("ask", F.explode("terms").alias("term")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    shared = left.join(right, ["term", "salt"]).groupBy("offer", "ask").agg(F.count("*").alias("shared"))
+    best = Window.partitionBy("ask").orderBy(F.desc("shared"), "posting_id")
+    # At most `cheap` offers with the smallest ids of each number of shared terms can hold the best; ranks are taken over their ids.
+    each = shared.join(offers.select("offer", "ids"), "offer").select("ask", "shared", F.explode("ids").alias("posting_id"))
+    top = each.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= cheap).groupBy("ask").agg(F.collect_list(F.struct("posting_id", "shared")).alias("found"))
+    return people.select("profile_id", F.xxhash64("terms").alias("ask")).join(top, "ask").select("profile_id", F.inline("found"))
+
+
+def scored_pairs(pairs: DataFrame, requirements: DataFrame, terms: DataFrame, postings: DataFrame, profiles: DataFrame, salts: int = 16) -> DataFrame:
+    """pairs (profile_id, posting_id, shared) with evidence, score, hard_gaps, confidence.
+
+    evidence: (no, type, matches, supported, excerpt) of the requirements with a proven term; terms: profile_terms(). A pair is one row, to which the posting's requirements and
+    the profile's proofs are joined as arrays. Postings that very many profiles have are split into `salts` keys. The score is the mean of the coverages
+    of required and skill rows, title and field, that apply; null where either side has no text.
     """
-    asked = requirements.groupBy("posting_id").agg(F.count_if(F.col("priority") == "required").alias("n_required"), F.count_if(F.col("type") == "skill").alias("n_skills"))
-    found = proofs.join(requirements.select("posting_id", "no", "priority"), ["posting_id", "no"]).where("supported").groupBy("posting_id", "profile_id").agg(F.count_if(F.col("priority") == "required").alias("got_required"), F.count_if(F.col("type") == "skill").alias("got_skills"))
-    text = F.concat_ws("\n", "title", "description")
-    finance = ("finance",)
-    job = postings.select("posting_id", terms_in(F.col("title")).alias("_title"), (F.size(terms_in(text, finance)) > 0).alias("_finance"), F.length(F.coalesce("description", F.lit(""))).alias("_length"))
-    person = profiles.select("profile_id", terms_in(F.col("text")).alias("_terms"), (F.size(terms_in(F.col("text"), finance)) > 0).alias("_has"), F.size(F.split(normal(F.col("text")), " ")).alias("_words"))
-    x = found.join(asked, "posting_id").join(job, "posting_id").join(person, "profile_id")
+    text, finance = F.concat_ws("\n", "title", "description"), ("finance",)
+    wanted = pairs.select("posting_id").distinct()
+    asked = requirements.join(wanted, "posting_id", "left_semi").groupBy("posting_id").agg(F.sort_array(F.collect_list(F.struct("no", "type", "priority", F.array_distinct("terms").alias("terms"), F.size("terms").alias("n_terms")))).alias("_asked"))
+    job = postings.join(wanted, "posting_id", "left_semi").select("posting_id", terms_in(F.col("title")).alias("_title"), (F.size(terms_in(text, finance)) > 0).alias("_finance"), F.length(F.coalesce("description", F.lit(""))).alias("_length"))
+    job = job.join(asked, "posting_id", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    proofs = terms.groupBy("profile_id").agg(F.map_from_entries(F.collect_list(F.struct("term", F.struct("pos", "line")))).alias("_proofs"))
+    person = profiles.select("profile_id", F.col("text").alias("_text")).select("profile_id", F.inline(F.array(F.struct(terms_in(F.col("_text")).alias("_terms"), (F.size(terms_in(F.col("_text"), finance)) > 0).alias("_has"), F.when(normal(F.col("_text")) == "", 0).otherwise(F.size(F.split(normal(F.col("_text")), " "))).alias("_words")))))
+    person = person.join(proofs, "profile_id", "left")
+    x = pairs.withColumn("_salt", F.pmod(F.xxhash64("profile_id"), F.lit(salts))).join(job, ["posting_id", "_salt"]).join(person, "profile_id")
+
+    def proven(r: Column) -> Column:
+        return _let(F.filter(r["terms"], lambda t: F.map_contains_key("_proofs", t)), lambda hit: F.struct(r["no"].alias("no"), r["type"].alias("type"), r["priority"].alias("priority"), F.size(hit).alias("matches"), ((r["type"] == "skill") | (F.size(hit) >= F.least(F.lit(2), r["n_terms"]))).alias("supported"), F.array_min(F.transform(hit, lambda t: F.element_at("_proofs", t)))["line"].alias("excerpt")))
+
+    x = x.withColumn("_asked", F.coalesce("_asked", F.array().cast(asked.schema["_asked"].dataType)))
+    x = x.select("*", F.inline(F.array(F.struct(F.filter(F.transform(F.filter("_asked", lambda r: r["priority"] != "context"), proven), lambda e: e["matches"] > 0).alias("evidence")))))
+    of = lambda array, field, value: F.filter(array, lambda e: e[field] == value)
+    proved = lambda field, value: F.filter(of("evidence", field, value), lambda e: e["supported"])
+    counts = F.struct(F.size(of("_asked", "priority", "required")).alias("n_required"), F.size(of("_asked", "type", "skill")).alias("n_skills"), F.size(proved("priority", "required")).alias("got_required"), F.size(proved("type", "skill")).alias("got_skills"))
+    x = x.select("*", F.inline(F.array(counts)))
     cover = F.array_compact(F.array(
         F.when(F.col("n_required") > 0, F.col("got_required") / F.col("n_required")),
         F.when(F.col("n_skills") > 0, F.col("got_skills") / F.col("n_skills")),
         F.when(F.size("_title") > 0, F.size(F.array_intersect("_title", "_terms")) / F.size("_title")),
         F.when(F.col("_finance"), F.when(F.col("_has"), 1.0).otherwise(0.0)),
     ))
-    mean = F.aggregate(cover, F.lit(0.0), lambda a, v: a + v) / F.size(cover)
+    mean = _let(cover, lambda c: F.when(F.size(c) > 0, F.aggregate(c, F.lit(0.0), lambda a, v: a + v) / F.size(c)))
+    said = (F.col("_length") > 0) & (F.col("_words") > 0)
     gaps = F.least(F.col("n_required") - F.col("got_required") + F.when(F.col("_finance") & ~F.col("_has"), 1).otherwise(0), F.lit(8))
     sure = F.when((F.col("_words") >= 180) & (F.col("_length") >= 300), "high").when((F.col("_words") >= 100) & (F.col("_length") >= 100), "medium").otherwise("low")
-    return x.where("_length > 0 and _words > 0").select("posting_id", "profile_id", _half_up(mean * 100).cast("int").alias("score"), gaps.cast("int").alias("hard_gaps"), sure.alias("confidence"))
+    return x.select(*pairs.columns, "evidence", F.when(said, _half_up(mean * 100)).cast("int").alias("score"), gaps.cast("int").alias("hard_gaps"), sure.alias("confidence"))
 
 
-def top_matches(scores: DataFrame, cheap: int = 20, keep: int = 10) -> DataFrame:
-    """Two stages: the `cheap` postings of each profile with the most shared terms, then the best `keep` of them by score. scores: posting_id, profile_id, shared, score."""
-    first = Window.partitionBy("profile_id").orderBy(F.desc("shared"), "posting_id")
+def top_matches(scored: DataFrame, keep: int = 10) -> DataFrame:
+    """The `keep` best of each profile's scored pairs: by score, then shared terms, then posting_id."""
     best = Window.partitionBy("profile_id").orderBy(F.desc_nulls_last("score"), F.desc("shared"), "posting_id")
-    return scores.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= cheap).withColumn("match_rank", F.row_number().over(best)).where(F.col("match_rank") <= keep).drop("_n")
+    return scored.withColumn("match_rank", F.row_number().over(best)).where(F.col("match_rank") <= keep)
 
 
-def draft_letters(proofs: DataFrame, requirements: DataFrame, postings: DataFrame) -> DataFrame:
-    """(posting_id, profile_id, letter) where the posting allows a letter and two different lines are evidence; three lines at most."""
+def draft_letters(scored: DataFrame, postings: DataFrame) -> DataFrame:
+    """(posting_id, profile_id, letter) of the scored pairs whose posting allows a letter and that have two different lines of evidence; three lines at most."""
     allowed = postings.where(letter_requirement(F.col("description")).isin("required", "optional", "mentioned")).select("posting_id", "title", "company", F.concat_ws("\n", "title", "description").alias("_text"))
-    lines = proofs.where("supported").groupBy("posting_id", "profile_id", "excerpt").agg(F.min("no").alias("no"))
-    best = lines.groupBy("posting_id", "profile_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("no", "excerpt"))), 1, 3).alias("_e")).where(F.size("_e") >= 2)
+    lines = F.array_distinct(F.transform(F.filter("evidence", lambda e: e["supported"]), lambda e: e["excerpt"]))
+    best = scored.select("posting_id", "profile_id", lines.alias("_lines")).where(F.size("_lines") >= 2).select("posting_id", "profile_id", F.slice("_lines", 1, 3).alias("_e"))
     padded = F.concat(F.lit(" "), normal(F.col("_text")), F.lit(" "))
     family = F.lit("finance / analyst")
     for label, terms in reversed(FAMILIES):
@@ -200,7 +254,7 @@ def draft_letters(proofs: DataFrame, requirements: DataFrame, postings: DataFram
         for t in terms:
             test = test | padded.contains(f" {t} ")
         family = F.when(test, label).otherwise(family)
-    body = F.array_join(F.transform("_e", lambda e: F.when(e["excerpt"].rlike("^[-*•▪‣]"), e["excerpt"]).otherwise(F.concat(F.lit("- "), e["excerpt"]))), "\n")
+    body = F.array_join(F.transform("_e", lambda e: F.when(e.rlike("^[-*•▪‣]"), e).otherwise(F.concat(F.lit("- "), e))), "\n")
     letter = F.concat(F.lit("Dear Hiring Manager,\n\nPlease consider my application for the "), F.col("title"), F.lit(" position at "), F.col("company"), F.lit(". My profile contains documented evidence relevant to this "), family, F.lit(" role.\n\nRelevant evidence from my profile:\n"), body, F.lit("\n\nRegards,\n[Your name]"))
     return best.join(allowed, "posting_id").select("posting_id", "profile_id", letter.alias("letter"))
 

@@ -71,45 +71,59 @@ def requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mt.extract_requirements(postings(spark, sf_dir)).select("posting_id", "label", "type")
 
 
-def _proofs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    jobs = postings(spark, sf_dir).where("active and posting_id % 50 < 2")
+def _scored(spark: SparkSession, sf_dir: str, jobs: DataFrame | None = None) -> DataFrame:
+    """Each profile with its 20 likeliest active postings, scored."""
+    jobs = postings(spark, sf_dir).where("active") if jobs is None else jobs
     people = profiles(spark, sf_dir)
-    asked = mt.extract_requirements(jobs)
-    return asked, mt.evidence(asked, mt.profile_terms(mt.profile_lines(people))), jobs, people
+    pairs = mt.likely_pairs(mt.term_sets(jobs, "posting_id", F.concat_ws("\n", "title", "description"), ("finance", "tools", "business")), mt.term_sets(people, "profile_id", F.col("text")))
+    asked = mt.extract_requirements(jobs.join(pairs.select("posting_id").distinct(), "posting_id", "left_semi"))
+    return mt.scored_pairs(pairs, asked, mt.profile_terms(mt.profile_lines(people)), jobs, people)
 
 
-@query(f"WITH p AS (SELECT * FROM ({POSTINGS}) z WHERE active AND posting_id % 50 < 2), s AS (SELECT posting_id, unnest({_list(_RTEXT, ('finance', 'tools', 'business'))}) AS term FROM p), t AS (SELECT profile_id, unnest({_list('text')}) AS term FROM ({PROFILES}) q) SELECT posting_id, profile_id, count(*) AS n FROM s JOIN t USING (term) GROUP BY ALL")
+_PAIRS = f"""WITH p AS (SELECT *, {_list(_RTEXT, ('finance', 'tools', 'business'))} AS skills, {_list('title')} AS tt, len({_list(_RTEXT, ('finance',))}) > 0 AS fin FROM ({POSTINGS}) z WHERE active), q AS (SELECT profile_id, {_list('text')} AS terms, len({_list('text', ('finance',))}) > 0 AS has FROM ({PROFILES}) y),
+ s AS (SELECT posting_id, unnest(skills) AS term FROM p), t AS (SELECT profile_id, unnest(terms) AS term FROM q), g AS (SELECT posting_id, profile_id, count(*) AS shared FROM s JOIN t USING (term) GROUP BY ALL),
+ a AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY profile_id ORDER BY shared DESC, posting_id) <= 20)"""
+
+
+@query(_PAIRS + " SELECT posting_id, profile_id, shared AS n FROM a")
 def evidence_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _proofs(spark, sf_dir)[1].groupBy("posting_id", "profile_id").agg(F.count("*").alias("n"))
+    return _scored(spark, sf_dir).select("posting_id", "profile_id", F.size("evidence").cast("long").alias("n"))
 
 
-_SCORES = f"""WITH p AS (SELECT *, {_list(_RTEXT, ('finance', 'tools', 'business'))} AS skills, {_list('title')} AS tt, len({_list(_RTEXT, ('finance',))}) > 0 AS fin FROM ({POSTINGS}) z WHERE active AND posting_id % 50 < 2), q AS (SELECT profile_id, {_list('text')} AS terms, len({_list('text', ('finance',))}) > 0 AS has FROM ({PROFILES}) y),
- s AS (SELECT posting_id, unnest(skills) AS term FROM p), t AS (SELECT profile_id, unnest(terms) AS term FROM q), g AS (SELECT posting_id, profile_id, count(*) AS shared FROM s JOIN t USING (term) GROUP BY ALL),
- x AS (SELECT posting_id, profile_id, shared, list_filter([shared / len(skills), CASE WHEN len(tt) > 0 THEN len(list_intersect(tt, terms)) / len(tt) END, CASE WHEN fin THEN CASE WHEN has THEN 1.0 ELSE 0.0 END END], lambda v: v IS NOT NULL) AS cover FROM g JOIN p USING (posting_id) JOIN q USING (profile_id)),
+_SCORES = _PAIRS + """,
+ x AS (SELECT posting_id, profile_id, shared, list_filter([shared / len(skills), CASE WHEN len(tt) > 0 THEN len(list_intersect(tt, terms)) / len(tt) END, CASE WHEN fin THEN CASE WHEN has THEN 1.0 ELSE 0.0 END END], lambda v: v IS NOT NULL) AS cover FROM a JOIN p USING (posting_id) JOIN q USING (profile_id)),
  k AS (SELECT posting_id, profile_id, shared, CAST(floor(list_sum(cover) / len(cover) * 100 + 0.5) AS INTEGER) AS score FROM x)"""
 
 
 @query(_SCORES + " SELECT posting_id, profile_id, score FROM k")
 def match_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mt.match_scores(*_proofs(spark, sf_dir)).select("posting_id", "profile_id", "score")
+    return _scored(spark, sf_dir).select("posting_id", "profile_id", "score")
+
 
+_TOP = _SCORES + ", b AS (SELECT *, CAST(row_number() OVER (PARTITION BY profile_id ORDER BY score DESC NULLS LAST, shared DESC, posting_id) AS INTEGER) AS match_rank FROM k)"
 
-@query(_SCORES + ", a AS (SELECT *, row_number() OVER (PARTITION BY profile_id ORDER BY shared DESC, posting_id) AS r FROM k), b AS (SELECT *, CAST(row_number() OVER (PARTITION BY profile_id ORDER BY score DESC NULLS LAST, shared DESC, posting_id) AS INTEGER) AS match_rank FROM a WHERE r <= 20) SELECT posting_id, profile_id, score, match_rank FROM b WHERE match_rank <= 10")
+
+@query(_TOP + " SELECT posting_id, profile_id, score, match_rank FROM b WHERE match_rank <= 10")
 def top_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked, proofs, jobs, people = _proofs(spark, sf_dir)
-    shared = proofs.groupBy("posting_id", "profile_id").agg(F.count("*").alias("shared"))
-    return mt.top_matches(mt.match_scores(asked, proofs, jobs, people).join(shared, ["posting_id", "profile_id"])).select("posting_id", "profile_id", "score", "match_rank")
+    return mt.top_matches(_scored(spark, sf_dir)).select("posting_id", "profile_id", "score", "match_rank")
+
+
+_LETTER = "concat(description, CASE posting_id % 4 WHEN 0 THEN ' A cover letter is optional.' WHEN 1 THEN ' Please include a motivation letter.' ELSE '' END)"
 
 
 @query()
 def letters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked, proofs, jobs, _ = _proofs(spark, sf_dir)
-    return mt.draft_letters(proofs, asked, jobs.withColumn("description", F.expr("concat(description, ' A cover letter is optional.')")))
+    jobs = postings(spark, sf_dir).where("active").withColumn("description", F.expr(_LETTER))
+    return mt.draft_letters(mt.top_matches(_scored(spark, sf_dir, jobs)), jobs)
+
+
+_WORDED = "concat(text, CASE doc_id % 5 WHEN 0 THEN concat(chr(10), 'A cover letter is required.') WHEN 1 THEN ' A covering letter is optional. Please submit your marks.' WHEN 2 THEN concat(chr(10), 'Your motivation letter tells us more.') WHEN 3 THEN concat(chr(10), 'Please attach a cover letter.') ELSE '' END)"
+_SAID = "list_filter(regexp_split_to_array(replace(t, '.', concat('.', chr(10))), chr(10)), lambda v: regexp_matches(v, '(?i)cover letter|covering letter|motivation letter|letter of motivation'))[1]"
 
 
-@query("SELECT doc_id, CASE WHEN trim(text) = '' THEN 'unknown' ELSE 'not_mentioned' END AS letter FROM documents")
+@query(f"SELECT doc_id, CASE WHEN trim(coalesce(t, '')) = '' THEN 'unknown' WHEN said IS NULL THEN 'not_mentioned' WHEN regexp_matches(said, '(?i)\\b(required|must|mandatory|please (submit|include|attach)|submit .*cover)') THEN 'required' WHEN regexp_matches(said, '(?i)\\boptional\\b') THEN 'optional' ELSE 'mentioned' END AS letter FROM (SELECT doc_id, t, {_SAID} AS said FROM (SELECT doc_id, {_WORDED} AS t FROM documents) d) z")
 def letter_wording(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", mt.letter_requirement(F.col("text")).alias("letter"))
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", mt.letter_requirement(F.expr(_WORDED)).alias("letter"))
 
 
 _MX = "SELECT DISTINCT concat('d', CAST(c_nationkey % 9 AS VARCHAR), '.example.com') AS domain, c_nationkey % 9 AS k FROM customer WHERE c_nationkey % 9 <> 3"
