@@ -163,12 +163,12 @@ def retained_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retain_last(outreach(spark, sf_dir).withColumn("domain", F.expr("split_part(email, '@', 2)")), ["domain"], 200, [F.desc("sent_no")]).select("contact_id")
 
 
-@query("WITH q AS (SELECT unnest(['click', 'view', 'signup', 'purchase', 'error']) AS question_id, unnest([1, 2, 3, 4, 5]) AS position), a AS (SELECT DISTINCT user_id AS respondent, event_type AS question_id FROM events WHERE ts < TIMESTAMP '2024-01-02'), r AS (SELECT DISTINCT respondent FROM a) SELECT r.respondent, CAST(count(a.question_id) AS INTEGER) AS answered, 5 AS total, CAST(floor(100 * count(a.question_id) / 5 + 0.5) AS INTEGER) AS percent FROM r CROSS JOIN q LEFT JOIN a ON a.respondent = r.respondent AND a.question_id = q.question_id GROUP BY ALL")
+@query("WITH q AS (SELECT unnest(['click', 'view', 'signup', 'purchase', 'error']) AS question_id, unnest([1, 2, 3, 4, 5]) AS position), a AS (SELECT DISTINCT user_id AS respondent, event_type AS question_id FROM events), r AS (SELECT DISTINCT respondent FROM a) SELECT r.respondent, CAST(count(a.question_id) AS INTEGER) AS answered, 5 AS total, CAST(floor(100 * count(a.question_id) / 5 + 0.5) AS INTEGER) AS percent FROM r CROSS JOIN q LEFT JOIN a ON a.respondent = r.respondent AND a.question_id = q.question_id GROUP BY ALL")
 def survey_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     names = e.select("event_type").distinct()
     questions = names.selectExpr("event_type as question_id", "array_position(array('click', 'view', 'signup', 'purchase', 'error'), event_type) as position", "event_type as prompt", "event_type <> 'error' as recommended")
-    return ct.survey_completion(e.where("ts < timestamp'2024-01-02'").selectExpr("user_id as respondent", "event_type as question_id", "array(event_type) as value"), questions).select("respondent", "answered", "total", "percent")
+    return ct.survey_completion(e.selectExpr("user_id as respondent", "event_type as question_id", "array(event_type) as value"), questions).select("respondent", "answered", "total", "percent")
 
 
 @query("WITH f AS (SELECT o_orderkey AS application_id, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) + CAST(o_orderkey % 5 AS INTEGER) END AS next_at FROM orders) SELECT application_id, CASE WHEN next_at IS NULL THEN 'none' WHEN next_at - DATE '1995-06-01' <= 0 THEN 'due' WHEN next_at - DATE '1995-06-01' <= 7 THEN 'soon' ELSE 'later' END AS due FROM f")
@@ -234,14 +234,20 @@ def fresh_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TRIES = "CASE WHEN event_type = 'purchase' THEN 'ok' WHEN event_id % 29 = 0 THEN 'gone' ELSE 'error' END"
 
 
-@query(f"WITH t AS (SELECT user_id AS job_id, {_TRIES} AS outcome, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_type <> 'view'), f AS (SELECT job_id, min(n) FILTER (WHERE outcome <> 'error') AS stop, max(n) AS tries FROM t WHERE n <= 5 GROUP BY ALL) SELECT f.job_id, CASE WHEN t.outcome = 'ok' THEN 'sent' WHEN t.outcome = 'gone' OR tries >= 5 THEN 'failed' ELSE 'pending' END AS status, CAST(least(tries, coalesce(stop, 5)) AS INTEGER) AS attempts FROM f LEFT JOIN t ON t.job_id = f.job_id AND t.n = f.stop")
+@query(f"""WITH RECURSIVE t AS (SELECT user_id AS job_id, epoch_us(ts) AS at, {_TRIES} AS outcome, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE event_type <> 'view'),
+ j AS (SELECT DISTINCT user_id AS job_id FROM events),
+ r AS (SELECT job_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS last, 0 AS n, 'pending' AS status FROM j
+ UNION ALL SELECT r.job_id, t.k, CASE WHEN r.last IS NULL OR t.at - r.last >= 300000000 THEN t.at ELSE r.last END, CASE WHEN r.last IS NULL OR t.at - r.last >= 300000000 THEN r.n + 1 ELSE r.n END,
+ CASE WHEN NOT (r.last IS NULL OR t.at - r.last >= 300000000) THEN 'pending' WHEN t.outcome = 'ok' THEN 'sent' WHEN t.outcome = 'gone' OR r.n + 1 >= 5 THEN 'failed' ELSE 'pending' END
+ FROM r JOIN t ON t.job_id = r.job_id AND t.k = r.k + 1 WHERE r.status = 'pending')
+ SELECT job_id, arg_max(status, k) AS status, CAST(max(n) AS INTEGER) AS attempts FROM r GROUP BY job_id""")
 def outbox_final(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _events(spark, sf_dir)
     attempts = e.where("event_type <> 'view'").selectExpr("user_id as job_id", "ts", "event_id as attempt_id", f"{_TRIES} as outcome")
     return ev.outbox_final(e.selectExpr("user_id as job_id", "ts as at"), attempts).select("job_id", "status", "attempts")
 
 
-@query(ORACLE_SQL["outbox_final"].replace("SELECT f.job_id, CASE", "SELECT status, count(*) AS n FROM (SELECT f.job_id, CASE") + ") z GROUP BY status")
+@query(f'SELECT status, count(*) AS n FROM ({ORACLE_SQL["outbox_final"]}) z GROUP BY status')
 def outbound_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.outbound_summary(outbox_final(spark, sf_dir))
 

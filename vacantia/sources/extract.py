@@ -16,6 +16,7 @@ LISTING = ("source_external_id", "company", "title", "location", "category", "de
 TEXT_CAP = 20_000
 # Platform words in the order they are tried.
 PLATFORMS = (("workday", "Workday"), ("taleo", "Taleo"), ("successfactors", "SuccessFactors"), ("eightfold", "Eightfold"), ("avature", "Avature"), ("icims", "iCIMS"), ("greenhouse", "Greenhouse"), ("phenom", "Phenom"), ("smartrecruiters", "SmartRecruiters"), ("lever", "Lever"), ("beamery", "Beamery"))
+# Wording of closed postings, places in Markdown lines, and labels that name no posting.
 CLOSED = r"(?i)no longer (?:available|accepting|open|active|in effect)|(?:job|position|posting|requisition|vacancy|opening|role|listing)[^.!?\n]{0,80}(?:is|has|was)[^.!?\n]{0,40}(?:closed|filled|removed|expired|deleted|cancelled|canceled|unavailable|inactive)"
 MARKDOWN_PLACE = r"(?i)\b(?:india|bengaluru|bangalore|gurgaon|gurugram|mumbai|pune|hyderabad|delhi|noida|chennai)\b"
 GENERIC_LABEL = r"(?i)^(?:home|careers?|search|learn more|view all|apply now)$"
@@ -65,7 +66,7 @@ def extract_html_listings(raw: DataFrame, mapping: dict[str, dict[str, str]]) ->
     out = None
     for connector, p in mapping.items():
         body = F.col("body")
-        cards = F.regexp_extract_all(body, F.lit(p["card"]), F.lit(0)) if "card" in p else F.slice(F.split(body, f"(?={p['start']})"), 2, 100_000)
+        cards = F.regexp_extract_all(body, F.lit(p["card"]), F.lit(0)) if "card" in p else F.filter(F.split(body, f"(?={p['start']})"), lambda _, i: i > 0)
         items = raw.where(F.col("connector_id") == connector).select("connector_id", "page_no", F.posexplode(cards).alias("pos", "_card"))
         field = lambda c, p=p: F.nullif(plain_text(F.regexp_extract("_card", p[c], 1), None), F.lit("")) if c in p else F.lit(None).cast("string")
         rows = items.select("connector_id", "page_no", "pos", *[field(c).alias(c) for c in LISTING])
@@ -74,12 +75,20 @@ def extract_html_listings(raw: DataFrame, mapping: dict[str, dict[str, str]]) ->
 
 
 def extract_jsonld(pages: DataFrame, kind: str = "JobPosting", html: str = "html") -> DataFrame:
-    """One row (all columns and `node`, JSON text) for each JSON-LD object of the kind, in arrays and @graph too. Malformed blocks are skipped."""
+    """One row (all columns and `node`, JSON text) for each JSON-LD object of the kind, in arrays and @graph at any depth. Malformed blocks are skipped."""
     blocks = pages.withColumn("_block", F.explode(F.regexp_extract_all(html, F.lit(r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"), F.lit(1))))
     v = blocks.withColumn("_v", F.try_parse_json("_block")).where("_v is not null").drop("_block")
-    for _ in range(2):  # arrays and graphs nest once or twice
-        nested = F.array_compact(F.flatten(F.array(F.coalesce(F.try_variant_get("_v", "$", "array<variant>"), F.array(F.col("_v"))), F.coalesce(F.try_variant_get("_v", "$['@graph']", "array<variant>"), F.array().cast("array<variant>")))))
-        v = v.withColumn("_v", F.explode(nested))
+    array, graph = F.try_variant_get("_v", "$", "array<variant>"), F.try_variant_get("_v", "$['@graph']", "array<variant>")
+    levels = [v.where(array.isNull())]
+    while True:  # one level of nesting each
+        none = F.array().cast("array<variant>")
+        v = v.where(array.isNotNull() | graph.isNotNull()).withColumn("_v", F.explode(F.array_compact(F.concat(F.coalesce(array, none), F.coalesce(graph, none)))))
+        if v.isEmpty():
+            break
+        levels.append(v.where(array.isNull()))
+    v = levels[0]
+    for more in levels[1:]:
+        v = v.unionByName(more)
     named = F.coalesce(F.try_variant_get("_v", "$['@type']", "string"), F.lit(""))
     found = v.where(named.contains(kind)).withColumn("node", F.to_json("_v")).drop("_v")
     return found.dropDuplicates([*[c for c in pages.columns if c != html], "node"])

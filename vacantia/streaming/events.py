@@ -24,8 +24,15 @@ def _micros(at: Column | str) -> Column:
 
 def rate_violations(events: DataFrame, seconds: int, limit: int, key: str | None = None) -> DataFrame:
     """Events that are more than the limit-th in the trailing window (of their key), exactly. Counts all demand."""
-    w = Window.partitionBy(*([key] if key else [F.lit(0)])).orderBy(_micros("ts")).rangeBetween(-seconds * 1_000_000 + 1, 0)
-    return events.withColumn("in_window", F.count("*").over(w)).where(F.col("in_window") > limit)
+    at, micros = _micros("ts"), seconds * 1_000_000
+    if key is not None:
+        w = Window.partitionBy(key).orderBy(at).rangeBetween(-micros + 1, 0)
+        return events.withColumn("in_window", F.count("*").over(w)).where(F.col("in_window") > limit)
+    # Without a key, windows reach into one earlier bucket of the window's length: each event is counted in its own bucket and looked at from the next.
+    keyed = events.withColumn("_own", F.floor(at / micros))
+    both = keyed.withColumn("_bucket", F.explode(F.array(F.col("_own"), F.col("_own") + 1)))
+    w = Window.partitionBy("_bucket").orderBy(at).rangeBetween(-micros + 1, 0)
+    return both.withColumn("in_window", F.count("*").over(w)).where((F.col("_bucket") == F.col("_own")) & (F.col("in_window") > limit)).drop("_own", "_bucket")
 
 
 def stream_rate(events: DataFrame, seconds: int, slide: int, limit: int, key: str, late: str = "1 minute") -> DataFrame:
@@ -74,47 +81,57 @@ def stream_cooldown(events: DataFrame, seconds: int) -> DataFrame:
     return events.groupBy("user_id").transformWithStateInPandas(_Cooldown(seconds), "user_id long, ts timestamp, event_id long", "Append", "None")
 
 
-def outbox_final(jobs: DataFrame, attempts: DataFrame, most: int = 5) -> DataFrame:
+#: Seconds between two attempts for one notification.
+RETRY_SECONDS = 300
+
+
+def outbox_final(jobs: DataFrame, attempts: DataFrame, most: int = 5, retry: int = RETRY_SECONDS) -> DataFrame:
     """Final state of each notification: enqueued once for a new job, sent by the first success; failed without target or after `most` attempts, else pending.
 
-    jobs: job_id, at. attempts: job_id, ts, attempt_id, outcome (ok, gone, error).
+    An attempt counts if the last one that counted is at least `retry` seconds older; earlier ones find the notification waiting and do nothing.
+    jobs: job_id, at. attempts: job_id, ts, attempt_id, outcome (ok, gone, error). A job's state is a few values; its attempts are folded in time order.
     """
     once = jobs.groupBy("job_id").agg(F.min("at").alias("enqueued_at"))
-    order = Window.partitionBy("job_id").orderBy("ts", "attempt_id")
-    tried = attempts.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most)
-    by = tried.groupBy("job_id").agg(F.min(F.when(F.col("outcome") == "ok", F.col("_n"))).alias("_ok"), F.min(F.when(F.col("outcome") == "gone", F.col("_n"))).alias("_gone"), F.max("_n").alias("_tries"))
-    x = once.join(by, "job_id", "left")
-    first = F.least(F.coalesce("_ok", F.lit(most + 1)), F.coalesce("_gone", F.lit(most + 1)))
-    status = F.when(F.col("_tries").isNull(), "pending").when(first == F.col("_ok"), "sent").when(first == F.col("_gone"), "failed").when(F.col("_tries") >= most, "failed").otherwise("pending")
-    return x.select("job_id", "enqueued_at", status.alias("status"), F.least(F.coalesce("_tries", F.lit(0)), F.when(first <= most, first).otherwise(most)).alias("attempts"))
+    counted = attempts.groupBy("job_id").agg(F.sort_array(F.collect_list(F.struct("ts", "attempt_id", "outcome"))).alias("_tries"))
+    start = F.struct(F.lit(None).cast("long").alias("last"), F.lit(0).alias("n"), F.lit("pending").alias("status"))
+
+    def step(state: Column, x: Column) -> Column:
+        at, n = _micros(x["ts"]), state["n"] + 1
+        due = (state["status"] == "pending") & (state["last"].isNull() | (at - state["last"] >= retry * 1_000_000))
+        status = F.when(x["outcome"] == "ok", "sent").when((x["outcome"] == "gone") | (n >= most), "failed").otherwise("pending")
+        return F.when(due, F.struct(at.alias("last"), n.alias("n"), status.alias("status"))).otherwise(state)
+
+    x = once.join(counted.select("job_id", F.aggregate("_tries", start, step).alias("_s")), "job_id", "left")
+    return x.select("job_id", "enqueued_at", F.coalesce("_s.status", F.lit("pending")).alias("status"), F.coalesce("_s.n", F.lit(0)).alias("attempts"))
 
 
 class _Outbox(StatefulProcessor):
-    """State of a job's notification: number of attempts, and its status once that is final."""
+    """State of a job's notification: number of attempts, its status once that is final, and the time of the last attempt that counted."""
 
-    def __init__(self, most: int):
-        self.most = most
+    def __init__(self, most: int, retry: int):
+        self.most, self.retry = most, timedelta(seconds=retry)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", "attempts int, status string")
+        self.state = handle.getValueState("state", "attempts int, status string, last timestamp")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        n, status = self.state.get() if self.state.exists() else (0, "pending")
+        n, status, last = self.state.get() if self.state.exists() else (0, "pending", None)
         for part in rows:
             for r in part.sort_values(["ts", "attempt_id"]).itertuples():
-                if status == "pending" and r.outcome != "new":
-                    n += 1
+                at = r.ts.to_pydatetime()
+                if status == "pending" and r.outcome != "new" and (last is None or at - last >= self.retry):
+                    n, last = n + 1, at
                     status = "sent" if r.outcome == "ok" else "failed" if r.outcome == "gone" or n >= self.most else "pending"
-        self.state.update((n, status))
+        self.state.update((n, status, last))
         yield pd.DataFrame({"job_id": [key[0]], "status": [status], "attempts": [n]})
 
     def close(self) -> None:
         pass
 
 
-def stream_outbox(changes: DataFrame, most: int = 5) -> DataFrame:
-    """Streaming form: rows (job_id, ts, attempt_id, outcome), outcome `new` enqueues; emits a job's state whenever it has rows."""
-    return changes.groupBy("job_id").transformWithStateInPandas(_Outbox(most), "job_id long, status string, attempts int", "Update", "None")
+def stream_outbox(changes: DataFrame, most: int = 5, retry: int = RETRY_SECONDS) -> DataFrame:
+    """Streaming form of outbox_final: rows (job_id, ts, attempt_id, outcome), outcome `new` enqueues; emits a job's state whenever it has rows."""
+    return changes.groupBy("job_id").transformWithStateInPandas(_Outbox(most, retry), "job_id long, status string, attempts int", "Update", "None")
 
 
 def outbound_summary(outbox: DataFrame) -> DataFrame:
