@@ -7,7 +7,7 @@ task by nature, and each key holds a few values only.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from datetime import datetime, timedelta, timezone
+from datetime import timedelta
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -157,21 +157,20 @@ class _Watchdog(StatefulProcessor):
         self.millis = minutes * 60_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.last = handle, handle.getValueState("last", "millis long")
+        self.handle, self.last = handle, handle.getValueState("last", "micros long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        newest = max(int(part.ts.max().timestamp() * 1000) for part in rows)
+        newest = max(part.ts.max().value // 1000 for part in rows)
         if self.last.exists():
             was = self.last.get()[0]
             newest = max(newest, was)
-            self.handle.deleteTimer(was + self.millis)
+            self.handle.deleteTimer(was // 1000 + self.millis)
         self.last.update((newest,))
-        self.handle.registerTimer(newest + self.millis)
+        self.handle.registerTimer(newest // 1000 + self.millis)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        last = datetime.fromtimestamp(self.last.get()[0] / 1000, tz=timezone.utc).replace(tzinfo=None)
-        yield pd.DataFrame({"connector_id": [key[0]], "last_run_at": [pd.Timestamp(last)]})
+        yield pd.DataFrame({"connector_id": [key[0]], "last_run_at": [pd.Timestamp(self.last.get()[0], unit="us")]})
 
     def close(self) -> None:
         pass
