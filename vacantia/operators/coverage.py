@@ -8,8 +8,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vacantia.functions.names import company_key
 from vacantia.functions.wordlists import HEALTH
 
+#: How far the details of a source's postings are, best first.
+HYDRATION = ("complete", "backlog", "degraded")
+
 
 def reconcile_snapshot(pages: DataFrame, listings: DataFrame, policy: DataFrame) -> DataFrame:
     """Status of each snapshot: distinct listings against the advertised total, pages fetched against expected.
@@ -113,11 +117,16 @@ def present_jobs(jobs: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def company_directory(catalog: DataFrame, roles: DataFrame, cov: DataFrame) -> DataFrame:
-    """Catalog companies with their roles and best source (by status, then id). catalog: name, segment; roles: company; cov: company, connector_id, latest_status."""
-    rank = F.coalesce(F.create_map(*[x for k, s in enumerate(HEALTH) for x in (F.lit(s), F.lit(k))])[F.col("latest_status")], F.lit(9))
-    count = roles.groupBy("company").agg(F.count("*").alias("roles"))
-    best = cov.groupBy("company").agg(F.min_by(F.struct("connector_id", "latest_status"), F.struct(rank, "connector_id")).alias("_best"))
-    return catalog.join(count, catalog.name == count.company, "left").drop("company").join(best, catalog.name == best.company, "left").select("name", "segment", F.coalesce("roles", F.lit(0).cast("long")).alias("roles"), F.col("_best.connector_id").alias("best_connector"), F.coalesce("_best.latest_status", F.lit("not_checked")).alias("best_status"))
+    """Catalog companies with their roles and best source: by status, then hydration, then id. Spellings of a company are one (company_key).
+
+    catalog: name, segment; roles: company; cov: company, connector_id, latest_status, latest_hydration_status (complete, backlog, degraded).
+    """
+    order = lambda names, c: F.coalesce(F.create_map(*[x for k, s in enumerate(names) for x in (F.lit(s), F.lit(k))])[F.col(c)], F.lit(9))
+    rank = F.struct(order(HEALTH, "latest_status"), order(HYDRATION, "latest_hydration_status"), "connector_id")
+    count = roles.groupBy(company_key(F.col("company")).alias("_key")).agg(F.count("*").alias("roles"))
+    best = cov.groupBy(company_key(F.col("company")).alias("_key")).agg(F.min_by(F.struct("connector_id", "latest_status"), rank).alias("_best"))
+    named = catalog.withColumn("_key", company_key(F.col("name")))
+    return named.join(count, "_key", "left").join(best, "_key", "left").select("name", "segment", F.coalesce("roles", F.lit(0).cast("long")).alias("roles"), F.col("_best.connector_id").alias("best_connector"), F.coalesce("_best.latest_status", F.lit("not_checked")).alias("best_status"))
 
 
 def segment_counts(directory: DataFrame) -> DataFrame:

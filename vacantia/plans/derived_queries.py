@@ -13,7 +13,7 @@ from vacantia.operators import coverage as cov
 from vacantia.operators import matching as mt
 from vacantia.plans import result_queries as rq
 from vacantia.plans.inputs import POSTINGS, postings
-from vacantia.plans.page_queries import pages
+from vacantia.plans.page_queries import _TITLE, pages
 from vacantia.plans.postings_queries import _CLASSIFIED, _FEED, _NOISE, m
 from vacantia.sources import extract as x
 from vacantia.streaming import events as ev
@@ -47,7 +47,7 @@ def feed_by_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""SELECT 'role' AS origin, CAST(posting_id AS VARCHAR) AS item, title, company FROM {_FEED_ROWS} r
  UNION ALL SELECT 'portal', md5(concat_ws('|', 'portal', detail_url)), title, company FROM ({POSTINGS}) p WHERE {m('location', w.INDIA)} AND NOT {_NOISE} AND {m('title', w.DOMAIN_METADATA)}
- UNION ALL SELECT 'imported', CAST(page_id AS VARCHAR), trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>([^<]*)</title>', 1), '\\s+', ' ', 'g')), NULL FROM pages""")
+ UNION ALL SELECT 'imported', CAST(page_id AS VARCHAR), {_TITLE}, NULL FROM pages""")
 def whole_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     roles = feed(spark, sf_dir).selectExpr("cast(posting_id as string) as item", "title", "company")
     portal = ct.filter_portal(postings(spark, sf_dir)).selectExpr("portal_id as item", "title", "company")

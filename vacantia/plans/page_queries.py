@@ -56,9 +56,27 @@ def platform_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.detect_platform(pages(spark, sf_dir)).groupBy("platform").agg(F.count("*").alias("n"))
 
 
-@query(r"""SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>([^<]*)</title>', 1), '\s+', ' ', 'g')) AS title, 'title' AS source, 'low' AS confidence, regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1), '^www\.', '') AS host FROM pages""")
+_TITLE = r"regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"
+for _e, _s in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+    _TITLE = f"replace({_TITLE}, '{_e}', '{_s}')"
+_TITLE = rf"trim(regexp_replace({_TITLE}, '\s+', ' ', 'g'))"
+
+# Every fourth page each: structured data, meta tags, only a title, only an address.
+_LD = """concat('<script type="application/ld+json">{"@graph":[{"@type":"JobPosting","title":"Role ', CAST(page_id AS VARCHAR(20)), '","hiringOrganization":{"name":"77-12 Acme Bank of the West Private Limited"},"jobLocation":{"address":{"addressLocality":"', CASE WHEN page_id % 8 = 0 THEN '111442-IND-PUNE-BLK B3' ELSE 'Oslo,, IN' END, '"}},"datePosted":"2024-05-01"}]}</script>', html)"""
+_TAGS = """concat('<meta property="og:title" content="Meta &amp; ', CAST(page_id AS VARCHAR(20)), '"><meta name="description" content="About it"><meta property="og:site_name" content="Globex International Holding"><meta name="location" content="Delhi NCR">', html)"""
+_VARIED = f"CASE page_id % 4 WHEN 0 THEN {_LD} WHEN 1 THEN {_TAGS} WHEN 2 THEN concat('<title>Credit Analyst | Acme Careers</title>', html) ELSE '<p>nothing</p>' END"
+_HOST = r"regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1), '^www\.', '')"
+
+
+@query(rf"""WITH p AS (SELECT page_id, regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', '') AS u, {_HOST} AS host FROM pages),
+ c AS (SELECT *, regexp_extract(u, '[^/]/+([^/]+)$', 1) AS leaf, list_filter(string_split(host, '.'), lambda x: length(x) > 2 AND x NOT IN ('www', 'com', 'jobs'))[1] AS label, regexp_extract(u, '^[a-z]+://[^/]*/+([^/]+)', 1) AS seg FROM p),
+ e AS (SELECT *, list_filter([CASE page_id % 4 WHEN 0 THEN 'Acme Bank of the West' WHEN 1 THEN 'Globex International' END, CASE WHEN length(seg) > 2 THEN replace(seg, '-', ' ') END, replace(label, '-', ' ')], lambda v: v IS NOT NULL AND length(v) >= 3) AS names FROM c)
+ SELECT page_id, CASE page_id % 4 WHEN 0 THEN concat('Role ', CAST(page_id AS VARCHAR)) WHEN 1 THEN concat('Meta & ', CAST(page_id AS VARCHAR)) WHEN 2 THEN 'Credit Analyst' ELSE coalesce(nullif(trim(regexp_replace(replace(leaf, '-', ' '), '\b[0-9]{{3,}}\b', '')), ''), 'Role listing') END AS title,
+ list_filter(names, lambda v: length(v) = list_max(list_transform(names, lambda y: length(y))))[1] AS company, CASE page_id % 4 WHEN 0 THEN CASE WHEN page_id % 8 = 0 THEN 'Pune, India' ELSE 'Oslo,' END WHEN 1 THEN 'Delhi, India' ELSE '' END AS location,
+ CASE WHEN page_id % 4 = 0 THEN DATE '2024-05-01' END AS posted_at, CASE page_id % 4 WHEN 0 THEN 'jsonld' WHEN 1 THEN 'meta' ELSE 'title' END AS source, CASE page_id % 4 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS confidence, host FROM e""")
 def page_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return x.extract_page_records(pages(spark, sf_dir))
+    varied = pages(spark, sf_dir).withColumn("html", F.expr(_VARIED.replace("VARCHAR(20)", "STRING")))
+    return x.extract_page_records(varied)
 
 
 _CODE = "CASE page_id % 5 WHEN 0 THEN 404 WHEN 1 THEN 500 ELSE 200 END"

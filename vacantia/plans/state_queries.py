@@ -172,14 +172,20 @@ def snapshot_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cov.reconcile_snapshot(pages, s, policy).select("connector_id", "listings_discovered", "status")
 
 
-_CATALOG = "SELECT concat('Company ', CAST(n_nationkey + 5 AS VARCHAR)) AS name, CASE n_regionkey WHEN 0 THEN 'Banks' WHEN 1 THEN 'Ratings' ELSE 'Other' END AS segment FROM nation"
-_DIRECTORY = _COV + f", k AS ({_CATALOG}), o AS (SELECT company, count(*) AS roles FROM ({POSTINGS}) p WHERE active AND posting_id % 4 = 0 AND posting_id % 11 < 3 GROUP BY ALL), z AS (SELECT concat('Company ', CAST(connector_id % 20 AS VARCHAR)) AS company, connector_id, latest_status, row_number() OVER (PARTITION BY connector_id % 20 ORDER BY CASE latest_status WHEN 'complete' THEN 0 WHEN 'partial' THEN 1 WHEN 'unsupported' THEN 2 WHEN 'anomalous' THEN 3 WHEN 'failed' THEN 4 ELSE 9 END, connector_id) AS n FROM c), d AS (SELECT name, segment, coalesce(roles, 0) AS roles, z.connector_id AS best_connector, coalesce(z.latest_status, 'not_checked') AS best_status FROM k LEFT JOIN o ON o.company = name LEFT JOIN z ON z.company = name AND n = 1)"
+_HYDRATION = "CASE WHEN candidate_backlog = 0 THEN 'complete' WHEN candidate_backlog < 3 THEN 'backlog' ELSE 'degraded' END"
+_NAME = "CASE n_nationkey WHEN 0 THEN 'JPMorgan Chase' WHEN 1 THEN 'PwC SDC' ELSE concat('COMPANY-', CAST(n_nationkey + 5 AS VARCHAR(10))) END"
+_EMPLOYER = "CASE {k} WHEN 0 THEN 'J.P. Morgan' WHEN 1 THEN 'pwc' ELSE concat('Company ', CAST({k} AS VARCHAR(10))) END"
+_SAME = "CASE WHEN regexp_replace(lower({v}), '[^a-z0-9]', '', 'g') = 'jpmorganchase' THEN 'jpmorgan' WHEN regexp_replace(lower({v}), '[^a-z0-9]', '', 'g') = 'pwcsdc' THEN 'pwc' ELSE regexp_replace(lower({v}), '[^a-z0-9]', '', 'g') END"
+_CATALOG = f"SELECT {_NAME} AS name, CASE n_regionkey WHEN 0 THEN 'Banks' WHEN 1 THEN 'Ratings' ELSE 'Other' END AS segment FROM nation"
+_DIRECTORY = _COV + f", k AS ({_CATALOG}), o AS (SELECT company, count(*) AS roles FROM (SELECT {_SAME.format(v=_EMPLOYER.format(k='(posting_id % 25)'))} AS company FROM ({POSTINGS}) y WHERE active) p GROUP BY ALL), z AS (SELECT {_SAME.format(v=_EMPLOYER.format(k='(connector_id % 20)'))} AS company, connector_id, latest_status, row_number() OVER (PARTITION BY connector_id % 20 ORDER BY CASE latest_status WHEN 'complete' THEN 0 WHEN 'partial' THEN 1 WHEN 'unsupported' THEN 2 WHEN 'anomalous' THEN 3 WHEN 'failed' THEN 4 ELSE 9 END, {_HYDRATION}, connector_id) AS n FROM c), d AS (SELECT name, segment, coalesce(roles, 0) AS roles, z.connector_id AS best_connector, coalesce(z.latest_status, 'not_checked') AS best_status FROM k LEFT JOIN o ON o.company = {_SAME.format(v='name')} LEFT JOIN z ON z.company = {_SAME.format(v='name')} AND n = 1)"
 
 
 def _directory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    catalog = spark.read.parquet(f"{sf_dir}/nation.parquet").selectExpr("concat('Company ', n_nationkey + 5) as name", "case n_regionkey when 0 then 'Banks' when 1 then 'Ratings' else 'Other' end as segment")
-    roles = postings(spark, sf_dir).where("active and posting_id % 4 = 0 and posting_id % 11 < 3")
-    return cov.company_directory(catalog, roles, cov.coverage(runs(spark, sf_dir)).withColumn("company", F.expr("concat('Company ', connector_id % 20)")))
+    said = lambda e: e.replace("VARCHAR(10)", "STRING")
+    catalog = spark.read.parquet(f"{sf_dir}/nation.parquet").selectExpr(f"{said(_NAME)} as name", "case n_regionkey when 0 then 'Banks' when 1 then 'Ratings' else 'Other' end as segment")
+    roles = postings(spark, sf_dir).where("active").selectExpr(f"{said(_EMPLOYER.format(k='(posting_id % 25)'))} as company")
+    sources = cov.coverage(runs(spark, sf_dir)).selectExpr("*", f"{said(_EMPLOYER.format(k='(connector_id % 20)'))} as company", f"{_HYDRATION} as latest_hydration_status")
+    return cov.company_directory(catalog, roles, sources)
 
 
 @query(_DIRECTORY + " SELECT * FROM d")

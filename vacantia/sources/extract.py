@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vacantia.functions.names import brand, clean_place, employer_from_host, employer_from_path, place_from_path
 from vacantia.functions.urls import canonical_url, generic_url, host
 from vacantia.functions.wordlists import INDIA
 
@@ -19,6 +20,7 @@ PLATFORMS = (("workday", "Workday"), ("taleo", "Taleo"), ("successfactors", "Suc
 # Wording of closed postings, places in Markdown lines, and labels that name no posting.
 CLOSED = r"(?i)no longer (?:available|accepting|open|active|in effect)|(?:job|position|posting|requisition|vacancy|opening|role|listing)[^.!?\n]{0,80}(?:is|has|was)[^.!?\n]{0,40}(?:closed|filled|removed|expired|deleted|cancelled|canceled|unavailable|inactive)"
 MARKDOWN_PLACE = r"(?i)\b(?:india|bengaluru|bangalore|gurgaon|gurugram|mumbai|pune|hyderabad|delhi|noida|chennai)\b"
+PAGE_SUFFIX = r"(?i)\s*[|–—-]\s*[^|–—-]{0,60}?\s*(?:careers?|jobs?|job search|hiring|apply now?)\s*$"
 GENERIC_LABEL = r"(?i)^(?:home|careers?|search|learn more|view all|apply now)$"
 
 
@@ -123,17 +125,30 @@ def build_observations(listings: DataFrame, details: DataFrame) -> tuple[DataFra
     return marked.where(F.size("missing") == 0).drop("missing"), marked.where(F.size("missing") > 0)
 
 
+def _meta(body: Column, *names: str) -> Column:
+    """Content of the first of the named meta tags that has any, or null."""
+    found = [F.nullif(F.trim(plain_text(F.regexp_extract(body, rf"""(?i)<meta\b[^>]*\b(?:property|name)\s*=\s*["']{n}["'][^>]*content\s*=\s*["']([^"']*)["']""", 1), None)), F.lit("")) for n in names]
+    return F.coalesce(*found)
+
+
 def extract_page_records(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """page_id, title, source (jsonld, meta, title or url), confidence, host: the best title that a page or its address gives."""
-    ld = extract_jsonld(pages.select(page_id, html), "JobPosting", html).groupBy(page_id).agg(F.min(F.get_json_object("node", "$.title")).alias("_ld"))
-    body = F.coalesce(F.col(html), F.lit(""))
-    meta = F.nullif(F.trim(F.regexp_extract(body, r'(?i)<meta[^>]*property="og:title"[^>]*content="([^"]*)"', 1)), F.lit(""))
-    title = F.nullif(F.trim(F.regexp_replace(F.regexp_extract(body, r"(?is)<title[^>]*>([^<]*)</title>", 1), r"\s+", " ")), F.lit(""))
-    path = F.nullif(F.trim(F.regexp_replace(F.regexp_extract(F.regexp_replace(F.col(url), r"[?#].*$", ""), r"/([^/]+)/?$", 1), r"[-_]+|\.html?$", " ")), F.lit(""))
-    x = pages.join(ld, page_id, "left").withColumns({"_meta": meta, "_title": title, "_path": path})
-    source = F.when(F.col("_ld").isNotNull(), "jsonld").when(F.col("_meta").isNotNull(), "meta").when(F.col("_title").isNotNull(), "title").otherwise("url")
-    confidence = F.when(F.col("_ld").isNotNull(), "high").when(F.col("_meta").isNotNull(), "medium").otherwise("low")
-    return x.select(page_id, F.coalesce("_ld", "_meta", "_title", "_path").alias("title"), source.alias("source"), confidence.alias("confidence"), host(F.col(url)).alias("host"))
+    """page_id, title, company, location, posted_at, source (jsonld, meta or title), confidence (high, medium, low), host: the best that a page or its address gives for each.
+
+    A page with several postings gives the first by its text.
+    """
+    get = lambda path: F.nullif(F.trim(F.get_json_object("_node", path)), F.lit(""))
+    ld = extract_jsonld(pages.select(page_id, html), "JobPosting", html).groupBy(page_id).agg(F.min("node").alias("_node"))
+    body, site = F.coalesce(F.col(html), F.lit("")), host(F.col(url))
+    title = F.nullif(plain_text(F.regexp_extract(body, r"(?is)<title[^>]*>(.*?)</title>", 1), None), F.lit(""))
+    title = F.nullif(F.trim(F.regexp_replace(title, PAGE_SUFFIX, "")), F.lit(""))
+    path = F.nullif(F.trim(F.regexp_replace(F.regexp_replace(F.regexp_extract(F.regexp_replace(F.col(url), r"[?#].*$", ""), r"[^/]/+([^/]+)/*$", 1), r"[-_]+", " "), r"\b[0-9]{3,}\b", "")), F.lit(""))
+    x = pages.join(ld, page_id, "left").withColumns({"_ld": get("$.title"), "_meta": _meta(body, "og:title", "twitter:title"), "_told": _meta(body, "og:description", "description", "twitter:description")})
+    employer = F.coalesce(get("$.hiringOrganization.name"), get("$.employerOverview.name"), F.when(~F.get_json_object("_node", "$.hiringOrganization").startswith("{"), get("$.hiringOrganization")))
+    place = F.coalesce(get("$.jobLocation.address.addressLocality"), get("$.jobLocation[0].address.addressLocality"), F.when(~F.get_json_object("_node", "$.jobLocation").rlike("^[{\\[]"), get("$.jobLocation")), _meta(body, "jobLocation", "location"))
+    source = F.when(F.col("_ld").isNotNull(), "jsonld").when(F.col("_meta").isNotNull() & F.col("_told").isNotNull(), "meta").otherwise("title")
+    confidence = F.when(source == "jsonld", "high").when(source == "meta", "medium").otherwise("low")
+    company = brand(_meta(body, "og:site_name"), employer, employer_from_path(F.col(url)), employer_from_host(site))
+    return x.select(page_id, F.substring(F.coalesce("_ld", "_meta", title, path, F.lit("Role listing")), 1, 200).alias("title"), F.substring(company, 1, 120).alias("company"), F.substring(F.coalesce(F.nullif(place_from_path(F.col(url)), F.lit("")), clean_place(place)), 1, 160).alias("location"), F.to_date(F.try_to_timestamp(get("$.datePosted"))).alias("posted_at"), source.alias("source"), confidence.alias("confidence"), site.alias("host"))
 
 
 def detect_platform(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
