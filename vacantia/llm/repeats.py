@@ -8,8 +8,9 @@ equal strings of LENGTH bytes share an aligned pair of sampled positions, from w
    neighbours compared. Equal neighbours from two places are repeats. Everything else is unique and needs no sorting.
 3. The verdicts go back to the texts as one bit for each position, and all bytes of repeated strings are removed.
 
-Names are fingerprints, moved as packed arrays: 5 bytes and the bucket in step 1, where a false survivor only costs work, all 8 bytes in step 2. A dropped name only
-saves work. Texts that are equal as a whole are one class and count as repeated from the start.
+Names are fingerprints, moved as packed arrays with the bucket, which holds their leading bits: 4 bytes in step 1, where a false survivor only costs work (one in
+some thousands, at any size), 7 bytes in step 2. A dropped name only saves work. Texts that are equal as a whole are one class and count as repeated from the start; only one row of a class names its positions. Which rows
+may keep still is told by bitmaps that never silence the one that has to speak, so a full bitmap costs work and no result.
 
 Null and empty texts have no bytes. Rows are judged by their text alone: repeated rows and ids are fine.
 """
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vacantia.llm.shared import Scratch, bit_filter, passes
+from vacantia.llm.shared import FILTER_BITS, Scratch, bit_filter, join_groups, passes
 from vacantia.llm.words import mix, powers, slices
 
 LENGTH = 200
@@ -33,8 +34,8 @@ LENGTH = 200
 V, COVER = 91, (0, 1, 3, 9, 27, 49, 56, 61, 77, 81)
 #: Names in a bucket, on average.
 BUCKET = 2_000_000
-#: Low bytes of a name that step 1 moves.
-SHORT = 5
+#: Low bytes of a name that steps 1 and 2 move.
+SHORT, LONG = 4, 7
 
 _VALUES = np.random.default_rng(31).integers(1, 1 << 63, 256, dtype=np.uint64)
 _SAMPLED = np.isin(np.arange(V), COVER)
@@ -73,11 +74,51 @@ def by_bucket(h: np.ndarray, bits: int) -> list[tuple[int, np.ndarray]]:
     return [(int(of[a]), p) for a, p in zip(at, np.split(h, at[1:]), strict=True)] if len(h) else []
 
 
-def candidates(data: np.ndarray, offsets: np.ndarray, length: int, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def low_bytes(h: np.ndarray, n: int) -> bytes:
+    return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n]).tobytes()
+
+
+def clipped(h: np.ndarray, bits: int) -> np.ndarray:
+    """Names without what neither the bucket (`bits` leading bits) nor the LONG low bytes hold."""
+    return h & np.uint64(((1 << bits) - 1) << (64 - bits) | ((1 << (8 * LONG)) - 1))
+
+
+def from_low_bytes(packed: bytes, n: int) -> np.ndarray:
+    out = np.zeros((len(packed) // n, 8), np.uint8)
+    out[:, :n] = np.frombuffer(packed, np.uint8).reshape(-1, n)
+    return out.view("<u8").reshape(-1)
+
+
+class NamesLeft:
+    """Bloom filter of the names that are left, by their low SHORT bytes: three bits of 32 for each name, as long as there is room."""
+
+    def __init__(self, found: DataFrame):
+        n = found.count()
+
+        def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for k in range(3):
+                    yield pa.RecordBatch.from_arrays([pa.array(NamesLeft.key(batch.column(0).to_numpy().view(np.uint64), k).view(np.int64))], names=["key"])
+
+        self.words = bit_filter(found.select("name").mapInArrow(spread, "key long"), F.col("key"), min(max((32 * n).bit_length(), FILTER_BITS[0]), FILTER_BITS[1]))
+
+    @staticmethod
+    def key(h: np.ndarray, k: int) -> np.ndarray:
+        return mix((h & np.uint64((1 << (8 * SHORT)) - 1)) * np.uint64(3) + np.uint64(k))
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        out = np.ones(len(h), bool)
+        for k in range(3):
+            open_ = np.flatnonzero(out)
+            out[open_] = passes(self.words, self.key(h[open_], k))
+        return out
+
+
+def candidates(data: np.ndarray, offsets: np.ndarray, length: int, left: NamesLeft) -> tuple[np.ndarray, np.ndarray]:
     """Positions whose string of `length` bytes holds a name that is left, with those strings' names."""
     at, h = sampled(data, offsets, length)
     hit = np.zeros(len(data) + V + 1, np.int32)
-    hit[at[passes(left, h)] + 1] = 1
+    hit[at[left.has(h)] + 1] = 1
     if not hit.any():
         return at[:0], h[:0]
     np.cumsum(hit, out=hit)
@@ -87,37 +128,57 @@ def candidates(data: np.ndarray, offsets: np.ndarray, length: int, left: np.ndar
     return (place, names(data, length)[place]) if len(place) else (place, h[:0])
 
 
-def _name_rows(length: int, bits: int) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+class Speakers:
+    """Rows that name their class's positions, by their keys: all but those in `silent`, unless they are in `speaks` too."""
+
+    def __init__(self, silent: np.ndarray, speaks: np.ndarray):
+        self.silent, self.speaks = silent, speaks
+
+    def of(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            key = batch.column(1).to_numpy()
+            yield batch.filter(pa.array(~passes(self.silent, key) | passes(self.speaks, key)))
+
+
+def speakers(rows: DataFrame, copies: DataFrame) -> Speakers:
+    """The first id of each class speaks. rows: key, cls, id; copies: cls, copies, first."""
+    several = join_groups(rows.select("key", "cls", "id"), copies, "cls", "copies").where("copies > 1")
+    silent = bit_filter(several.where("not (id <=> first)"), F.col("key"))
+
+    def doubtful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(passes(silent, batch.column(0).to_numpy())))
+
+    first = join_groups(rows.select("key", "cls", "id"), copies, "cls", "copies").where("id <=> first").select("key")
+    return Speakers(silent, bit_filter(first.mapInArrow(doubtful, "key long"), F.col("key")))
+
+
+def _name_rows(length: int, bits: int, who: Speakers) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in who.of(batches):
             for _, data, offsets in slices(batch, "text"):
                 pieces = by_bucket(twice(sampled(data, offsets, length)[1]), bits)
-                yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in pieces], pa.int32()), pa.array([np.ascontiguousarray(p.view(np.uint8).reshape(-1, 8)[:, :SHORT]).tobytes() for _, p in pieces], pa.binary())], names=["bucket", "names"])
+                yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in pieces], pa.int32()), pa.array([low_bytes(p, SHORT) for _, p in pieces], pa.binary())], names=["bucket", "names"])
 
     return run
 
 
 def _repeated_names(group: pd.DataFrame) -> pd.DataFrame:
-    short = np.frombuffer(b"".join(group["names"]), np.uint8).reshape(-1, SHORT)
-    h = np.zeros((len(short), 8), np.uint8)
-    h[:, :SHORT] = short
-    h = np.sort(h.view("<u8").reshape(-1))
+    h = np.sort(from_low_bytes(b"".join(group["names"]), SHORT))
     return pd.DataFrame({"name": np.unique(h[1:][h[1:] == h[:-1]]).view(np.int64)})
 
 
-def _prefix_rows(length: int, bits: int, left: np.ndarray) -> Callable:
+def _prefix_rows(length: int, bits: int, left: NamesLeft, who: Speakers) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = set()
-        for batch in batches:
+        for batch in who.of(batches):
             for _, data, offsets in slices(batch, "text"):
                 place, h = candidates(data, offsets, length, left)
+                h = clipped(h, bits)
                 cut = np.searchsorted(place, offsets)
                 rows: list[tuple[int, bytes, bytes]] = []
                 for k in np.flatnonzero(np.diff(cut)):
                     cls = hashlib.md5(data[offsets[k] : offsets[k + 1]].tobytes()).digest()
-                    if cls not in seen:
-                        seen.add(cls)
-                        rows += [(b, cls, p.tobytes()) for b, p in by_bucket(twice(h[cut[k] : cut[k + 1]]), bits)]
+                    rows += [(b, cls, low_bytes(p, LONG)) for b, p in by_bucket(twice(h[cut[k] : cut[k + 1]]), bits)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "cls", "names"])
 
     return run
@@ -126,7 +187,7 @@ def _prefix_rows(length: int, bits: int, left: np.ndarray) -> Callable:
 def _verdicts(group: pd.DataFrame) -> pd.DataFrame:
     """A bit for each different prefix of each class in the bucket: does it stand next to an equal one?"""
     group = group.drop_duplicates("cls")
-    each = [np.frombuffer(b, np.uint64) for b in group["names"]]
+    each = [from_low_bytes(b, LONG) for b in group["names"]]
     h = np.sort(np.concatenate(each))
     again = np.unique(h[1:][h[1:] == h[:-1]])
     own = [np.unique(e) for e in each]
@@ -139,13 +200,14 @@ def _verdicts(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"cls": [cls[k] for k in keep], "bucket": np.array([group["bucket"].iloc[0]] * len(keep), np.int32), "mask": [np.packbits(parts[k]).tobytes() for k in keep]})
 
 
-def _removed(length: int, bits: int, left: np.ndarray) -> Callable:
+def _removed(length: int, bits: int, left: NamesLeft) -> Callable:
     """(cls, n_removed, n_spans, kept_sha256, spans) from (cls, text, masks)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, offsets in slices(batch, "text"):
                 place, h = candidates(data, offsets, length, left)
+                h = clipped(h, bits)
                 cut = np.searchsorted(place, offsets)
                 out = []
                 for k, masks in enumerate(rows.column(2).to_pylist()):
@@ -172,21 +234,33 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     spark = docs.sparkSession
     scratch = Scratch(spark)
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    texts = source.select("text").where(F.octet_length("text") >= length)
-    rows = scratch.write(source.select("id", F.octet_length("text").cast("long").alias("n_bytes"), F.unhex(F.md5("text")).alias("cls"), F.sha2("text", 256).alias("sha")), "rows")
-    copies = rows.groupBy("cls").agg(F.count("*").alias("copies"))
+    cls = F.unhex(F.md5("text"))
+    texts = source.select("text", F.xxhash64(cls, "id").alias("key")).where(F.octet_length("text") >= length)
+    rows = scratch.write(source.select("id", F.octet_length("text").cast("long").alias("n_bytes"), cls.alias("cls"), F.sha2("text", 256).alias("sha"), F.xxhash64(cls, "id").alias("key")), "rows")
+    copies = scratch.write(rows.groupBy("cls").agg(F.count("*").alias("copies"), F.min("id").alias("first")), "copies")
     size = rows.agg(F.sum("n_bytes")).first()[0] or 0
     bits = max(4, int(size * len(COVER) / V / BUCKET).bit_length())
+    who = speakers(rows.where(F.col("n_bytes") >= length), copies)
 
-    by_name = texts.mapInArrow(_name_rows(length, bits), "bucket int, names binary").groupBy("bucket").applyInPandas(_repeated_names, "name long")
-    left = bit_filter(scratch.write(by_name, "names"), F.col("name"), 26)
+    by_name = texts.mapInArrow(_name_rows(length, bits, who), "bucket int, names binary").groupBy("bucket").applyInPandas(_repeated_names, "name long")
+    left = NamesLeft(scratch.write(by_name, "names"))
     scratch.drop("names")
-    verdicts = texts.mapInArrow(_prefix_rows(length, bits, left), "bucket int, cls binary, names binary").groupBy("bucket").applyInPandas(_verdicts, "cls binary, bucket int, mask binary")
+    verdicts = texts.mapInArrow(_prefix_rows(length, bits, left, who), "bucket int, cls binary, names binary").groupBy("bucket").applyInPandas(_verdicts, "cls binary, bucket int, mask binary")
     masks = scratch.write(verdicts, "masks").groupBy("cls").agg(F.collect_list(F.struct("bucket", "mask")).alias("masks"))
     # Copies of a text are settled; of the others each class is one row.
     single = masks.join(copies.where("copies = 1"), "cls", "left_semi")
-    judged = texts.select(F.unhex(F.md5("text")).alias("cls"), "text").join(single, "cls").mapInArrow(_removed(length, bits, left), "cls binary, n_removed long, n_spans long, kept_sha256 string, spans array<struct<s:long,e:long>>")
-    out = rows.join(copies, "cls").join(judged, "cls", "left")
+    # Texts without a mask stay where they are.
+    marked = bit_filter(single, F.xxhash64("cls"))
+
+    def with_mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(passes(marked, batch.column(2).to_numpy())))
+
+    some = texts.select(cls.alias("cls"), "text", F.xxhash64(cls).alias("mark")).mapInArrow(with_mask, "cls binary, text string, mark long")
+    judged = some.select("cls", "text").join(single, "cls").mapInArrow(_removed(length, bits, left), "cls binary, n_removed long, n_spans long, kept_sha256 string, spans array<struct<s:long,e:long>>")
+    counted = join_groups(rows.select("id", "n_bytes", "cls", "sha"), copies, "cls", "copies")
+    # Copies have no verdict of their own: they don't take part in the join.
+    out = counted.where("copies = 1").join(judged, "cls", "left").unionByName(counted.where("copies > 1"), allowMissingColumns=True)
     whole = F.expr(f"copies > 1 and n_bytes >= {length}")
     return out.select(
         F.col("id").alias(id_col),
