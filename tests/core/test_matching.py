@@ -3,7 +3,9 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from vacantia.operators import classify, matching
+from vacantia.functions import names
+from vacantia.functions.urls import host
+from vacantia.operators import classify, linking, matching
 from vacantia.sources import extract
 from vacantia.streaming import events
 
@@ -85,3 +87,26 @@ def test_rates_without_a_key(spark):
     got = {r.event_id: r.in_window for r in events.rate_violations(spark.createDataFrame(rows, "event_id int, ts timestamp"), 300, 25).collect()}
     want = {i: n for i, t in rows if (n := sum(t - timedelta(seconds=300) < u <= t for _, u in rows)) > 25}
     assert got == want and want
+
+
+def test_model_results_and_cache(spark):
+    row = "posting_id int, description_hash string, title string, experience_text string, description string, match_tier string, domain_status string, experience_status string, minimum_years double, maximum_years double"
+    jobs = spark.createDataFrame([(k, "h", "Analyst", "", "text", tier, "likely", "ambiguous", None, None) for k, tier in ((1, "possible"), (2, "possible"), (3, "possible"), (4, "exact"), (5, "possible"))], row)
+    result = "posting_id int, description_hash string, domain_status string, experience_status string, minimum_years double, maximum_years double, confidence double, evidence array<string>"
+    results = spark.createDataFrame([(1, "h", "exact", "zero_to_two", 0.0, 2.0, 0.8, ["analyst"]), (1, "h", "unrelated", "over_two", 3.0, 4.0, 0.76, ["text"]), (2, "old", "exact", "zero_to_two", 0.0, 2.0, 0.9, ["text"]), (4, "h", "unrelated", "over_two", 3.0, 3.0, 0.9, []), (5, "h", "exact", "zero_to_two", 2.0, 1.0, 0.9, [])], result)
+    cache = spark.createDataFrame([(1, "h", "unrelated", "over_two", 3.0, 4.0, 0.99, [], "v2"), (3, "h", "exact", "zero_to_two", 0.0, 1.0, 0.9, ["text"], "v2"), (2, "h", "exact", "zero_to_two", 0.0, 1.0, 0.9, [], "v1")], result + ", version string")
+    got = {r.posting_id: (r.classification_method, r.domain_status, r.maximum_years) for r in matching.merge_model_results(jobs, results, cache=cache, version="v2").collect()}
+    assert got == {1: ("model", "exact", 2.0), 2: ("pending", "likely", None), 3: ("model", "exact", 1.0), 4: ("deterministic", "likely", None), 5: ("pending", "likely", None)}
+
+
+def test_one_observation_of_a_job(spark):
+    jobs = spark.createDataFrame([(1, "old", "", "", "", datetime(2024, 1, 1))], "job_id int, title string, location string, description string, category string, verified_at timestamp")
+    obs = spark.createDataFrame([(1, False, datetime(2024, 3, 1), "c", "x", "", ""), (1, True, datetime(2024, 1, 5), "a", "", "", ""), (1, True, datetime(2024, 2, 1), "b", "y", "", "")], "job_id int, is_official boolean, verified_at timestamp, title string, location string, description string, category string")
+    got = linking.merge_canonical(jobs, obs).collect()
+    assert [(r.title, r.location, r.verified_at) for r in got] == [("b", "y", datetime(2024, 2, 1))]
+
+
+def test_names_of_employers_and_places(spark):
+    df = spark.createDataFrame([("77-7777356 Default Company for India", "Wells Fargo Bank", "https://wf.wd1.myworkdayjobs.com/WellsFargoJobs/job/pune/1", "111442-IND-BENGALURU-INTL BLR"), (None, "", "https://jobs.acme.com/", None)], "legal string, site string, url string, place string")
+    r = df.select(names.brand(F.col("site"), F.col("legal"), names.employer_from_path(F.col("url")), names.employer_from_host(host(F.col("url")))).alias("b"), names.clean_place(F.col("place")).alias("p"), names.place_from_path(F.col("url")).alias("u"), names.company_key(F.col("site")).alias("k")).collect()
+    assert [tuple(x) for x in r] == [("Wells Fargo Bank", "Bengaluru, India", "pune, India", "wellsfargobank"), ("acme", "", "", "")]

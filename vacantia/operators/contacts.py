@@ -117,7 +117,7 @@ def followups_due(applications: DataFrame, today: Column) -> DataFrame:
 def survey_completion(answers: DataFrame, questions: DataFrame, outstanding: int = 6) -> DataFrame:
     """For each respondent: answered, total, percent and the first outstanding prompts. questions: question_id, position, prompt, recommended; a short fixed list.
 
-    The list is one array beside each respondent's set of answers; there is no row for each pair.
+    The list is one array beside each respondent's set of answers, and what is broadcast is its one row; there is no row for each pair.
     """
     given = answers.where(F.size(F.filter("value", lambda v: F.trim(v) != "")) > 0).groupBy("respondent").agg(F.collect_set("question_id").alias("_done"))
     asked = questions.agg(F.sort_array(F.collect_list(F.struct("position", "question_id", "prompt", "recommended"))).alias("_all"))

@@ -22,7 +22,7 @@ def reconcile_snapshot(pages: DataFrame, listings: DataFrame, policy: DataFrame)
     """
     got = pages.groupBy("connector_id").agg(F.count_if("ok").alias("pages_fetched"), F.max("expected_pages").alias("pages_expected"), F.max("advertised_total").alias("reported_total"))
     found = listings.groupBy("connector_id").agg(F.count_distinct("listing_id").alias("listings_discovered"))
-    x = got.join(found, "connector_id", "left").join(F.broadcast(policy), "connector_id", "left").fillna(0, ["listings_discovered"]).fillna(True, ["check_total", "empty_is_anomalous"])
+    x = got.join(found, "connector_id", "left").join(policy, "connector_id", "left").fillna(0, ["listings_discovered"]).fillna(True, ["check_total", "empty_is_anomalous"])
     reasons = F.array_compact(F.array(
         F.when(F.expr("pages_fetched = 0"), "no_pages"),
         F.when(F.expr("pages_fetched < pages_expected"), "missing_pages"),

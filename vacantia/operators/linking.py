@@ -74,9 +74,13 @@ def _roots(edges: DataFrame) -> DataFrame:
 
 
 def merge_canonical(jobs: DataFrame, obs: DataFrame) -> DataFrame:
-    """jobs with the fields of their linked observation (job_id, is_official, verified_at, fields): an official one that is not older replaces what it has, any other only fills gaps."""
+    """jobs with the fields of their linked observation (job_id, is_official, verified_at, fields): an official one that is not older replaces what it has, any other only fills gaps.
+
+    Of several observations of a job the official ones come first, then the newest, then the first by its fields.
+    """
     fields = ("title", "location", "description", "category")
-    new = obs.select("job_id", "is_official", F.col("verified_at").alias("_at"), *[F.col(c).alias(f"_{c}") for c in fields])
+    one = F.struct("is_official", F.col("verified_at").alias("_at"), *[F.col(c).alias(f"_{c}") for c in fields])
+    new = obs.groupBy("job_id").agg(F.max_by(one, F.struct(F.coalesce("is_official", F.lit(False)), "verified_at", *fields)).alias("_one")).select("job_id", "_one.*")
     replace = F.expr("is_official and (verified_at is null or _at >= verified_at)")
     joined = jobs.join(new, "job_id", "left")
     said = lambda c: F.nullif(F.col(c), F.lit(""))

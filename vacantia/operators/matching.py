@@ -292,17 +292,19 @@ def shared_lines(lines: DataFrame, id_col: str = "profile_id") -> DataFrame:
     return lines.select("line_id", id_col).distinct().groupBy("line_id").agg(F.count("*").alias("profiles")).where("profiles > 1")
 
 
-def merge_model_results(classified: DataFrame, results: DataFrame, least: float = 0.75) -> DataFrame:
+def merge_model_results(classified: DataFrame, results: DataFrame, least: float = 0.75, cache: DataFrame | None = None, version: str | None = None) -> DataFrame:
     """Classified postings with accepted model results: same description_hash, least confidence, min <= max and all evidence found in the posting; others stay deterministic, possible ones pending.
 
-    results: posting_id, description_hash, domain_status, experience_status, minimum_years, maximum_years, confidence, evidence (array).
+    results: posting_id, description_hash, domain_status, experience_status, minimum_years, maximum_years, confidence, evidence (array). cache: the same columns and version; its rows of
+    `version` count where results have none for a posting and hash. Of several results for these the most confident counts.
     """
-    new = results.select("posting_id", F.col("description_hash").alias("_hash"), F.col("domain_status").alias("_domain"), F.col("experience_status").alias("_years"), F.col("minimum_years").alias("_low"), F.col("maximum_years").alias("_high"), "confidence", F.col("evidence").alias("_said"))
+    taken = {"domain_status": "_domain", "experience_status": "_years", "minimum_years": "_low", "maximum_years": "_high"}
+    said = lambda df, rank: df.select("posting_id", "description_hash", F.struct(F.lit(rank).alias("r"), "confidence", *[F.col(c).alias(n) for c, n in taken.items()], F.col("evidence").alias("_said")).alias("_new"))
+    every = said(results, 1) if cache is None else said(results, 1).unionByName(said(cache.where(F.col("version") == version), 0))
+    new = every.where("description_hash is not null").groupBy("posting_id", "description_hash").agg(F.max("_new").alias("_new")).select("posting_id", "description_hash", "_new.*")
     text = F.lower(F.concat_ws("\n", "title", "experience_text", "description"))
     fits: Callable[[Column], Column] = lambda e: text.contains(F.lower(e))
-    ok = (F.col("description_hash") == F.col("_hash")) & (F.col("confidence") >= least) & F.coalesce(F.col("_low") <= F.col("_high"), F.lit(True)) & F.forall("_said", fits) & F.col("_domain").isin("exact", "likely", "unrelated") & F.col("_years").isin("zero_to_two", "over_two", "ambiguous")
-    x = classified.join(new, "posting_id", "left").withColumn("_ok", F.coalesce(ok & (F.col("match_tier") == "possible"), F.lit(False)))
-    take = lambda c, n: F.when(F.col("_ok"), F.col(n)).otherwise(F.col(c)).alias(c)
+    ok = (F.col("confidence") >= least) & F.coalesce(F.col("_low") <= F.col("_high"), F.lit(True)) & F.forall("_said", fits) & F.col("_domain").isin("exact", "likely", "unrelated") & F.col("_years").isin("zero_to_two", "over_two", "ambiguous")
+    x = classified.join(new, ["posting_id", "description_hash"], "left").withColumn("_ok", F.coalesce(ok & (F.col("match_tier") == "possible"), F.lit(False)))
     method = F.when(F.col("_ok"), "model").when(F.col("match_tier") == "possible", "pending").otherwise("deterministic")
-    swap = {"domain_status": "_domain", "experience_status": "_years", "minimum_years": "_low", "maximum_years": "_high"}
-    return x.select(*[take(c, swap[c]) if c in swap else F.col(c) for c in classified.columns], method.alias("classification_method"))
+    return x.select(*[F.when(F.col("_ok"), F.col(taken[c])).otherwise(F.col(c)).alias(c) if c in taken else F.col(c) for c in classified.columns], method.alias("classification_method"))
