@@ -71,9 +71,9 @@ _HOST = r"regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/
 @query(rf"""WITH p AS (SELECT page_id, regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', '') AS u, {_HOST} AS host FROM pages),
  c AS (SELECT *, regexp_extract(u, '[^/]/+([^/]+)$', 1) AS leaf, list_filter(string_split(host, '.'), lambda x: length(x) > 2 AND x NOT IN ('www', 'com', 'jobs'))[1] AS label, regexp_extract(u, '^[a-z]+://[^/]*/+([^/]+)', 1) AS seg FROM p),
  e AS (SELECT *, list_filter([CASE page_id % 4 WHEN 0 THEN 'Acme Bank of the West' WHEN 1 THEN 'Globex International' END, CASE WHEN length(seg) > 2 THEN replace(seg, '-', ' ') END, replace(label, '-', ' ')], lambda v: v IS NOT NULL AND length(v) >= 3) AS names FROM c)
- SELECT page_id, CASE page_id % 4 WHEN 0 THEN concat('Role ', CAST(page_id AS VARCHAR)) WHEN 1 THEN concat('Meta & ', CAST(page_id AS VARCHAR)) WHEN 2 THEN 'Credit Analyst' ELSE coalesce(nullif(trim(regexp_replace(replace(leaf, '-', ' '), '\b[0-9]{{3,}}\b', '')), ''), 'Role listing') END AS title,
+ SELECT page_id, CASE page_id % 4 WHEN 0 THEN concat('Role ', CAST(page_id AS VARCHAR)) WHEN 1 THEN concat('Meta & ', CAST(page_id AS VARCHAR)) WHEN 2 THEN 'Credit Analyst' ELSE coalesce(nullif(trim(regexp_replace(regexp_replace(replace(leaf, '-', ' '), '\.html?$', ' '), '\b[0-9]{{3,}}\b', '')), ''), 'Role listing') END AS title,
  list_filter(names, lambda v: length(v) = list_max(list_transform(names, lambda y: length(y))))[1] AS company, CASE page_id % 4 WHEN 0 THEN CASE WHEN page_id % 8 = 0 THEN 'Pune, India' ELSE 'Oslo,' END WHEN 1 THEN 'Delhi, India' ELSE '' END AS location,
- CASE WHEN page_id % 4 = 0 THEN DATE '2024-05-01' END AS posted_at, CASE page_id % 4 WHEN 0 THEN 'jsonld' WHEN 1 THEN 'meta' ELSE 'title' END AS source, CASE page_id % 4 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS confidence, host FROM e""")
+ CASE WHEN page_id % 4 = 0 THEN DATE '2024-05-01' END AS posted_at, CASE page_id % 4 WHEN 0 THEN 'jsonld' WHEN 1 THEN 'meta' WHEN 2 THEN 'title' ELSE 'url' END AS source, CASE page_id % 4 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS confidence, host FROM e""")
 def page_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     varied = pages(spark, sf_dir).withColumn("html", F.expr(_VARIED.replace("VARCHAR(20)", "STRING")))
     return x.extract_page_records(varied)

@@ -132,7 +132,7 @@ def _meta(body: Column, *names: str) -> Column:
 
 
 def extract_page_records(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """page_id, title, company, location, posted_at, source (jsonld, meta or title), confidence (high, medium, low), host: the best that a page or its address gives for each.
+    """page_id, title, company, location, posted_at, source (jsonld, meta, title or url), confidence (high, medium, low), host: the best that a page or its address gives for each.
 
     A page with several postings gives the first by its text.
     """
@@ -141,11 +141,11 @@ def extract_page_records(pages: DataFrame, page_id: str = "page_id", url: str =
     body, site = F.coalesce(F.col(html), F.lit("")), host(F.col(url))
     title = F.nullif(plain_text(F.regexp_extract(body, r"(?is)<title[^>]*>(.*?)</title>", 1), None), F.lit(""))
     title = F.nullif(F.trim(F.regexp_replace(title, PAGE_SUFFIX, "")), F.lit(""))
-    path = F.nullif(F.trim(F.regexp_replace(F.regexp_replace(F.regexp_extract(F.regexp_replace(F.col(url), r"[?#].*$", ""), r"[^/]/+([^/]+)/*$", 1), r"[-_]+", " "), r"\b[0-9]{3,}\b", "")), F.lit(""))
+    path = F.nullif(F.trim(F.regexp_replace(F.regexp_replace(F.regexp_extract(F.regexp_replace(F.col(url), r"[?#].*$", ""), r"[^/]/+([^/]+)/*$", 1), r"[-_]+|\.html?$", " "), r"\b[0-9]{3,}\b", "")), F.lit(""))
     x = pages.join(ld, page_id, "left").withColumns({"_ld": get("$.title"), "_meta": _meta(body, "og:title", "twitter:title"), "_told": _meta(body, "og:description", "description", "twitter:description")})
     employer = F.coalesce(get("$.hiringOrganization.name"), get("$.employerOverview.name"), F.when(~F.get_json_object("_node", "$.hiringOrganization").startswith("{"), get("$.hiringOrganization")))
     place = F.coalesce(get("$.jobLocation.address.addressLocality"), get("$.jobLocation[0].address.addressLocality"), F.when(~F.get_json_object("_node", "$.jobLocation").rlike("^[{\\[]"), get("$.jobLocation")), _meta(body, "jobLocation", "location"))
-    source = F.when(F.col("_ld").isNotNull(), "jsonld").when(F.col("_meta").isNotNull() & F.col("_told").isNotNull(), "meta").otherwise("title")
+    source = F.when(F.col("_ld").isNotNull(), "jsonld").when(F.col("_meta").isNotNull() & F.col("_told").isNotNull(), "meta").when(F.coalesce("_meta", title).isNotNull(), "title").otherwise("url")
     confidence = F.when(source == "jsonld", "high").when(source == "meta", "medium").otherwise("low")
     company = brand(_meta(body, "og:site_name"), employer, employer_from_path(F.col(url)), employer_from_host(site))
     return x.select(page_id, F.substring(F.coalesce("_ld", "_meta", title, path, F.lit("Role listing")), 1, 200).alias("title"), F.substring(company, 1, 120).alias("company"), F.substring(F.coalesce(F.nullif(place_from_path(F.col(url)), F.lit("")), clean_place(place)), 1, 160).alias("location"), F.to_date(F.try_to_timestamp(get("$.datePosted"))).alias("posted_at"), source.alias("source"), confidence.alias("confidence"), site.alias("host"))
