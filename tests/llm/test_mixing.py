@@ -1,9 +1,11 @@
+import random
 import re
 
 import numpy as np
 import pyarrow.parquet as pq
 
 from vacantia.llm import mixing as m
+from vacantia.llm.shared import Scratch
 
 
 def test_targets():
@@ -12,6 +14,45 @@ def test_targets():
     assert m.targets([]) == {} and m.targets([("x", 0)]) == {"x": 0}
 
 
+def brute_targets(size):
+    """Weights by code point, null last; what is over a source's limit goes to the others by weight, one round after the other."""
+    order = sorted(size, key=lambda s: (s is None, [ord(c) for c in s or ""]))
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
+    left, got, full = 1.5 * sum(size.values()), dict.fromkeys(size, 0.0), set()
+    while left > 1e-9 and len(full) < len(size):
+        each = left / sum(weight[s] for s in size if s not in full)
+        for s in size:
+            if s not in full:
+                got[s] += each * weight[s]
+        left = 0.0
+        for s in size:
+            if got[s] > 2 * size[s]:
+                left += got[s] - 2 * size[s]
+                got[s] = 2.0 * size[s]
+                full.add(s)
+    return got
+
+
+def test_targets_of_many_sources(spark):
+    rnd = random.Random(4)
+    for size in ({f"s{k}": rnd.randrange(1, 2000) ** 2 for k in range(3000)} | {None: 7, "": 3, "é": 5, "\U0001f600": 9, "\uffee": 2}, {"a": 5}, {"a": 0, None: 0}, {"a": 1, "b": 1000}):
+        df = spark.createDataFrame(list(size.items()), "source string, source_size long")
+        got = {r.source: r.target for r in m.source_targets(df, Scratch(spark)).collect()}
+        want = brute_targets(size)
+        assert got.keys() == want.keys() and all(abs(got[s] - want[s]) < 1e-6 * max(want[s], 1) for s in want)
+        assert all(abs(v - want[s]) < 1e-6 * max(want[s], 1) for s, v in m.targets(list(size.items())).items())
+    assert m.source_targets(df.limit(0), Scratch(spark)).count() == 0
+
+
+def test_ties(spark):
+    """Equal sizes leave the choice to the hash of the id: the same on any partitioning, and copies of a row share it."""
+    rows = [(i % 300, "a" if i % 2 else "b", "w w w") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = sorted(map(tuple, m.mix_report(df).collect()))
+    assert got == sorted(map(tuple, m.mix_report(df.repartition(5)).collect()))
+    assert all(len({r[-1] for r in got if r[0] == i}) == 1 for i in range(300))
+
+
 def test_flight_keeps_totals():
     rnd = np.random.default_rng(0)
     size, p = rnd.integers(0, 500, 3000).astype(float), np.full(3000, 0.37)
@@ -32,7 +73,7 @@ def test_table(spark):
     assert got == {r.doc_id: r for r in m.mix_report(df.repartition(7)).collect()}
     d["size"] = d.text.map(lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t)))
     assert {k: r["size"] for k, r in got.items()} == dict(zip(d.doc_id, d["size"], strict=True))
-    target = m.targets(list(d.groupby("source")["size"].sum().items()))
+    target = brute_targets(d.groupby("source")["size"].sum().to_dict())
     assert any(abs(t - 2 * s) > 1 for t, s in ((target[k], v) for k, v in d.groupby("source")["size"].sum().items()))
     for source, f in d.groupby("source"):
         taken = sum(got[i].taken for i in f.doc_id)
@@ -44,7 +85,7 @@ def test_table(spark):
 def test_edges_and_rounds(spark, monkeypatch):
     monkeypatch.setattr(m, "BUCKET", 16)
     rows = [(i, "hot", "w " * (1 + i % 37)) for i in range(2000)] + [(5000 + i, f"s{i % 3}", "w " * (10 + i % 3)) for i in range(60)] + [(1, None, "a b"), (1, None, "a b"), (None, "hot", None), (7000, "s0", ""), (7001, None, "x " * 100_000), (7002, "zero", None)]
-    df = spark.createDataFrame(rows, "doc_id long, source string, text string").selectExpr("*", "1 as id", "2 as size", "3 as p", "4 as bucket")
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").selectExpr("*", "1 as id", "2 as size", "3 as p", "4 as bucket", "5 as mix_id", "6 as _mix_copies", "7 as units")
     got = m.mix_report(df).collect()
     assert len(got) == len(rows)
     by = {}

@@ -7,7 +7,7 @@ rounds: each source is cut into buckets, every bucket walks its flight, and the
 meet in the next, smaller round. The last few of a source are settled by the landing: the choice nearest to its target.
 
 Rows that agree in id, source and size are one unit: a decision holds for all its copies. Null texts have size 0; a null source is a source of
-its own. All choices come from hashes of the ids, so that reruns agree.
+its own. All choices come from hashes of the ids, so that reruns agree; ties between equal choices go to the one that leaves more out.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vacantia.llm.shared import Scratch
+from vacantia.llm.shared import Scratch, join_groups, own_names
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -48,6 +48,35 @@ def targets(sizes: list[tuple[str | None, int]], weights: tuple[float, ...] = WE
     return out
 
 
+def source_targets(sources: DataFrame, scratch: Scratch, weights: tuple[float, ...] = WEIGHTS, total: float = 1.5, most: float = 2.0) -> DataFrame:
+    """`targets` for any number of sources: adds target to (source, source_size). Places come from a range-partitioned sort, the water level from a few sums."""
+    n = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    absent = F.col("source").isNull()
+    # UTF-8 strings sort by code point.
+    ordered = sources.withColumn("absent", absent).repartitionByRange(n, "absent", "source").sortWithinPartitions("absent", "source")
+    ordered = scratch.write(ordered.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("at")).drop("absent"), "ordered")
+    before, offsets = 0, [F.lit(-1), F.lit(0).cast("long")]
+    for r in ordered.groupBy("part").count().orderBy("part").collect():  # one row for each partition
+        offsets += [F.lit(r["part"]), F.lit(before).cast("long")]
+        before += r["count"]
+    place = F.create_map(*offsets)[F.col("part")] + F.col("at")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(place, F.lit(len(weights))) + 1).cast("int"))
+    x = scratch.write(ordered.select(*sources.columns, weight.alias("weight")), "weighed")
+    everything = total * float(x.agg(F.sum("source_size")).first()[0] or 0)
+    # A source is full if its share of what is left lies above its limit; what is over is shared anew until no more become full.
+    known = -1
+    limit = F.col("source_size") * F.lit(float(most))
+    first = x.agg(F.sum("weight")).first()[0] or 0.0
+    level = everything / first if first else 0.0
+    while True:
+        full = F.col("weight") * level > limit
+        r = x.agg(F.count_if(full).alias("n"), F.sum(F.when(full, limit)).alias("taken"), F.sum(F.when(~full, F.col("weight"))).alias("open")).first()
+        if r.n == known or not r.open:
+            break
+        known, level = r.n, (everything - (r.taken or 0.0)) / r.open
+    return x.withColumn("target", F.least(F.col("weight") * level, limit)).drop("weight")
+
+
 def flight(p: np.ndarray, size: np.ndarray, u: np.ndarray) -> np.ndarray:
     """Move probabilities until at most two are inside (0, 1), keeping sum(p) and sum(p * size); u: a random number for each unit."""
     p = p.astype(float).tolist()
@@ -100,15 +129,14 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float = 1.
     scratch = Scratch(spark)
     sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
     units = scratch.write(sized.groupBy("id", "source", "size").agg(F.count("*").alias("rows")), "units")
-    # One row for each source.
-    found = units.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("size"), F.count("*").alias("units")).collect()
-    target = targets([(r.source, r.size) for r in found], weights, total, most)
-    per_source = spark.createDataFrame([(r.source, r.size, float(target[r.source]), float(target[r.source]) / r.size if r.size else 0.0, -(-r.units // BUCKET)) for r in found], "source string, source_size long, target double, rate double, buckets long")
+    found = scratch.write(units.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"), F.count("*").alias("units")), "sources")
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    per_source = scratch.write(source_targets(found, scratch, weights, total, most).select("source", "source_size", "target", rate.alias("rate"), F.ceil(F.col("units") / BUCKET).alias("buckets"), "units"), "targets")
     mark = F.xxhash64("id", "size", F.lit("mix"))
-    ready = units.join(F.broadcast(per_source), units.source.eqNullSafe(per_source.source)).drop(per_source.source)
+    ready = join_groups(units, per_source, "source", "units")
     ready = ready.select("id", "source", "size", "rows", "source_size", "target", F.floor("rate").cast("int").alias("whole"), (F.col("rate") - F.floor("rate")).alias("p"), F.pmod(mark, "buckets").alias("bucket"), F.xxhash64("id", "size", F.lit("draw")).alias("mark"))
     open_, done, k = ready, [], 0
-    most_units = max((r.units for r in found), default=0)
+    most_units = per_source.agg(F.max("units")).first()[0] or 0
     while True:
         last = most_units <= BUCKET
 
@@ -134,7 +162,8 @@ def mix_report(docs: DataFrame) -> DataFrame:
 
 def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float = 1.5, most: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The documents as the mix takes them, all their columns, each as many times as it is taken."""
-    copies = mix(docs, weights, total, most, id_col, text_col, source_col).where("copies > 0").select(F.col("id").alias("_mix_id"), F.col("source").alias("_mix_source"), F.col("size").alias("_mix_size"), F.col("copies").alias("_mix_copies"))
-    sized = docs.withColumn("_mix_words", n_words(F.col(text_col)))
-    on = sized[id_col].eqNullSafe(copies["_mix_id"]) & sized[source_col].eqNullSafe(copies["_mix_source"]) & (sized["_mix_words"] == copies["_mix_size"])
-    return sized.join(copies, on).withColumn("_mix_one", F.explode(F.expr("sequence(1, _mix_copies)"))).select(*[sized[c] for c in docs.columns])
+    id_, source, size, copies, words, one = own_names(docs, "mix_id", "mix_source", "mix_size", "mix_copies", "mix_words", "mix_one")
+    taken = mix(docs, weights, total, most, id_col, text_col, source_col).where("copies > 0").select(F.col("id").alias(id_), F.col("source").alias(source), F.col("size").alias(size), F.col("copies").alias(copies))
+    sized = docs.withColumn(words, n_words(F.col(text_col)))
+    on = sized[id_col].eqNullSafe(taken[id_]) & sized[source_col].eqNullSafe(taken[source]) & (sized[words] == taken[size])
+    return sized.join(taken, on).withColumn(one, F.explode(F.expr(f"sequence(1, `{copies}`)"))).select(*[sized[c] for c in docs.columns])
