@@ -5,10 +5,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from vacantia.llm import quality, registered, toxicity
 from vacantia.llm.labelled import held_out, isotonic, training_sample
+from vacantia.llm.words import SPACED, buffers, word_hashes
 
 SF = "/root/testdata/sf0.01"
 
@@ -129,6 +131,25 @@ def test_sum_of_squares_identity():
     assert np.isclose(m.raw(np.zeros(3, int), col, value, 1)[0], (m.w[col] * value).sum() + pairs)
 
 
+def test_quality_query_against_all_pairs(spark):
+    """The query's scores from the definition: every pair of inputs, one document at a time."""
+    sf = "/root/testdata/sf0.001"
+    d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = quality.fit(d, labels)
+    m, got = model.machine, {r.doc_id: r.score for r in registered.op5_quality(spark, sf).collect()}
+    texts = d.select("doc_id", "text", "n_chars").collect()
+    assert len(got) == len(texts)
+    for r in texts[:40]:
+        data, offsets = buffers(pa.array([r.text or ""]))
+        row, bucket, value, stats = quality.features(data, offsets, np.array([float(r.n_chars or 0)]))
+        words = {int(b) for b in word_hashes(data, offsets, SPACED)[0] & np.uint64(quality.BUCKETS - 1)}
+        assert set(bucket.tolist()) == words and np.allclose(value, 1 / math.sqrt(max(len(words), 1)))
+        x = dict(zip(bucket.tolist(), value.tolist(), strict=True)) | {quality.BUCKETS + k: float(v) for k, v in enumerate(np.clip((stats[0] - model.mean) / model.scale, -5, 5))}
+        z = float(m.w0[0]) + sum(m.w[i] * v for i, v in x.items())
+        z += sum(float(m.v[i] @ m.v[j]) * x[i] * x[j] for i in x for j in x if i < j)
+        assert abs(got[r.doc_id] - 1 / (1 + math.exp(-min(max(z, -30), 30)))) < 1e-6
+
+
 def test_sample_and_isotonic(spark):
     d = spark.createDataFrame([(i, "t", 1) for i in range(500)], "doc_id long, text string, n_chars long")
     labels = spark.createDataFrame([(i, 0, int(i % 10 == 0)) for i in range(500)], "doc_id long, quality int, toxic int")
