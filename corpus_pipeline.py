@@ -6,38 +6,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vacantia.llm import decontaminate, jaccard, mixing, tokenbin, toxicity
-from vacantia.llm.shared import Scratch
+from vacantia.llm.shared import Scratch, own_names
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the nearest labelled examples don't call toxic."""
+    """Documents that the nearest labelled examples don't call toxic. Null and empty texts and repeated rows are judged like others, each row alone; equal texts score alike."""
     return toxicity.without_toxic(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id; of several texts with that id the one with the smallest hash, once.
+    """Of each group of near duplicates (five words, 0.8) the document with the smallest id; of several texts with that id the one with the smallest hash, once.
 
-    Texts that share an id are told apart: each is judged in its own group.
+    Texts that share an id are told apart: each is judged in its own group. A document without an id goes if a group of its text's near duplicates has one with an id;
+    of those that have none, the one with the smallest hash stays. Null and empty texts, and texts without words, link with nothing and stay, each once for an id.
     """
-    keyed = docs.withColumn("_hash", F.xxhash64("text"))
-    found = jaccard.near_duplicate_components(keyed.select(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "_hash")).alias("doc_id"), "text"), n=3, percent=90)
-    kept = found.where("doc_id = component_id").select("doc_id.doc_id", "doc_id._hash").distinct()
-    named = keyed.join(kept, ["doc_id", "_hash"], "left_semi").dropDuplicates(["doc_id", "_hash"])
-    return named.select(docs.columns).union(docs.where("doc_id is null"))
+    hash_, key = own_names(docs, "text_hash", "text_key")
+    keyed = docs.withColumn(hash_, F.xxhash64("text")).withColumn(key, F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id"), F.lit(0).cast("long")).alias("id"), F.col(hash_).alias("hash")))
+    found = jaccard.near_duplicate_components(keyed.select(F.col(key).alias("doc_id"), "text"), most_blocks=4)
+    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
+    return keyed.join(kept, key, "left_semi").dropDuplicates([key]).select(docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark passage to speak of."""
+    """Documents of which less than a twentieth of the words lies in benchmark windows of 13 words. Each row is judged alone; without words it stays."""
     return decontaminate.remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The sources at their target weights: some documents left out, some taken twice."""
+    """The sources at their target weights: some documents left out, some taken twice. A null source is one of its own; rows that agree in id, source and size share one decision; texts without words are left out or kept by the same chance."""
     return mixing.mixed(docs)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token table of the mix, written and read back: doc_id, start, n_tokens, ids_crc32."""
+    """The token table of the mix, written and read back: doc_id, start, n_tokens, ids_crc32. Null texts are empty, null ids come first, equal ids go by their texts."""
     import public_tokenizers
 
     return tokenbin.token_table_report(docs, public_tokenizers.path("byte_bpe_50k.json"))
