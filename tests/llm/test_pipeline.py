@@ -22,7 +22,7 @@ def test_run_against_brute_force(spark):
     d = pq.read_table(f"{SF}/documents.parquet").to_pandas()
     toxic = {r.doc_id for r in toxicity.scores(source, toxicity.fit(source, spark.read.parquet(f"{SF}/labels.parquet"))).where("score >= 0.7").collect()}
     docs = [(i, t) for i, t in zip(d.doc_id.tolist(), d.text, strict=True) if i not in toxic]
-    docs = [(i, t) for (i, t), (j, _, c) in zip(docs, components(docs, 3, 90), strict=True) if j == c and i == j]
+    docs = [(i, t) for (i, t), (j, _, c) in zip(docs, components(docs, 5, 80), strict=True) if j == c and i == j]
     bench = pq.read_table(f"{SF}/benchmark.parquet").to_pandas()
     bad = contaminated(docs, list(zip(bench.item_id, bench.text, strict=True)))
     docs = [(i, t) for i, t in docs if not bad[i][4]]
@@ -50,8 +50,20 @@ def test_texts_that_share_an_id_are_judged_one_by_one(spark):
     one, two, three = "a b c d e f g h", "k l m n o p q r", "s t u v w x y z"
     long = [f"w{i}" for i in range(200)]
     near = [" ".join(long), " ".join([*long[:-1], "other"])]
-    rows = [(1, one), (1, two), (1, one), (2, two), (5, one), (5, three), (6, near[0]), (6, near[1]), (7, None), (7, ""), (None, one)]
-    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
-    got = [(r.doc_id, r.text) for r in corpus_pipeline.one_of_each_group(spark, docs, SF).collect()]
-    assert collections.Counter(x for x in got if x[0] != 6) == collections.Counter([(1, one), (1, two), (5, three), (7, None), (7, ""), (None, one)])
+    apart = [w if k % 50 else "changed" for k, w in enumerate(long)]  # 4 of 200 words: 0.81
+    alone = "q w e r t y u"
+    rows = [(1, one), (1, two), (1, one), (2, two), (5, one), (5, three), (6, near[0]), (6, near[1]), (6, " ".join(apart)), (7, None), (7, ""), (None, one), (None, alone), (None, alone)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, 0, 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, text_hash int, text_key int")
+    out = corpus_pipeline.one_of_each_group(spark, docs, SF)
+    assert out.columns == docs.columns
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    assert collections.Counter(x for x in got if x[0] != 6) == collections.Counter([(1, one), (1, two), (5, three), (7, None), (7, ""), (None, alone)])
     assert len([x for x in got if x[0] == 6]) == 1
+
+
+def test_long_texts_pass_through(spark):
+    rows = [(1, "word " * 300_000, "en", "s", 1), (2, "x" * 2_000_000, "en", "s", 1), (3, "short text", "en", "t", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        df = stage(spark, df, SF)
+    assert corpus_pipeline.STAGES[-1][1](spark, df, SF).agg({"n_tokens": "sum"}).first()[0] > 0
