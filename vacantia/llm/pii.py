@@ -1,15 +1,16 @@
 """Personal data: pattern spans, and terms that reveal them, by information theory. DataFrame functions only.
 
 1. Base spans: e-mail and IP addresses, card and phone numbers, leftmost and non-overlapping in each kind.
-2. Each distinct value is a protected entity e. Terms (words of three letters or more) in a window around its places co-occur with it. Over the
+2. Each distinct value is a protected entity e. Terms (words of three letters or more) in a window of `context` code points around its places co-occur with it. Over the
    whole corpus, P(e|t) is the share of t's places that lie near e, and the information of e is IC(e) = -log2 P(e), with P(e) e's share of all term places.
-   Term t reveals e as far as PMI(e;t) = log2 P(e|t) / P(e) approaches IC(e). From `generalise` x IC(e) on it is generalised there,
-   from `remove` x IC(e) on removed.
-3. A term counts only with `support` different contexts of e: one passage and its copies are no evidence.
-
-Counts cover all documents. Candidate terms go to the scan by broadcast if there are at most BROADCAST_TERMS of them, else by a shuffle join. Hot
-entities and terms are summed before each shuffle. Positions count code points; ends are exclusive. Null texts are empty; rows with equal id
-and text get equal spans.
+   Term t reveals e as far as PMI(e;t) = log2 P(e|t) / P(e) approaches IC(e). A term that reveals any entity by `generalise` x IC(e) or more is generalised,
+   by `remove` x IC(e) or more removed, at every place of the corpus, near the entity or not.
+3. A term counts only with `support` different contexts of e: one passage and its copies are no evidence. So an entity with a single context has no revealing term.
+
+A generalised term is replaced by the kind of word it is: NAME with a capital letter in front, CODE with a digit in it, else TERM. Counts cover all documents. Candidate
+terms go to the scans by broadcast if there are at most BROADCAST_TERMS of them, else by a shuffle join. Hot entities and terms are summed before each shuffle.
+Positions count code points; ends are exclusive. Null texts are empty; rows with equal id and text get equal spans, and so do terms with equal counts (a tie with
+a threshold reaches it).
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vacantia.llm.shared import Scratch
+from vacantia.llm.shared import Scratch, own_names
 
 # The kinds in order, and their patterns. Possessive forms and the look-behinds match what the plain patterns match, without repeated work on long runs.
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -120,7 +121,7 @@ def base_spans(docs: DataFrame) -> DataFrame:
     return found.select("id", "text", F.array_sort(F.concat(*[a.cast(_SPAN) for a in arrays])).alias("base"))
 
 
-def _contexts(text: Column, base: Column) -> Column:
+def _contexts(text: Column, base: Column, context: int) -> Column:
     """For each base span: its entity, a fingerprint of its context, and the terms there that lie outside all base spans."""
 
     def terms(part: Column, shift: Column, at_start: Column, at_end: Column, others: Column) -> Column:
@@ -131,60 +132,80 @@ def _contexts(text: Column, base: Column) -> Column:
         return F.filter(_let(part, inside), lambda x: ~F.exists(others, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
 
     def one(b: Column) -> Column:
-        from_ = F.greatest(b["s"] - CONTEXT, F.lit(0))
-        left, right = F.substring(text, from_ + 1, b["s"] - from_), F.substring(text, b["e"] + 1, F.lit(CONTEXT))
+        from_ = F.greatest(b["s"] - context, F.lit(0))
+        left, right = F.substring(text, from_ + 1, b["s"] - from_), F.substring(text, b["e"] + 1, F.lit(context))
         value = F.when(b["k"] == 0, F.lower(b["v"])).when(b["k"] == 1, b["v"]).otherwise(_digits(b["v"]))
-        close = F.filter(base, lambda o: (o["s"] < b["e"] + CONTEXT) & (o["e"] > b["s"] - CONTEXT))
+        close = F.filter(base, lambda o: (o["s"] < b["e"] + context) & (o["e"] > b["s"] - context))
         inside = _let(close, lambda o: F.concat(terms(left, from_, from_ == 0, F.lit(True), o), terms(right, b["e"], F.lit(True), b["e"] + F.length(right) >= F.length(text), o)))
         return F.struct(F.concat_ws(":", b["k"], value).alias("entity"), F.xxhash64(left, right).alias("context"), inside.alias("terms"))
 
     return F.when(F.size(base) > 0, F.transform(base, one)).otherwise(F.array().cast("array<struct<entity:string,context:bigint,terms:array<struct<s:int,e:int,t:string>>>>"))
 
 
-def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
-    """id_col, text_key, spans: array of (s, k, e, v), by start and kind (KINDS), for every row.
-
-    v is the value, for a term "generalise" or "remove". text_key (a hash of the text) with the id tells rows apart.
-    """
-    scratch = Scratch(docs.sparkSession)
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    scanned = base_spans(source).select("id", F.xxhash64("text").alias("text_key"), "base", _contexts(F.col("text"), F.col("base")).alias("contexts"), F.regexp_count("text", F.lit(TERM)).alias("n_terms"))
-    base = scratch.write(scanned, "base")
-    near = scratch.write(base.where("size(base) > 0").select("id", "text_key", F.explode("contexts").alias("c")).select("id", "text_key", "c.entity", "c.context", F.explode("c.terms").alias("t")).select("id", "text_key", "entity", "context", "t.s", "t.e", "t.t"), "near")
+def revealing_terms(near: DataFrame, entities: DataFrame, source: DataFrame, total: float, scratch: Scratch, support: int, generalise: float, remove: float) -> DataFrame:
+    """(t, v): terms that reveal an entity, with the stronger of their verdicts. near: entity, context, t for each place; entities: entity, entity_places."""
     together = near.groupBy("t", "entity", "context").agg(F.count("*").alias("n")).groupBy("t", "entity").agg(F.count("*").alias("contexts"), F.sum("n").alias("n")).where(F.col("contexts") >= support)
     together = scratch.write(together, "together")
     candidates = together.select("t").distinct()
     many = candidates.count()
-    words = source.select(F.explode(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))).alias("w"))
+    words = source.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0))).alias("w"))
     own = F.broadcast(candidates) if many <= BROADCAST_TERMS else candidates
     places = words.join(own, F.col("w") == F.col("t")).groupBy("t").agg(F.count("*").alias("places")) if many else candidates.withColumn("places", F.lit(0).cast("long"))
-    total = float(base.agg(F.sum("n_terms")).first()[0] or 0) + 1.0
-    entities = base.where("size(base) > 0").select(F.explode("contexts.entity").alias("entity")).groupBy("entity").agg(F.count("*").alias("entity_places"))
     share = F.least(F.col("n") / F.greatest("places", "n"), F.lit(1.0))
     content = -F.log2(F.col("entity_places") / total)
-    revealing = together.join(places, "t").join(entities, "entity").select("t", "entity", ((F.log2(share) + content) / content).alias("revealed")).where(F.col("revealed") >= generalise)
-    revealing = revealing.select("t", "entity", F.when(F.col("revealed") >= remove, "remove").otherwise("generalise").alias("v"))
-    spans = near.join(revealing, ["t", "entity"]).groupBy("id", "text_key", "s", "e").agg(F.max("v").alias("v")).groupBy("id", "text_key").agg(F.collect_list(F.struct("s", F.lit(4).alias("k"), "e", "v")).alias("more"))
-    spans = spans.select(F.col("id").alias("_id"), F.col("text_key").alias("_key"), F.col("more").cast(_SPAN).alias("more"))
-    joined = base.join(spans, F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left")
-    return joined.select(F.col("id").alias(id_col), "text_key", F.when(F.col("more").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "more"))).alias("spans"))
+    revealed = together.join(places, "t").join(entities, "entity").select("t", ((F.log2(share) + content) / content).alias("revealed")).groupBy("t").agg(F.max("revealed").alias("revealed"))
+    return scratch.write(revealed.where(F.col("revealed") >= generalise).select("t", F.when(F.col("revealed") >= remove, "remove").otherwise("generalise").alias("v")), "revealing")
+
+
+def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE, context: int = CONTEXT) -> DataFrame:
+    """id_col, text_key, spans: array of (s, k, e, v), by start and kind (KINDS), for every row.
+
+    v is the value, for a term "generalise" or "remove". text_key (a hash of the text) with the id tells rows apart.
+    """
+    scratch = Scratch(docs.sparkSession)
+    source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    scanned = base_spans(source).select("id", F.xxhash64("text").alias("text_key"), "base", _contexts(F.col("text"), F.col("base"), context).alias("contexts"), F.regexp_count("text", F.lit(TERM)).alias("n_terms"))
+    base = scratch.write(scanned, "base")
+    contexts = base.where("size(base) > 0").select(F.explode("contexts").alias("c")).select("c.*")
+    entities = contexts.groupBy("entity").agg(F.count("*").alias("entity_places"))
+    near = contexts.select("entity", "context", F.explode("terms.t").alias("t"))
+    total = float(base.agg(F.sum("n_terms")).first()[0] or 0) + 1.0
+    revealing = revealing_terms(near, entities, source, total, scratch, support, generalise, remove)
+    many = revealing.count()
+    base = base.select("id", "text_key", "base")
+    if not many:
+        return base.select(F.col("id").alias(id_col), "text_key", F.col("base").alias("spans"))
+    own = F.broadcast(revealing) if many <= BROADCAST_TERMS else revealing
+    # First which words of which texts, as numbers; then the places of these words, in these texts alone.
+    words = F.regexp_extract_all("text", F.lit(TERM), F.lit(0))
+    keyed = source.select("id", F.xxhash64("text").alias("text_key"), "text")
+    hit = keyed.select("id", "text_key", F.posexplode(words).alias("no", "w")).select("id", "text_key", "no", F.lower("w").alias("w")).join(own, F.col("w") == F.col("t"))
+    hit = hit.groupBy(F.col("id").alias("_id"), F.col("text_key").alias("_key")).agg(F.collect_set(F.struct("no", "v")).alias("said"))
+    found = keyed.join(hit, F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))).select("_id", "_key", "said", _placed(F.col("text"), TERM, words).alias("placed"))
+    span = lambda x: F.struct(F.get("placed", x["no"])["s"].alias("s"), F.lit(4).alias("k"), F.get("placed", x["no"])["e"].alias("e"), x["v"].alias("v"))
+    more = found.select("_id", "_key", F.transform("said", span).cast(_SPAN).alias("more")).groupBy("_id", "_key").agg(F.any_value("more").alias("more"))
+    joined = base.join(more, F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left")
+    apart = F.filter("more", lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
+    return joined.select(F.col("id").alias(id_col), "text_key", F.when(F.col("more").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", apart))).alias("spans"))
 
 
 def sanitize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with the text's spans replaced: [KIND] for base spans, [TERM] for generalised terms, nothing for removed ones. All columns stay."""
-    found = find_personal_data(docs, id_col, text_col, **options).where("size(spans) > 0").select(F.col(id_col).alias("_id"), F.col("text_key").alias("_key"), F.col("spans").alias("_spans")).dropDuplicates(["_id", "_key"])
+    """docs with the text's spans replaced: [KIND] for base spans, [NAME], [CODE] or [TERM] for generalised terms, nothing for removed ones. All columns stay."""
+    id_, key, spans = own_names(docs, "span_id", "span_key", "spans")
+    found = find_personal_data(docs, id_col, text_col, **options).where("size(spans) > 0").select(F.col(id_col).alias(id_), F.col("text_key").alias(key), F.col("spans").alias(spans)).dropDuplicates([id_, key])
     text = F.coalesce(F.col(text_col), F.lit(""))
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
 
     def cut(a: Column, x: Column) -> Column:
-        said = F.when(x["v"] == "remove", F.when(x["k"] == 4, F.lit("")).otherwise(F.get(names, x["k"]))).otherwise(F.get(names, x["k"]))
+        word = F.substring(text, x["s"] + 1, x["e"] - x["s"])
+        kind = F.when(word.rlike("[0-9]"), "[CODE]").when(word.rlike(r"^\p{Lu}"), "[NAME]").otherwise("[TERM]")
+        said = F.when(x["k"] < 4, F.get(names, x["k"])).when(x["v"] == "remove", "").otherwise(kind)
         more = F.concat(a["out"], F.substring(text, a["at"] + 1, x["s"] - a["at"]), said)
         return F.when(x["s"] >= a["at"], F.struct(more.alias("out"), x["e"].alias("at"))).otherwise(F.struct(a["out"].alias("out"), F.greatest(a["at"], x["e"]).alias("at")))
 
-    done = F.aggregate("_spans", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), cut, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    joined = docs.join(found, docs[id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_key")), "left")
-    return joined.select(*[F.when(F.col("_spans").isNull(), docs[c]).otherwise(done).alias(c) if c == text_col else docs[c] for c in docs.columns])
+    done = F.aggregate(spans, F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), cut, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+    joined = docs.join(found, docs[id_col].eqNullSafe(F.col(id_)) & (F.xxhash64(text) == F.col(key)), "left")
+    return joined.select(*[F.when(F.col(spans).isNull(), docs[c]).otherwise(done).alias(c) if c == text_col else docs[c] for c in docs.columns])
 
 
 def _equals(k: int) -> Callable[[Column], Column]:
