@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vacantia.llm import decontaminate, jaccard, language, mixing, pii, quality, repeats, tokenbin, topk, toxicity, variants, whitening
+from vacantia.llm import decontaminate, imatch, jaccard, language, mixing, pii, quality, repeats, tokenbin, topk, toxicity, variants, whitening
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -67,8 +67,12 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.variants_report(table(spark, sf_dir, "documents"))
 
 
+def op12_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.likeness_report(table(spark, sf_dir, "documents"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op1_token_ids": op1_token_ids, "op2_personal_data": op2_personal_data, "op3_repeats": op3_repeats, "op4_language": op4_language, "op5_quality": op5_quality, "op6_source_mix": op6_source_mix, "op7_ngram_jaccard": op7_ngram_jaccard, "op8_toxicity": op8_toxicity, "op9_exact_top_k": op9_exact_top_k, "op10_decontamination": op10_decontamination, "op11_spelling_variants": op11_spelling_variants, "op13_whitening": op13_whitening}
+QUERIES = {"op1_token_ids": op1_token_ids, "op2_personal_data": op2_personal_data, "op3_repeats": op3_repeats, "op4_language": op4_language, "op5_quality": op5_quality, "op6_source_mix": op6_source_mix, "op7_ngram_jaccard": op7_ngram_jaccard, "op8_toxicity": op8_toxicity, "op9_exact_top_k": op9_exact_top_k, "op10_decontamination": op10_decontamination, "op11_spelling_variants": op11_spelling_variants, "op12_imatch": op12_imatch, "op13_whitening": op13_whitening}
