@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from vacantia.functions.urls import canonical_url, pick_apply_url
 from vacantia.operators import contacts, coverage, lifecycle, linking, matching
 from vacantia.sources import extract
+from vacantia.streaming.store import KeyedStore, Merge
 
 T = lambda d, h=0, m=0: datetime(2026, 8, d, h, m)
 
@@ -18,12 +19,14 @@ def test_urls(spark):
 
 def test_snapshot_write_is_idempotent(spark, tmp_path):
     rows = spark.createDataFrame([(1, "a", T(1), T(1)), (2, "b", T(1), T(1))], "k int, v string, first_seen_at timestamp, last_seen_at timestamp")
-    one = spark.read.parquet(lifecycle.write_snapshot(None, rows, str(tmp_path), ["k"]))
+    store = KeyedStore(spark, str(tmp_path), "k int, v string, first_seen_at timestamp, last_seen_at timestamp", ["k"], Merge(("last_seen_at",), ("first_seen_at",), ("last_seen_at",)), buckets=2)
     new = spark.createDataFrame([(2, "B", T(3), T(3)), (3, "c", T(3), T(3))], rows.schema)
-    two = spark.read.parquet(lifecycle.write_snapshot(one, new, str(tmp_path), ["k"]))
-    three = spark.read.parquet(lifecycle.write_snapshot(two, new, str(tmp_path), ["k"]))
     want = [(1, "a", T(1), T(1)), (2, "B", T(1), T(3)), (3, "c", T(3), T(3))]
-    assert sorted(map(tuple, two.collect())) == sorted(map(tuple, three.collect())) == want
+    store.upsert(rows, 0)
+    store.upsert(new, 1)
+    assert sorted(map(tuple, store.rows().collect())) == want
+    store.upsert(new, 2)  # the same rows again, as a batch of their own
+    assert sorted(map(tuple, store.rows().collect())) == want
 
 
 def test_misses(spark):

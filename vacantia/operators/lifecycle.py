@@ -1,9 +1,7 @@
-"""Snapshots over time: carrying state, misses, closure, backlog, keyed writes, queues of sightings."""
+"""Snapshots over time: carrying state, misses, closure, backlog, queues of sightings."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,20 +54,6 @@ def backlog(inventory: DataFrame) -> DataFrame:
     return inventory.where("active").groupBy("connector_id", "hydration_status").agg(F.count("*").alias("n"))
 
 
-def write_snapshot(old: DataFrame | None, new: DataFrame, path: str, keys: list[str], first: str = "first_seen_at", last: str = "last_seen_at") -> str:
-    """Upsert new rows by key into a new version folder under path; returns the folder. first is kept, last is the later one.
-
-    Parquet has no MERGE: rows of the old version whose key is not in new are carried over. Writing the same rows again changes nothing.
-    """
-    if old is not None:
-        was = old.select(*keys, F.col(first).alias("_first"), F.col(last).alias("_last"))
-        merged = new.join(was, keys, "left").withColumns({first: F.least(F.coalesce("_first", first), F.col(first)), last: F.greatest("_last", last)}).drop("_first", "_last")
-        new = merged.select(*new.columns).unionByName(old.join(new.select(*keys).distinct(), keys, "left_anti"), allowMissingColumns=True)
-    out = f"{path.rstrip('/')}/version-{uuid.uuid4().hex}"
-    new.write.parquet(out)
-    return out
-
-
 def retain_last(df: DataFrame, keys: list[str], n: int, order: list[Column]) -> DataFrame:
     """The last n rows of each key."""
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= n).drop("_n")

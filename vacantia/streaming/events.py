@@ -6,7 +6,7 @@ task by nature, and each key holds a few values only.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from datetime import timedelta
 
 import pandas as pd
@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
-from vacantia.operators.lifecycle import apply_snapshot, write_snapshot
+from vacantia.operators.lifecycle import apply_snapshot
+from vacantia.streaming.store import KeyedStore
 
 
 def _micros(at: Column | str) -> Column:
@@ -187,22 +188,14 @@ def fresh_status(checks: DataFrame, now: Column, minutes: int = 30) -> DataFrame
     return latest.where(_micros(now) - _micros("ts") <= minutes * 60_000_000)
 
 
-def stream_inventory(source: DataFrame, path: str, checkpoint: str, keys: list[str], read: Callable[[], DataFrame | None], published: Callable[[str], None]) -> StreamingQuery:
-    """Each arriving batch of listings becomes a new inventory version (carried state, keyed upsert). read gives the present version, published takes the new folder.
+def stream_inventory(source: DataFrame, store: KeyedStore, checkpoint: str) -> StreamingQuery:
+    """Each arriving batch of listings is added to the inventory: what is unchanged keeps its state, what is new or changed is queued. A batch reads the buckets that it touches.
 
-    A batch that is delivered again writes the same rows, so the result is the same.
+    The newest sighting of a listing holds, so that a late older one moves first_seen_at at most; a batch that is delivered again changes nothing.
     """
 
-    def batch(df: DataFrame, _: int) -> None:
-        old = read()
-        newest = Window.partitionBy(*keys).orderBy(F.desc("last_seen_at"), "metadata_hash")
-        one = df.withColumn("_n", F.row_number().over(newest)).where("_n = 1").drop("_n")
-        new = one if old is None else apply_snapshot(old, one, keys)
-        published(write_snapshot(old, new, path, keys))
+    def batch(df: DataFrame, n: int) -> None:
+        one = store.merge(df, store.keys)
+        store.upsert(apply_snapshot(store.rows(store.touched(one)), one, store.keys), n)
 
     return source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def latest_only(events: DataFrame, keys: list[str], late: str) -> DataFrame:
-    """First of each key within the watermark: late repeats are dropped."""
-    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
