@@ -1,3 +1,4 @@
+import random
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -126,4 +127,41 @@ def test_lifecycle(spark):
     inventory = spark.createDataFrame([("c", "a", True)], "connector_id string, listing_id string, active boolean")
     jobs = spark.createDataFrame([(1, T(1)), (2, None), (3, None), (4, T(1)), (5, T(1))], "job_id int, closed_at timestamp")
     got = {r.job_id: r.closed_at for r in lifecycle.reconcile_lifecycle(sources, inventory, jobs, "c", F.lit(T(9))).collect()}
-    assert got == {1: None, 2: T(9), 3: None, 4: None, 5: T(1)}
+    # The second job's source has no row in the inventory and stays as it is.
+    assert got == {1: None, 2: None, 3: None, 4: None, 5: T(1)}
+    gone = spark.createDataFrame([("c", "a", True), ("c", "b", False), ("d", "y", False)], inventory.schema)
+    runs = spark.createDataFrame([(1, "c", "reconcile", "complete", T(8)), (2, "d", "reconcile", "complete", T(7)), (3, "d", "reconcile", "partial", T(8)), (4, "d", "watch", "complete", T(9))], "run_id int, connector_id string, run_type string, status string, finished_at timestamp")
+    close = lambda connectors: {r.job_id: r.closed_at for r in lifecycle.reconcile_lifecycle(sources, gone, jobs, connectors, F.lit(T(9))).collect()}
+    assert close(lifecycle.complete_connectors(runs)) == {1: None, 2: T(9), 3: None, 4: None, 5: T(1)}  # the last run of d was partial
+    assert close(lifecycle.complete_connectors(runs, F.lit(2))) == {1: None, 2: None, 3: T(9), 4: T(1), 5: T(1)}
+    assert close(lifecycle.complete_connectors(runs, F.lit(3))) == close(lifecycle.complete_connectors(runs, F.lit(4))) == {1: None, 2: None, 3: None, 4: None, 5: T(1)}
+
+
+def test_misses_against_brute_force(spark):
+    r = random.Random(1)
+    seen = [(r.randrange(4), r.randrange(30), r.randrange(40)) for _ in range(300)]
+    runs = [(c, k, r.random() < 0.3) for c in range(5) for k in range(45) if r.random() < 0.8]
+    got = lifecycle.miss_counts(spark.createDataFrame(seen, "connector_id int, listing_id int, run_no int"), spark.createDataFrame(runs + runs[:20], "connector_id int, run_no int, complete boolean"), limit=5)
+    last = {}
+    for c, l, k in seen:
+        last[c, l] = max(last.get((c, l), -1), k)
+    want = {(c, l, k, min(5, len({n for d, n, full in runs if d == c and full and n > k}))) for (c, l), k in last.items()}
+    assert {tuple(x)[:4] for x in got.collect()} == want and all(x.active == (x.misses < 5) for x in got.collect())
+
+
+def test_presented_health(spark):
+    sources = spark.createDataFrame([(1, "s1", "c", True, T(3), "", True), (1, "s2", "d", False, T(5), "", False), (2, "s3", "e", False, None, "", True)], "job_id int, source_id string, connector_id string, is_official boolean, verified_at timestamp, apply_url string, active boolean")
+    runs = spark.createDataFrame([("c", "watch", "complete", T(1)), ("c", "watch", "partial", T(6)), ("d", "reconcile", "complete", T(2)), ("x", "watch", "failed", T(9))], "connector_id string, run_type string, status string, finished_at timestamp")
+    jobs = spark.createDataFrame([(1,), (2,), (3,)], "job_id int").selectExpr("job_id", "'india' location_status", "'exact' domain_status", "'zero_to_two' experience_status", "0.0D minimum_years", "2.0D maximum_years")
+    got = {r.job_id: (r.watch_fresh_at, r.reconcile_fresh_at, r.health, r.newest_verified_at, len(r.sources)) for r in coverage.present_jobs(jobs, sources, runs).collect()}
+    assert got == {1: (T(1), T(2), "partial", T(3), 1), 2: (None, None, "unknown", None, 1), 3: (None, None, "unknown", None, 0)}
+    assert coverage.snapshot_at(sources, runs).first()[0] == T(6)
+
+
+def test_boards_of_many_connectors_are_read_once(spark):
+    raw = spark.createDataFrame([(f"c{k}", 1, "u", f'{{"j{k}": [{{"id": {k}, "t": "T{k}", "u": "https://a/{k}"}}]}}') for k in range(60)] + [("none", 1, "u", "{}")], "connector_id string, page_no int, url string, body string")
+    mapping = {f"c{k}": {"items": f"$.j{k}", "source_external_id": "$.id", "title": "$.t", "detail_url": "$.u"} for k in range(55)} | {"bad": {"title": "$.t"}}
+    got = extract.extract_json_listings(raw, mapping)
+    assert {r.title for r in got.collect()} == {f"T{k}" for k in range(55)} and got.first().category is None
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") == 1 and len(plan) < 20_000

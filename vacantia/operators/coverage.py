@@ -106,14 +106,31 @@ def rank_sources(sources: DataFrame) -> DataFrame:
     return sources.withColumn("source_rank", F.row_number().over(Window.partitionBy("job_id").orderBy(F.desc("is_official"), F.desc_nulls_last("verified_at"), "source_id")))
 
 
-def present_jobs(jobs: DataFrame, sources: DataFrame) -> DataFrame:
-    """Classified jobs with their active sources (an array in rank order), evidence labels and a year range."""
+def presented_health(sources: DataFrame, runs: DataFrame) -> DataFrame:
+    """For each job (of any of its sources): watch_fresh_at and reconcile_fresh_at, the newest complete runs of its connectors, its worst health, and newest_verified_at of its active sources."""
+    complete = lambda kind: F.max(F.when((F.col("run_type") == kind) & (F.col("status") == "complete"), F.col("finished_at")))
+    by = runs.groupBy("connector_id").agg(worst(F.col("status")).alias("_health"), complete("watch").alias("_watch"), complete("reconcile").alias("_reconcile"))
+    verified = F.max(F.when(F.col("active"), F.col("verified_at"))).alias("newest_verified_at")
+    of_job = sources.groupBy("job_id", "connector_id").agg(verified)
+    x = of_job.join(by, "connector_id", "left").groupBy("job_id")
+    return x.agg(F.max("_watch").alias("watch_fresh_at"), F.max("_reconcile").alias("reconcile_fresh_at"), worst(F.col("_health")).alias("health"), F.max("newest_verified_at").alias("newest_verified_at")).fillna("unknown", ["health"])
+
+
+def snapshot_at(sources: DataFrame, runs: DataFrame) -> DataFrame:
+    """One row: the newest time among the runs of the connectors that sources show, and the sources' verifications."""
+    ran = runs.join(sources.where("active").select("connector_id").distinct(), "connector_id", "left_semi").select(F.col("finished_at").alias("at"))
+    return ran.unionByName(sources.where("active").select(F.col("verified_at").alias("at"))).agg(F.max("at").alias("snapshot_at"))
+
+
+def present_jobs(jobs: DataFrame, sources: DataFrame, runs: DataFrame | None = None) -> DataFrame:
+    """Classified jobs with their active sources (an array in rank order), evidence labels and a year range; with runs, also presented_health (sources then have connector_id)."""
     ranked = rank_sources(sources.where("active"))
     nested = ranked.groupBy("job_id").agg(F.sort_array(F.collect_list(F.struct("source_rank", "source_id", "is_official", "verified_at", "apply_url"))).alias("sources"))
     number = lambda c: F.regexp_replace(F.col(c).cast("string"), r"\.0$", "")
     years = F.when(F.expr("minimum_years is not null and maximum_years is not null"), F.concat(number("minimum_years"), F.lit("-"), number("maximum_years"), F.lit(" years"))).when(F.col("maximum_years").isNotNull(), F.concat(F.lit("Up to "), number("maximum_years"), F.lit(" years"))).otherwise("Entry-level experience wording")
     labels = F.array_compact(F.array(F.when(F.col("location_status") == "india", "India location"), F.when(F.col("domain_status") == "exact", "Finance relevance confirmed").when(F.col("domain_status") == "likely", "Finance relevance likely"), F.when(F.col("experience_status") == "zero_to_two", years).when(F.col("experience_status") == "ambiguous", "Experience requirement unclear")))
-    return jobs.join(nested, "job_id", "left").withColumns({"evidence": F.slice(labels, 1, 3), "sources": F.coalesce("sources", F.array())})
+    shown = jobs.join(nested, "job_id", "left").withColumns({"evidence": F.slice(labels, 1, 3), "sources": F.coalesce("sources", F.array())})
+    return shown if runs is None else shown.join(presented_health(sources, runs), "job_id", "left").fillna("unknown", ["health"])
 
 
 def company_directory(catalog: DataFrame, roles: DataFrame, cov: DataFrame) -> DataFrame:

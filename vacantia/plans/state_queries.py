@@ -53,6 +53,18 @@ def lifecycle_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return life.reconcile_lifecycle(s, inventory, jobs, F.lit(3), F.expr("timestamp'2026-08-01'")).select("job_id", "closed_at")
 
 
+# Inventories of two thirds of the listings; connectors whose last reconcile run wasn't complete close nothing.
+@query(f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY connector_id ORDER BY finished_at DESC, run_id DESC) AS n FROM ({RUNS}) x WHERE run_type = 'reconcile'), c AS (SELECT connector_id FROM r WHERE n = 1 AND status = 'complete'),
+ s AS (SELECT DISTINCT connector_id, listing_id, listing_id % 500 AS job_id, (listing_id + connector_id) % 9 = 0 AS active FROM ({SIGHTINGS}) x),
+ o AS (SELECT job_id, bool_or(CASE WHEN c.connector_id IS NOT NULL AND listing_id % 3 <> 0 THEN listing_id % 17 = 1 ELSE active END) AS open, bool_or(c.connector_id IS NOT NULL) AS shown FROM s LEFT JOIN c USING (connector_id) GROUP BY job_id)
+ SELECT job_id, CASE WHEN open THEN NULL WHEN shown THEN TIMESTAMP '2026-08-01' END AS closed_at FROM o""")
+def lifecycle_guarded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = sightings(spark, sf_dir).selectExpr("connector_id", "listing_id", "listing_id % 500 as job_id", "(listing_id + connector_id) % 9 = 0 as active").distinct()
+    inventory = s.where("listing_id % 3 <> 0").select("connector_id", "listing_id", F.expr("listing_id % 17 = 1").alias("active")).distinct()
+    jobs = s.selectExpr("job_id", "cast(null as timestamp) as closed_at").distinct()
+    return life.reconcile_lifecycle(s, inventory, jobs, life.complete_connectors(runs(spark, sf_dir)), F.expr("timestamp'2026-08-01'")).select("job_id", "closed_at")
+
+
 @query(f"SELECT connector_id, CASE WHEN posting_id % 3 = 0 THEN 'hydrated' ELSE 'queued' END AS hydration_status, count(*) AS n FROM ({POSTINGS}) p WHERE active GROUP BY ALL")
 def backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return life.backlog(postings(spark, sf_dir).withColumn("hydration_status", F.expr("case when posting_id % 3 = 0 then 'hydrated' else 'queued' end")))
@@ -220,6 +232,17 @@ def presented_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cov.present_jobs(jobs, sources).select("job_id", F.size("sources").cast("long").alias("n_sources"), F.try_element_at("sources", F.lit(1))["source_id"].alias("first_source"), F.array_join("evidence", ",").alias("evidence"))
 
 
+_WORST = "CASE max(CASE status WHEN 'failed' THEN 4 WHEN 'anomalous' THEN 3 WHEN 'partial' THEN 2 WHEN 'complete' THEN 1 ELSE 0 END) WHEN 4 THEN 'failed' WHEN 3 THEN 'anomalous' WHEN 2 THEN 'partial' WHEN 1 THEN 'complete' ELSE 'unknown' END"
+
+
+@query(f"""WITH s AS (SELECT listing_id % 700 AS job_id, connector_id * 2 + listing_id % 2 AS connector_id, run_no % 2 = 0 AS active, seen_at FROM ({SIGHTINGS}) x), j AS (SELECT DISTINCT job_id, connector_id FROM s), v AS (SELECT job_id, max(seen_at) FILTER (WHERE active) AS newest_verified_at FROM s GROUP BY job_id),
+ h AS (SELECT job_id, max(finished_at) FILTER (WHERE run_type = 'watch' AND status = 'complete') AS watch_fresh_at, max(finished_at) FILTER (WHERE run_type = 'reconcile' AND status = 'complete') AS reconcile_fresh_at, {_WORST} AS health FROM j LEFT JOIN ({RUNS}) r USING (connector_id) GROUP BY job_id)
+ SELECT * FROM h JOIN v USING (job_id)""")
+def presented_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sources = sightings(spark, sf_dir).selectExpr("listing_id % 700 as job_id", "connector_id * 2 + listing_id % 2 as connector_id", "seen_at as verified_at", "run_no % 2 = 0 as active")
+    return cov.presented_health(sources, runs(spark, sf_dir))
+
+
 _ROUND = "l{b} AS (SELECT obs_id, min(m) AS j FROM k JOIN (SELECT key, min(j) AS m FROM k JOIN l{a} USING (obs_id) GROUP BY key) g USING (key) GROUP BY obs_id)"
 
 

@@ -49,48 +49,56 @@ def _complete(rows: DataFrame) -> DataFrame:
     return _first_of_key(full, ["connector_id", "source_external_id"], ["page_no", "pos"]).drop("pos")
 
 
+def _mapped(raw: DataFrame, mapping: dict[str, dict[str, str]]) -> DataFrame:
+    """raw pages of the mapped connectors, with their row of the mapping as a map of strings: pages are read once whatever the number of connectors."""
+    rows = [(connector, dict(paths)) for connector, paths in mapping.items()]
+    table = raw.sparkSession.createDataFrame(rows, "_connector string, _paths map<string,string>")
+    return raw.join(F.broadcast(table), F.col("connector_id").cast("string") == F.col("_connector")).drop("_connector")
+
+
 def extract_json_listings(raw: DataFrame, mapping: dict[str, dict[str, str]], region: str | None = INDIA) -> DataFrame:
     """Listings of JSON boards. mapping: connector -> {items: path of the array, column: path in an item}; $ is the root.
 
     Bodies that aren't JSON give no rows. region: pattern that a location has to match, if there is one.
     """
-    out = None
-    for connector, paths in mapping.items():
-        doc = raw.where(F.col("connector_id") == connector).withColumn("_v", F.try_parse_json("body"))
-        items = doc.select("connector_id", "page_no", F.posexplode(F.try_variant_get("_v", paths["items"], "array<variant>")).alias("pos", "_i"))
-        rows = items.select("connector_id", "page_no", "pos", *[(F.try_variant_get("_i", paths[c], "string") if c in paths else F.lit(None).cast("string")).alias(c) for c in LISTING])
-        out = rows if out is None else out.unionByName(rows)
-    return _complete(out if region is None else out.where(F.col("location").isNull() | F.col("location").rlike(region)))
+    path = lambda c: F.expr(f"_paths['{c}']")
+    get = lambda v, c, kind: F.expr(f"try_variant_get({v}, _paths['{c}'], '{kind}')")
+    doc = _mapped(raw, mapping).withColumn("_v", F.try_parse_json("body")).where(F.col("_v").isNotNull() & path("items").isNotNull())
+    items = doc.select("connector_id", "page_no", "_paths", F.posexplode(get("_v", "items", "array<variant>")).alias("pos", "_i"))
+    rows = items.select("connector_id", "page_no", "pos", *[F.when(path(c).isNotNull(), get("_i", c, "string")).alias(c) for c in LISTING])
+    return _complete(rows if region is None else rows.where(F.col("location").isNull() | F.col("location").rlike(region)))
 
 
 def extract_html_listings(raw: DataFrame, mapping: dict[str, dict[str, str]]) -> DataFrame:
     """Listings of HTML result pages. mapping: connector -> {card: pattern of a card, or start: pattern a card starts with, column: pattern with one group}."""
-    out = None
-    for connector, p in mapping.items():
-        body = F.col("body")
-        cards = F.regexp_extract_all(body, F.lit(p["card"]), F.lit(0)) if "card" in p else F.filter(F.split(body, f"(?={p['start']})"), lambda _, i: i > 0)
-        items = raw.where(F.col("connector_id") == connector).select("connector_id", "page_no", F.posexplode(cards).alias("pos", "_card"))
-        field = lambda c, p=p: F.nullif(plain_text(F.regexp_extract("_card", p[c], 1), None), F.lit("")) if c in p else F.lit(None).cast("string")
-        rows = items.select("connector_id", "page_no", "pos", *[field(c).alias(c) for c in LISTING])
-        out = rows if out is None else out.unionByName(rows)
-    return _complete(out)
+    pattern = lambda c: F.expr(f"_paths['{c}']")
+    whole = F.when(pattern("card").isNotNull(), F.regexp_extract_all("body", pattern("card"), F.lit(0)))
+    cards = whole.otherwise(F.filter(F.split("body", F.concat(F.lit("(?="), pattern("start"), F.lit(")"))), lambda _, i: i > 0))
+    items = _mapped(raw, mapping).select("connector_id", "page_no", "_paths", F.posexplode(cards).alias("pos", "_card"))
+    field = lambda c: F.when(pattern(c).isNotNull(), F.nullif(plain_text(F.expr(f"regexp_extract(_card, _paths['{c}'], 1)"), None), F.lit("")))
+    return _complete(items.select("connector_id", "page_no", "pos", *[field(c).alias(c) for c in LISTING]))
+
+
+def _unfolded(block: Column) -> Column:
+    """All JSON values in a text that are no arrays themselves: the text's, and those in arrays and @graph at any depth. Each step of the fold opens one level."""
+    none = F.array().cast("array<variant>")
+    array = lambda v: F.try_variant_get(v, "$", "array<variant>")
+    within = lambda v: F.concat(F.coalesce(array(v), none), F.coalesce(F.try_variant_get(v, "$['@graph']", "array<variant>"), none))
+    start = F.struct(F.array_compact(F.array(F.try_parse_json(block))).alias("open"), none.alias("found"))
+
+    def level(a: Column, _: Column) -> Column:
+        found = F.concat(a["found"], F.filter(a["open"], lambda v: array(v).isNull()))
+        return F.when(F.size(a["open"]) == 0, a).otherwise(F.struct(F.array_compact(F.flatten(F.transform(a["open"], within))).alias("open"), found.alias("found")))
+
+    # A text of n brackets has n levels at most; what lies open after the last is empty.
+    levels = F.sequence(F.lit(0), F.length(block) - F.length(F.replace(block, F.lit("["), F.lit(""))))
+    return F.aggregate(levels, start, level, lambda a: a["found"])
 
 
 def extract_jsonld(pages: DataFrame, kind: str = "JobPosting", html: str = "html") -> DataFrame:
     """One row (all columns and `node`, JSON text) for each JSON-LD object of the kind, in arrays and @graph at any depth. Malformed blocks are skipped."""
     blocks = pages.withColumn("_block", F.explode(F.regexp_extract_all(html, F.lit(r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"), F.lit(1))))
-    v = blocks.withColumn("_v", F.try_parse_json("_block")).where("_v is not null").drop("_block")
-    array, graph = F.try_variant_get("_v", "$", "array<variant>"), F.try_variant_get("_v", "$['@graph']", "array<variant>")
-    levels = [v.where(array.isNull())]
-    while True:  # one level of nesting each
-        none = F.array().cast("array<variant>")
-        v = v.where(array.isNotNull() | graph.isNotNull()).withColumn("_v", F.explode(F.array_compact(F.concat(F.coalesce(array, none), F.coalesce(graph, none)))))
-        if v.isEmpty():
-            break
-        levels.append(v.where(array.isNull()))
-    v = levels[0]
-    for more in levels[1:]:
-        v = v.unionByName(more)
+    v = blocks.withColumn("_v", F.explode(_unfolded(F.col("_block")))).drop("_block")
     named = F.coalesce(F.try_variant_get("_v", "$['@type']", "string"), F.lit(""))
     found = v.where(named.contains(kind)).withColumn("node", F.to_json("_v")).drop("_v")
     return found.dropDuplicates([*[c for c in pages.columns if c != html], "node"])
