@@ -15,7 +15,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five words, 0.8) the document with the smallest id; of several texts with that id the one with the smallest hash, once.
+    """Of each group of near duplicates (five words, 0.8) the document with the smallest id; of several texts with that id the one with the smallest hash, once (of rows that agree in both, the one with the smallest hash of all columns).
 
     Texts that share an id are told apart: each is judged in its own group. A document without an id goes if a group of its text's near duplicates has one with an id;
     of those that have none, the one with the smallest hash stays. Null and empty texts, and texts without words, link with nothing and stay, each once for an id.
@@ -24,7 +24,8 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     keyed = docs.withColumn(hash_, F.xxhash64("text")).withColumn(key, F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id"), F.lit(0).cast("long")).alias("id"), F.col(hash_).alias("hash")))
     found = jaccard.near_duplicate_components(keyed.select(F.col(key).alias("doc_id"), "text"), most_blocks=4)
     kept = found.where("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
-    return keyed.join(kept, key, "left_semi").dropDuplicates([key]).select(docs.columns)
+    one = F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    return keyed.join(kept, key, "left_semi").groupBy(key).agg(one.alias(hash_)).select(f"{hash_}.*")
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +34,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The sources at their target weights: some documents left out, some taken twice. A null source is one of its own; rows that agree in id, source and size share one decision; texts without words are left out or kept by the same chance."""
+    """The sources at their target weights: some documents left out, some taken twice. A null source is one of its own; equal rows are decided one by one; texts without words are left out or kept by the same chance."""
     return mixing.mixed(docs)
 
 

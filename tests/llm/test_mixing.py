@@ -45,12 +45,25 @@ def test_targets_of_many_sources(spark):
 
 
 def test_ties(spark):
-    """Equal sizes leave the choice to the hash of the id: the same on any partitioning, and copies of a row share it."""
+    """Equal sizes leave the choice to the hash of the row: the same on any partitioning."""
     rows = [(i % 300, "a" if i % 2 else "b", "w w w") for i in range(600)]
     df = spark.createDataFrame(rows, "doc_id long, source string, text string")
     got = sorted(map(tuple, m.mix_report(df).collect()))
     assert got == sorted(map(tuple, m.mix_report(df.repartition(5)).collect()))
-    assert all(len({r[-1] for r in got if r[0] == i}) == 1 for i in range(300))
+
+
+def test_equal_rows_are_decided_one_by_one(spark):
+    """What the mix takes comes near the target also where one row, or rows without ids, make up a source."""
+    near = lambda rows: {r.target: sum(x.taken for x in rows if x.target == r.target) for r in rows}
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, source string, text string")
+    alike = m.mix_report(frame([(1, "a", "w w w")] * 100 + [(2, "b", "w")] * 3)).collect()
+    assert len(alike) == 103 and all(abs(t - got) <= 3 for t, got in near(alike).items())
+    assert {r.taken for r in alike if r.doc_id == 1} <= {3, 6} and len({r.taken for r in alike if r.doc_id == 1}) == 2
+    nameless = m.mix_report(frame([(None, "a", "x y z")] * 120 + [(None, "a", "q r s")] * 80)).collect()
+    assert len(nameless) == 200 and all(abs(t - got) <= 3 for t, got in near(nameless).items())
+    df = frame([(1, "a", "w w w")] * 100 + [(1, "a", "v v v")] * 7 + [(1, "a", "u v w")])
+    full = m.mixed(df)
+    assert full.count() * 3 == sum(r.taken for r in m.mix_report(df).collect()) and full.where("text = 'w w w'").count() > 100
 
 
 def test_flight_keeps_totals():

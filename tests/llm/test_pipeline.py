@@ -2,6 +2,7 @@ import collections
 
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.test_decontaminate import brute as contaminated
@@ -61,6 +62,12 @@ def test_texts_that_share_an_id_are_judged_one_by_one(spark):
     assert len([x for x in got if x[0] == 6]) == 1
 
 
+def test_rows_of_one_id_and_text_leave_the_same_one(spark):
+    rows = [(1, "a b c d e f g h", "en", s, 1) for s in ("s", "t", None, "u")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert len({corpus_pipeline.one_of_each_group(spark, docs.orderBy(F.expr(o)).repartition(3), SF).first() for o in ("source", "source desc")}) == 1
+
+
 def test_long_texts_pass_through(spark):
     rows = [(1, "word " * 300_000, "en", "s", 1), (2, "x" * 2_000_000, "en", "s", 1), (3, "short text", "en", "t", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")

@@ -6,8 +6,9 @@ documents and their sizes) until all but a few are 0 or 1, so that both totals o
 rounds: each source is cut into buckets, every bucket walks its flight, and the few documents still undecided in the buckets
 meet in the next, smaller round. The last few of a source are settled by the landing: the choice nearest to its target.
 
-Rows that agree in id, source and size are one unit: a decision holds for all its copies. Null texts have size 0; a null source is a source of
-its own. All choices come from hashes of the ids, so that reruns agree; ties between equal choices go to the one that leaves more out.
+Rows that agree in all their columns are one unit: of m such rows with probability p, the whole part of m * p is taken and the rest is the probability of one more. All
+other rows, whatever they share, are decided one by one. Null texts have size 0; a null source is a source of its own. All choices come from hashes of the rows, so that reruns agree; ties
+between equal choices go to the one that leaves more out.
 """
 
 from __future__ import annotations
@@ -115,7 +116,7 @@ def landing(p: np.ndarray, size: np.ndarray) -> np.ndarray:
 def _walk(last: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def walk(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values(["mark", "size"], kind="stable").reset_index(drop=True)
-        size = (f["size"] * f["rows"]).to_numpy(float)
+        size = f["size"].to_numpy(float)
         u = ((f.mark.to_numpy(np.int64).view(np.uint64) >> np.uint64(11)).astype(float)) / 2.0**53
         p = flight(f.p.to_numpy(float), size, u)
         return f.assign(p=landing(p, size) if last else p)
@@ -123,18 +124,24 @@ def _walk(last: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
     return walk
 
 
+def row_hash(docs: DataFrame) -> Column:
+    """Hash of a row's columns, but for those of types that have no hash."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if not any(k in f.dataType.simpleString() for k in ("map<", "variant"))])
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float = 1.5, most: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """How often the mix takes each document: id, source, size (words), rows (with that key), source_size, target (its source's), copies."""
+    """How often the mix takes each document: id, source, size (words), same (hash of the row), rows (so many equal ones), source_size, target (its source's), copies. Of equal rows, those taken once more are a row of their own here."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
-    units = scratch.write(sized.groupBy("id", "source", "size").agg(F.count("*").alias("rows")), "units")
+    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), row_hash(docs).alias("same"))
+    units = scratch.write(sized.groupBy("id", "source", "size", "same").agg(F.count("*").alias("rows")), "units")
     found = scratch.write(units.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"), F.count("*").alias("units")), "sources")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     per_source = scratch.write(source_targets(found, scratch, weights, total, most).select("source", "source_size", "target", rate.alias("rate"), F.ceil(F.col("units") / BUCKET).alias("buckets"), "units"), "targets")
-    mark = F.xxhash64("id", "size", F.lit("mix"))
+    mark = F.xxhash64("id", "same", F.lit("mix"))
     ready = join_groups(units, per_source, "source", "units")
-    ready = ready.select("id", "source", "size", "rows", "source_size", "target", F.floor("rate").cast("int").alias("whole"), (F.col("rate") - F.floor("rate")).alias("p"), F.pmod(mark, "buckets").alias("bucket"), F.xxhash64("id", "size", F.lit("draw")).alias("mark"))
+    many = F.col("rows") * (F.col("rate") - F.floor("rate"))
+    ready = ready.select("id", "source", "size", "same", "rows", "source_size", "target", F.floor("rate").cast("int").alias("whole"), F.floor(many).cast("long").alias("sure"), (many - F.floor(many)).alias("p"), F.pmod(mark, "buckets").alias("bucket"), F.xxhash64("id", "same", F.lit("draw")).alias("mark"))
     open_, done, k = ready, [], 0
     most_units = per_source.agg(F.max("units")).first()[0] or 0
     while True:
@@ -151,7 +158,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float = 1.
     out = done[0]
     for d in done[1:]:
         out = out.union(d)
-    return out.select("id", "source", "size", "rows", "source_size", "target", (F.col("whole") + F.col("p").cast("int")).alias("copies"))
+    more = F.col("sure") + F.col("p").cast("long")
+    parts = F.filter(F.array(F.struct(more.alias("rows"), (F.col("whole") + 1).alias("copies")), F.struct((F.col("rows") - more).alias("rows"), F.col("whole").alias("copies"))), lambda x: x["rows"] > 0)
+    return out.select("id", "source", "size", "same", "source_size", "target", F.inline(parts)).select("id", "source", "size", "same", "rows", "source_size", "target", "copies")
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
@@ -162,8 +171,8 @@ def mix_report(docs: DataFrame) -> DataFrame:
 
 def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float = 1.5, most: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The documents as the mix takes them, all their columns, each as many times as it is taken."""
-    id_, source, size, copies, words, one = own_names(docs, "mix_id", "mix_source", "mix_size", "mix_copies", "mix_words", "mix_one")
-    taken = mix(docs, weights, total, most, id_col, text_col, source_col).where("copies > 0").select(F.col("id").alias(id_), F.col("source").alias(source), F.col("size").alias(size), F.col("copies").alias(copies))
-    sized = docs.withColumn(words, n_words(F.col(text_col)))
-    on = sized[id_col].eqNullSafe(taken[id_]) & sized[source_col].eqNullSafe(taken[source]) & (sized[words] == taken[size])
-    return sized.join(taken, on).withColumn(one, F.explode(F.expr(f"sequence(1, `{copies}`)"))).select(*[sized[c] for c in docs.columns])
+    same, taken_as, times, one = own_names(docs, "mix_same", "mix_row", "mix_times", "mix_one")
+    taken = mix(docs, weights, total, most, id_col, text_col, source_col).where("copies > 0").select(F.col("same").alias(taken_as), (F.col("rows") * F.col("copies")).alias(times))
+    # Equal rows move as one, which is then given as often as all of them are taken.
+    each = docs.withColumn(same, row_hash(docs)).dropDuplicates([same]).join(taken, F.col(same) == F.col(taken_as))
+    return each.withColumn(one, F.explode(F.expr(f"sequence(1L, `{times}`)"))).select(*docs.columns)
