@@ -1,4 +1,5 @@
 import math
+from fractions import Fraction
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -7,21 +8,18 @@ from vacantia.llm.topk import exact_top_k
 
 
 def brute(rows, k=10, every=100):
-    seen = []
-    for i, v in rows:
-        if i is not None and v is not None and None not in v and np.isfinite(np.array(v, float)).all():
-            x = [math.floor(1024 * float(c)) for c in v]
-            if sum(c * c for c in x) < 2**62:
-                seen.append((i, x))
+    """By whole numbers without a limit; scores beyond 64 bits count as the nearest 64-bit number."""
+    seen = [(i, [math.floor(1024 * Fraction(c)) for c in map(float, v)]) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(np.array(v, float)).all()]
     seen.sort()
     width = max((len(x) for _, x in seen), default=0)
-    ids, x = np.array([i for i, _ in seen], np.int64), np.array([v + [0] * (width - len(v)) for _, v in seen], np.int64).reshape(len(seen), width)
+    kind = np.int64 if all(sum(c * c for c in x) < 2**62 for _, x in seen) else object
+    ids, x = np.array([i for i, _ in seen], np.int64), np.array([v + [0] * (width - len(v)) for _, v in seen], kind).reshape(len(seen), width)
     out = []
     for a, i in enumerate(ids):
         if i % every == 0:
-            s = x @ x[a]
-            order = [b for b in np.lexsort((ids, -s)) if b != a][:k]
-            out += [(int(i), r + 1, int(ids[b]), int(s[b])) for r, b in enumerate(order)]
+            s = [min(max(int(c), -(1 << 63)), (1 << 63) - 1) for c in x @ x[a]]
+            order = [b for b in sorted(range(len(ids)), key=lambda b: (-s[b], ids[b])) if b != a][:k]
+            out += [(int(i), r + 1, int(ids[b]), s[b]) for r, b in enumerate(order)]
     return sorted(out)
 
 
@@ -56,3 +54,11 @@ def test_rows_that_share_an_id(spark):
 def test_large_components(spark):
     rows = [(k, [c * 2.0**20, 1.0]) for k, c in ((0, 1), (1, 1.5), (2, -1), (3, 1023), (4, 2.0**30), (100, 1000))]
     assert got(exact_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "id % 100 = 0")) == brute(rows)
+
+
+def test_vectors_whose_scores_need_more_than_64_bits(spark):
+    rnd = np.random.default_rng(4)
+    rows = [(k, rnd.normal(size=6).tolist()) for k in range(120)] + [(200, [2.2e6, 0.0]), (201, [1.0, 0.0]), (300, [3e38, -1.0, 2.0]), (301, [-3e38]), (302, [2.1e6, 5.0]), (303, [2.2e6, 0.0]), (303, [2.2e6, 0.0]), (400, [1e300, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert got(exact_top_k(df, "id % 100 = 0", k=5, block=3, tile=40)) == brute(rows, 5)
+    assert (201, 1024 * 1024 * 2_200_000) in [r[2:] for r in got(exact_top_k(df, "id = 200", k=200))]

@@ -10,14 +10,17 @@ number. Each meeting sends at most k rows a query on.
 Rows that agree in id and vector are one candidate with a number of copies, each of which counts; other rows that share an id are candidates and
 queries of their own. Only a row itself is no candidate of its own query.
 
-A component x counts as floor(1024 * x). Vectors that are null or hold null or non-finite components, and rows without an id, take no part, nor do vectors
-whose squared length is 2**62 or more: scores of all others fit 64 bits. Shorter vectors are filled with zeros. Ties go to the smaller id.
+A component x counts as floor(1024 * x). Vectors that are null or hold null or non-finite components, and rows without an id, take no part. Shorter vectors are filled with zeros. Ties
+go to the smaller id. Vectors whose squared length is 2**62 or more (wide ones) lie in tiles and blocks of their own and are scored in Python's whole numbers; scores beyond
+64 bits count as the nearest 64-bit number.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +34,9 @@ SAMPLE, PIVOTS = 2048, 48
 #: Queries of a block, candidates of a tile.
 QUERY_BLOCK, TILE = 2048, 8192
 MOST_SQUARED = 2.0**62
+#: Bytes of a wide vector: its numbers as text, filled up to a length that no vector of 64-bit numbers has.
+WIDE = "length(v) % 8 = 1"
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
 #: Candidates evaluated between two looks at the bound.
 STEP = 64
 
@@ -41,14 +47,28 @@ def whole_numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         ids, vectors = [], []
         for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if i is not None and v is not None and None not in v:
-                x = np.floor(1024 * np.array(v, np.float64))
-                if np.isfinite(x).all() and (x * x).sum() < MOST_SQUARED:
+                with np.errstate(over="ignore"):
+                    x = np.floor(1024 * np.array(v, np.float64))
+                    length = (x * x).sum()
+                if np.isfinite(np.array(v, np.float64)).all():
                     ids.append(i)
-                    vectors.append(x.astype("<i8").tobytes())
+                    vectors.append(x.astype("<i8").tobytes() if length < MOST_SQUARED else wide(v))
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(vectors, pa.binary())], names=["id", "v"])
 
 
+def wide(v: list[float]) -> bytes:
+    text = " ".join(str(math.floor(1024 * Fraction(c))) for c in v)
+    return text.ljust(len(text) + (1 - len(text)) % 8).encode()
+
+
 def matrix(vectors: list[bytes], width: int) -> np.ndarray:
+    """64-bit numbers, or Python's where a vector is wide."""
+    if any(len(v) % 8 for v in vectors):
+        out = np.zeros((len(vectors), width), object)
+        for row, v in zip(out, vectors, strict=True):
+            x = [int(c) for c in v.split()] if len(v) % 8 else np.frombuffer(v, "<i8").tolist()
+            row[: len(x)] = x
+        return out
     out = np.zeros((len(vectors), width), np.int64)
     for row, v in zip(out, vectors, strict=True):
         x = np.frombuffer(v, "<i8")
@@ -74,7 +94,7 @@ def choose_pivots(sample: np.ndarray, n: int) -> np.ndarray:
 
 
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    return np.lexsort((ids, -scores))[:k]
+    return np.lexsort((ids, ~scores))[:k]
 
 
 class Block:
@@ -83,11 +103,11 @@ class Block:
     def __init__(self, ids: np.ndarray, copies: np.ndarray, x: np.ndarray, pivots: np.ndarray, sample_ids: np.ndarray, sample: np.ndarray, k: int):
         self.ids, self.copies, self.x = ids, copies, x
         self.to_pivots, self.norm = distances(x, pivots), (x.astype(float) ** 2).sum(axis=1)
-        self.least = np.full(len(ids), np.iinfo(np.int64).min)
-        for q in range(len(ids)):
+        self.least = np.full(len(ids), -np.inf, object)
+        for q in range(len(ids) if x.dtype != object else 0):
             own = sample[sample_ids != ids[q]] @ x[q]
             if len(own) >= k:
-                self.least[q] = np.partition(own, len(own) - k)[len(own) - k]
+                self.least[q] = int(np.partition(own, len(own) - k)[len(own) - k])
 
 
 def search(block: Block, ids: np.ndarray, copies: np.ndarray, x: np.ndarray, to_pivots: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -97,6 +117,7 @@ def search(block: Block, ids: np.ndarray, copies: np.ndarray, x: np.ndarray, to_
         apart = np.abs(to_pivots - block.to_pivots[q]).max(axis=1) if to_pivots.shape[1] else np.zeros(len(x))
         both = norm + block.norm[q]
         most = (both - apart * apart) / 2 + 1e-9 * both + 1e-6
+        most[~np.isfinite(most)] = np.inf  # beyond what bounds can tell: evaluated
         least, others = block.least[q], copies
         own = np.flatnonzero(ids == block.ids[q])
         own = own[(x[own] == block.x[q]).all(axis=1)]
@@ -109,11 +130,14 @@ def search(block: Block, ids: np.ndarray, copies: np.ndarray, x: np.ndarray, to_
         for at in range(0, len(open_), STEP):
             if most[open_[at]] < least:
                 break
-            got, scores = np.append(got, open_[at : at + STEP]), np.append(scores, x[open_[at : at + STEP]] @ block.x[q])
+            step = x[open_[at : at + STEP]] @ block.x[q]
+            if step.dtype == object:
+                step = np.array([min(max(c, LEAST), MOST) for c in step], np.int64)
+            got, scores = np.append(got, open_[at : at + STEP]), np.append(scores, step)
             top = best(scores, ids[got], k)
             got, scores = got[top], scores[top]
             if len(got) == k:
-                least = max(least, scores[-1])
+                least = max(least, int(scores[-1]))
         if len(got):
             yield q, ids[got], others[got], scores
 
@@ -151,25 +175,30 @@ def exact_top_k(vectors: DataFrame, queries: str, k: int = 10, id_col: str = "ve
     scratch = Scratch(spark)
     numbers = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector")).mapInArrow(whole_numbers, "id long, v binary").groupBy("id", "v").agg(F.count("*").alias("copies"))
     whole = scratch.write(numbers, "numbers")
-    width = (whole.agg(F.max(F.length("v"))).first()[0] or 0) // 8
-    taken = whole.orderBy(F.xxhash64("id", "v"), "id", "v").limit(SAMPLE).toPandas()
+    width = whole.agg(F.max(F.expr(f"if({WIDE}, size(split(trim(cast(v as string)), ' ')), length(v) div 8)"))).first()[0] or 0
+    taken = whole.where(f"not {WIDE}").orderBy(F.xxhash64("id", "v"), "id", "v").limit(SAMPLE).toPandas()
     sample, sample_ids = matrix([bytes(v) for v in taken.v], width), taken.id.to_numpy(np.int64)
     points = choose_pivots(sample, pivots)
     groups = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        np.seterr(over="ignore", invalid="ignore")
         for batch in packed(tile)(batches):
             d = distances(matrix(batch.column(3)[0].as_py(), width), points)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([d.astype("<f8").tobytes()], pa.binary())], names=["part", "ids", "copies", "v", "d"])
 
     shape = "ids binary, copies binary, v array<binary>"
-    pivot_table = scratch.write(whole.repartition(groups, F.xxhash64("id", "v")).mapInArrow(measured, f"part int, {shape}, d binary"), "pivot_table")
-    blocks = whole.where(queries).select("id", "copies", "v").repartition(groups, F.xxhash64("id", "v")).mapInArrow(packed(block), f"part int, {shape}")
+    apart = lambda df: [df.where(w).repartition(groups, F.xxhash64("id", "v")) for w in (f"not {WIDE}", WIDE)]
+    tiles = [part.mapInArrow(measured, f"part int, {shape}, d binary") for part in apart(whole)]
+    pivot_table = scratch.write(tiles[0].union(tiles[1]).withColumn("part", F.col("part") % groups), "pivot_table")
+    packs = [part.mapInArrow(packed(block), f"part int, {shape}") for part in apart(whole.where(queries).select("id", "copies", "v"))]
+    blocks = packs[0].union(packs[1])
     asked = scratch.write(blocks.selectExpr("ids as q_ids", "copies as q_copies", "v as q_v"), "asked").select("*", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, copies, v, d, q_ids, q_copies, q_v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                np.seterr(over="ignore", invalid="ignore")  # of wide vectors, whose bounds may overflow
                 part = Block(np.frombuffer(q_ids, "<i8"), np.frombuffer(q_copies, "<i8"), matrix(q_v, width), points, sample_ids, sample, k)
                 ids, copies, x = np.frombuffer(ids, "<i8"), np.frombuffer(copies, "<i8"), matrix(v, width)
                 for q, found, many, scores in search(part, ids, copies, x, np.frombuffer(d, "<f8").reshape(len(ids), -1), k):
