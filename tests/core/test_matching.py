@@ -24,6 +24,25 @@ def test_likely_pairs_against_brute_force(spark):
     assert got == sorted(want)
 
 
+def test_threshold_join_looks_at_few_pairs(spark):
+    """Common terms and rare ones: the best are found from the rare ones' lists."""
+    rnd = random.Random(9)
+    common, rare = [f"c{k}" for k in range(6)], [f"r{k}" for k in range(60)]
+    terms = lambda: sorted({*rnd.sample(common, rnd.choice([2, 3, 4])), *rnd.sample(rare, rnd.choice([1, 2, 3]))})
+    jobs, people = [(i, terms()) for i in range(1500)], [(i, terms()) for i in range(150)] + [(900, ["c0", "c1"]), (901, ["none"]), (902, ["c5", "none"])]
+    shape = "long, terms array<string>"
+    j, p = spark.createDataFrame(jobs, f"posting_id {shape}").repartition(4), spark.createDataFrame(people, f"profile_id {shape}")
+    want = []
+    for i, mine in people:
+        ranked = sorted((-len(set(mine) & set(t)), k) for k, t in jobs if set(mine) & set(t))[:5]
+        want += [(i, k, -n) for n, k in ranked]
+    assert sorted(map(tuple, matching.likely_pairs(j, p, 5).collect())) == sorted(want)
+    first, rest = matching.threshold_pairs(j, p, 5)
+    looked = first.union(rest).select("ask", "offer")
+    sharing = sum(len({tuple(t) for _, t in jobs if set(t) & set(m)}) for m in {tuple(m) for _, m in people})
+    assert looked.count() == looked.distinct().count() < 0.4 * sharing
+
+
 JOBS = [
     (1, "Credit Analyst", "Co", "Pune", "Must know Excel and SQL. \nMust have reporting and audit experience\nA cover letter is required."),
     (2, "Clerk", "Co", "", "Friendly team with Excel"),

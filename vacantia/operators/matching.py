@@ -177,23 +177,60 @@ def term_sets(df: DataFrame, id_col: str, value: Column, groups: tuple[str, ...]
     return df.select(id_col, F.inline(F.array(F.struct(F.array_sort(terms_in(value, groups)).alias("terms"))))).where(F.size("terms") > 0)
 
 
+def _offers(jobs: DataFrame, cheap: int) -> DataFrame:
+    """(offer, terms, ids): distinct term sets with their first `cheap` postings."""
+    first = Window.partitionBy("terms").orderBy("posting_id")
+    best = jobs.select("posting_id", "terms").withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= cheap).groupBy("terms").agg(F.sort_array(F.collect_list("posting_id")).alias("ids"))
+    return best.withColumn("offer", F.xxhash64("terms"))
+
+
+def _asks(people: DataFrame, offers: DataFrame, cheap: int) -> DataFrame:
+    """(ask, rare, upto): distinct term sets of profiles, their terms from the rarest among the offers on, and how many of these have `cheap` offers together."""
+    frequency = offers.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    asked = people.select("terms").distinct().select(F.xxhash64("terms").alias("ask"), F.explode("terms").alias("term")).join(frequency, "term")
+    rare = asked.groupBy("ask").agg(F.sort_array(F.collect_list(F.struct("n", "term"))).alias("_r"))
+    upto = F.aggregate("_r", F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("at")), lambda a, x: F.when(a["n"] >= cheap, a).otherwise(F.struct((a["n"] + x["n"]).alias("n"), (a["at"] + 1).alias("at"))), lambda a: a["at"])
+    return rare.select("ask", F.transform("_r", lambda x: x["term"]).alias("rare"), upto.alias("upto"))
+
+
+def _meetings(asks: DataFrame, offers: DataFrame, low: Column, high: Column, salts: int) -> DataFrame:
+    """(ask, offer, ids, shared) for the offers with one of the asks' terms low to high, and none before: each pair at its rarest shared term. Terms are few and common; each is split into `salts` keys."""
+    lists = offers.select("offer", "ids", "terms", F.explode("terms").alias("term"), F.pmod("offer", F.lit(salts)).alias("salt"))
+    wanted = asks.select("ask", "rare", F.explode(F.when(high >= low, F.sequence(low, high))).alias("at"))
+    wanted = wanted.withColumns({"term": F.get("rare", F.col("at") - 1), "salt": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))})
+    both = lists.join(wanted, ["term", "salt"]).where(~F.arrays_overlap(F.slice("rare", 1, F.col("at") - 1), "terms"))
+    return both.select("ask", "offer", "ids", F.size(F.array_intersect("rare", "terms")).cast("long").alias("shared"))
+
+
+def _best_of(pairs: DataFrame, cheap: int) -> DataFrame:
+    best = Window.partitionBy("ask").orderBy(F.desc("shared"), "posting_id")
+    return pairs.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= cheap).drop("_n")
+
+
+def threshold_pairs(jobs: DataFrame, people: DataFrame, cheap: int = 20, salts: int = 16) -> tuple[DataFrame, DataFrame]:
+    """The pairs of distinct term sets (ask, offer, ids, shared) that have to be looked at to find the `cheap` best postings of each profile, in two steps.
+
+    First the offers with an ask's rarest terms, as many of its terms as it takes to have `cheap` offers. The `cheap`-th best of these shares t terms. An offer that shares t of q terms has one of
+    the q - t + 1 rarest: so only the lists of those are looked at next, and the most common terms' not at all, unless an ask needs them.
+    """
+    offers = _offers(jobs, cheap)
+    asks = _asks(people, offers, cheap)
+    first = _meetings(asks, offers, F.lit(1), F.col("upto"), salts)
+    found = _best_of(first.select("ask", "shared", F.explode("ids").alias("posting_id")), cheap).groupBy("ask").agg(F.count("*").alias("n"), F.min("shared").alias("least"))
+    least = F.when(F.col("n") >= cheap, F.col("least")).otherwise(1).cast("int")
+    more = asks.join(found, "ask").select("ask", "rare", "upto", (F.size("rare") - least + 1).alias("high"))
+    return first, _meetings(more, offers, F.col("upto") + 1, F.col("high"), salts)
+
+
 def likely_pairs(jobs: DataFrame, people: DataFrame, cheap: int = 20, salts: int = 16) -> DataFrame:
     """(profile_id, posting_id, shared): the `cheap` postings that share most terms with each profile, one at least; ties go to the smaller posting_id.
 
     jobs: posting_id, terms; people: profile_id, terms (term_sets). All postings with the same set of terms share equally much, so of each set only the first `cheap` ids
-    can be among the best of anyone: different sets are compared, not postings and profiles. Terms are few and common; each is split into `salts` keys.
+    can be among the best of anyone: different sets are compared, not postings and profiles, and of these only what threshold_pairs leaves.
     """
-    first = Window.partitionBy("terms").orderBy("posting_id")
-    offers = jobs.select("posting_id", "terms").withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= cheap).groupBy("terms").agg(F.sort_array(F.collect_list("posting_id")).alias("ids"))
-    offers = offers.withColumn("offer", F.xxhash64("terms")).select("offer", "ids", "terms")
-    asks = people.select("terms").distinct().withColumn("ask", F.xxhash64("terms"))
-    left = offers.select("offer", F.explode("terms").alias("term"), F.pmod("offer", F.lit(salts)).alias("salt"))
-    right = asks.select("ask", F.explode("terms").alias("term")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    shared = left.join(right, ["term", "salt"]).groupBy("offer", "ask").agg(F.count("*").alias("shared"))
-    best = Window.partitionBy("ask").orderBy(F.desc("shared"), "posting_id")
-    # At most `cheap` offers with the smallest ids of each number of shared terms can hold the best; ranks are taken over their ids.
-    each = shared.join(offers.select("offer", "ids"), "offer").select("ask", "shared", F.explode("ids").alias("posting_id"))
-    top = each.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= cheap).groupBy("ask").agg(F.collect_list(F.struct("posting_id", "shared")).alias("found"))
+    first, rest = threshold_pairs(jobs, people, cheap, salts)
+    each = [_best_of(x.select("ask", "shared", F.explode("ids").alias("posting_id")), cheap) for x in (first, rest)]
+    top = _best_of(each[0].union(each[1]), cheap).groupBy("ask").agg(F.collect_list(F.struct("posting_id", "shared")).alias("found"))
     return people.select("profile_id", F.xxhash64("terms").alias("ask")).join(top, "ask").select("profile_id", F.inline("found"))
 
 
