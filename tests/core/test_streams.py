@@ -188,3 +188,35 @@ def test_late_sightings_and_closure(spark, tmp_path):
     got = miss_counts(seen_.rows(), ran.rows()).collect()
     want = miss_counts(spark.createDataFrame(sightings, s), spark.createDataFrame(runs, q)).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and {x.active for x in got} == {True, False}
+
+
+@pytest.mark.parametrize("folded", [0, 5, 10_000])
+def test_cooldown_of_hot_keys(spark, folded):
+    r = random.Random(11)
+    rows = [(r.choice(["hot", "hot", "hot", "b", None]), T0 + timedelta(seconds=r.randrange(4000) * r.choice([1, 1, 20])), k) for k in range(900)] + [("few", T0, 1), ("few", T0, 0), ("few", T0 + timedelta(days=400), 2)]
+    want = []
+    for key in {x[0] for x in rows}:
+        last = None
+        for _, at, k in sorted((x for x in rows if x[0] == key), key=lambda x: (x[1], x[2])):
+            if last is None or at - last >= timedelta(seconds=60):
+                last = at
+                want.append((key, at, k))
+    got = ev.cooldown(spark.createDataFrame(rows, EVENTS).repartition(5), 60, "user_id", folded)
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want)) and got.columns == ["user_id", "ts", "event_id"]
+
+
+def test_outbox_against_a_fold(spark):
+    r = random.Random(12)
+    jobs = [(k, T0) for k in range(40)] + [(3, T0 - timedelta(days=1)), (99, T0)]
+    tries = [(r.choice([0, 0, r.randrange(45)]), T0 + timedelta(seconds=r.randrange(6000)), k, r.choice(["error", "error", "error", "ok", "gone"] if k % 3 else ["error"])) for k in range(700)]
+    want = {}
+    for job in {j for j, _ in jobs}:
+        n, status, last = 0, "pending", None
+        for _, at, _, outcome in sorted((x for x in tries if x[0] == job), key=lambda x: x[1:3]):
+            if status == "pending" and (last is None or at - last >= timedelta(seconds=300)):
+                n, last = n + 1, at
+                status = "sent" if outcome == "ok" else "failed" if outcome == "gone" or n >= 5 else "pending"
+        want[job] = (min(at for j, at in jobs if j == job), status, n)
+    got = ev.outbox_final(spark.createDataFrame(jobs, "job_id long, at timestamp"), spark.createDataFrame(tries, "job_id long, ts timestamp, attempt_id long, outcome string"))
+    assert {x.job_id: (x.enqueued_at, x.status, x.attempts) for x in got.collect()} == want
+    assert {s for _, s, _ in want.values()} == {"sent", "failed", "pending"}

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vacantia.functions.urls import canonical_url, host, normal_text
+from vacantia.operators.graph import components, with_least
+from vacantia.operators.tables import Rounds
 
 
 def link_observations(obs: DataFrame, jobs: DataFrame, shared_urls: DataFrame | None = None) -> DataFrame:
@@ -44,35 +44,13 @@ def group_pending(pending: DataFrame) -> DataFrame:
     mark = lambda kind, *parts: F.md5(F.concat_ws("|", company, F.lit(kind), *parts))
     day = F.coalesce(F.to_date("posted_at").cast("string"), F.lit(""))
     keys = F.array_compact(F.array(F.when(F.col("employer_job_id").isNotNull(), mark("id", F.col("employer_job_id"))), *[F.when(F.col(c) != "", mark("url", canonical_url(F.col(c)))) for c in ("detail_url", "apply_url")], mark("print", normal_text(F.col("title")), normal_text(F.col("location")), day)))
-    held = pending.select("obs_id", F.explode(F.array_distinct(keys)).alias("key"))
-    hubs = held.groupBy("key").agg(F.min("obs_id").alias("hub"))
-    roots = _roots(held.join(hubs, "key").selectExpr("obs_id as u", "hub as v"))
+    tables = Rounds(pending.sparkSession, "pending")
+    held = tables.write(pending.select(F.explode(F.array_distinct(keys)).alias("u"), F.col("obs_id").alias("v")), "held")
+    # A key that very many hold is looked up, not joined, so that no task has all its rows.
+    roots = components(with_least(held, held.count()).selectExpr("v as u", "m as v"), tables, "roots").toDF("obs_id", "root")
     return pending.select("obs_id").where("obs_id is not null").distinct().join(roots, "obs_id", "left").select("obs_id", F.coalesce("root", "obs_id").alias("new_job"))
 
 
-def _roots(edges: DataFrame) -> DataFrame:
-    """(obs_id, root) for the nodes of edges (u, v) between different ones: the smallest node that can be reached.
-
-    Large-star and small-star steps in turn, each round a table in the checkpoint folder (or the warehouse), until a round changes nothing.
-    """
-    spark = edges.sparkSession
-    path = f"{(spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/pending-{uuid.uuid4().hex}"
-
-    def write(df: DataFrame, k: int) -> DataFrame:
-        df.write.parquet(f"{path}/{k}")
-        return spark.read.schema(df.schema).parquet(f"{path}/{k}")
-
-    now, seen, k = write(edges.where("u <> v").selectExpr("greatest(u, v) as u", "least(u, v) as v").distinct(), 0), None, 0
-    while (state := now.selectExpr("count(*)", "bit_xor(xxhash64(u, v))").first()) != seen and state[0]:
-        seen, k = state, k + 1
-        both = now.union(now.select("v", "u").toDF("u", "v"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u", "least(u, m) as m")
-        large = both.join(least, "u").where("v > u").selectExpr("v as u", "m as v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        now = write(large.join(least, "u").where("v <> m").selectExpr("v as u", "m as v").union(least.selectExpr("u", "m as v")).distinct(), k)
-    return now.selectExpr("u as obs_id", "v as root")
-
-
 def merge_canonical(jobs: DataFrame, obs: DataFrame) -> DataFrame:
     """jobs with the fields of their linked observation (job_id, is_official, verified_at, fields): an official one that is not older replaces what it has, any other only fills gaps.
 

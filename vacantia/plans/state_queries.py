@@ -243,9 +243,6 @@ def presented_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cov.presented_health(sources, runs(spark, sf_dir))
 
 
-_ROUND = "l{b} AS (SELECT obs_id, min(m) AS j FROM k JOIN (SELECT key, min(j) AS m FROM k JOIN l{a} USING (obs_id) GROUP BY key) g USING (key) GROUP BY obs_id)"
-
-
-@query(f"WITH o AS ({_OBS}), k AS (SELECT obs_id, concat(company, 'i', employer_job_id) AS key FROM o WHERE employer_job_id IS NOT NULL UNION ALL SELECT obs_id, concat(company, 'u', url) FROM o UNION ALL SELECT obs_id, concat(company, 'f', title, '|', location, '|', CAST(CAST(posted_at AS DATE) AS VARCHAR)) FROM o), l0 AS (SELECT obs_id, obs_id AS j FROM o), {_ROUND.format(a=0, b=1)}, {_ROUND.format(a=1, b=2)}, {_ROUND.format(a=2, b=3)} SELECT obs_id, j AS new_job FROM l3")
+@query(f"WITH RECURSIVE o AS ({_OBS}), k AS (SELECT obs_id, concat(company, 'i', employer_job_id) AS key FROM o WHERE employer_job_id IS NOT NULL UNION ALL SELECT obs_id, concat(company, 'u', url) FROM o UNION ALL SELECT obs_id, concat(company, 'f', title, '|', location, '|', CAST(CAST(posted_at AS DATE) AS VARCHAR)) FROM o), h AS (SELECT obs_id AS a, min(obs_id) OVER (PARTITION BY key) AS b FROM k), e AS (SELECT DISTINCT a, b FROM h WHERE a <> b UNION SELECT DISTINCT b, a FROM h WHERE a <> b), r AS (SELECT obs_id, obs_id AS m FROM o UNION SELECT r.obs_id, e.b FROM r JOIN e ON e.a = r.m) SELECT obs_id, min(m) AS new_job FROM r GROUP BY obs_id")
 def new_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link.group_pending(_linkable(spark, sf_dir)[0])

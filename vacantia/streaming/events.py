@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
 from vacantia.operators.lifecycle import apply_snapshot
+from vacantia.operators.tables import Rounds
 from vacantia.streaming.store import KeyedStore
 
 
@@ -41,13 +42,70 @@ def stream_rate(events: DataFrame, seconds: int, slide: int, limit: int, key: st
     return events.withWatermark("ts", late).groupBy(F.window("ts", f"{seconds} seconds", f"{slide} seconds"), key).agg(F.count("*").alias("n")).where(F.col("n") > limit).select(F.col("window.start").alias("start"), key, "n")
 
 
-def cooldown(events: DataFrame, seconds: int, key: str) -> DataFrame:
-    """Events accepted if the key's last accepted one is at least `seconds` older: a fold over the key's sorted events. Columns: key, ts, event_id."""
-    ordered = events.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("ts", "event_id"))).alias("e"))
-    step = lambda acc, e: F.when(acc["last"].isNull() | (_micros(e["ts"]) - _micros(acc["last"]) >= seconds * 1_000_000), F.struct(e["ts"].alias("last"), F.concat(acc["out"], F.array(e)).alias("out"))).otherwise(acc)
-    at, ident = (events.schema[c].dataType.simpleString() for c in ("ts", "event_id"))
-    start = F.struct(F.lit(None).cast(at).alias("last"), F.array().cast(f"array<struct<ts:{at},event_id:{ident}>>").alias("out"))
-    return ordered.select(key, F.explode(F.aggregate("e", start, step, lambda a: a["out"])).alias("x")).select(key, "x.ts", "x.event_id")
+#: Different times of a key up to which they are folded as an array, in one task.
+FOLDED = 10_000
+
+
+def cooldown(events: DataFrame, seconds: int, key: str, folded: int = FOLDED) -> DataFrame:
+    """Events accepted if the key's last accepted one is at least `seconds` older. Columns: key, ts, event_id.
+
+    Of events of one time only that with the smallest id can be accepted. A key with few times is folded in their order; one with more is followed by pointers, each time's next one being the
+    first that is acceptable after it, in rounds that double the steps: no task holds all of a key's rows.
+    """
+    if seconds <= 0:
+        return events.select(key, "ts", "event_id")
+    tables = Rounds(events.sparkSession, "cooldown")
+    one = tables.write(events.groupBy(key, "ts").agg(F.min("event_id").alias("event_id")).select(F.struct(key).alias("k"), _micros("ts").alias("at"), "ts", "event_id"), "times")
+    long = tables.write(one.groupBy("k").count().where(F.col("count") > folded).select("k"), "long")
+    short = _folded(one.join(long, "k", "left_anti"), seconds * 1_000_000)
+    if not long.isEmpty():
+        hot = one.join(long, "k", "left_semi")
+        short = short.unionByName(hot.join(_followed(hot.select("k", "at"), seconds * 1_000_000, tables), ["k", "at"]).select("k", "ts", "event_id"))
+    return short.select(f"k.{key}", "ts", "event_id")
+
+
+def _folded(one: DataFrame, micros: int) -> DataFrame:
+    at, ident = (one.schema[c].dataType.simpleString() for c in ("ts", "event_id"))
+    ordered = one.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("at", "ts", "event_id"))).alias("e"))
+    step = lambda acc, e: F.when(acc["last"].isNull() | (e["at"] - acc["last"] >= micros), F.struct(e["at"].alias("last"), F.concat(acc["out"], F.array(e)).alias("out"))).otherwise(acc)
+    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast(f"array<struct<at:bigint,ts:{at},event_id:{ident}>>").alias("out"))
+    return ordered.select("k", F.explode(F.aggregate("e", start, step, lambda a: a["out"])).alias("x")).select("k", "x.ts", "x.event_id")
+
+
+def next_times(times: DataFrame, micros: int) -> DataFrame:
+    """(k, at, to): for each time of a key the first one of the same key that is at least `micros` later; times without one are left out.
+
+    Times and the places looked for meet in buckets of an eighth of the distance; where a bucket has no time from the place on, the next bucket's first one is taken.
+    """
+    width = max(1, micros // 8)
+    bucket = lambda t: F.floor(t / F.lit(width)).cast("long")
+    own = times.select("k", bucket(F.col("at")).alias("b"), F.col("at").alias("t"), F.col("at").alias("seen"), F.lit(None).cast("long").alias("of"))
+    place = F.col("at") + micros
+    asked = times.select("k", bucket(place).alias("b"), place.alias("t"), F.lit(None).cast("long").alias("seen"), F.col("at").alias("of"))
+    later = Window.partitionBy("k", "b").orderBy(F.desc("t"), F.col("of").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    within = own.unionByName(asked).withColumn("to", F.last("seen", ignorenulls=True).over(later)).where("of is not null").select("k", "b", F.col("of").alias("at"), "to")
+    marks = own.groupBy("k", "b").agg(F.min("t").alias("first")).unionByName(asked.select("k", "b", F.lit(None).cast("long").alias("first")).distinct()).groupBy("k", "b").agg(F.min("first").alias("first"))
+    beyond = Window.partitionBy("k").orderBy(F.desc("b")).rowsBetween(Window.unboundedPreceding, -1)
+    after = marks.select("k", "b", F.last("first", ignorenulls=True).over(beyond).alias("after"))
+    return within.join(after, ["k", "b"]).select("k", "at", F.coalesce("to", "after").alias("to")).where("to is not null")
+
+
+def _followed(times: DataFrame, micros: int, tables: Rounds) -> DataFrame:
+    """(k, at): the times on the way from each key's first one along next_times. In round n, steps are 2^n long and the way known is doubled."""
+    jump, n = tables.write(next_times(times, micros), "jump0"), 0
+    reached = [tables.write(times.groupBy("k").agg(F.min("at").alias("at")), "reached0")]
+    while True:
+        way = reached[0]
+        for r in reached[1:]:
+            way = way.union(r)
+        n += 1
+        new = tables.write(way.join(jump, ["k", "at"]).select("k", F.col("to").alias("at")), f"reached{n}")
+        if new.isEmpty():
+            return way
+        reached.append(new)
+        twice = jump.join(jump.select("k", F.col("at").alias("to"), F.col("to").alias("further")), ["k", "to"]).select("k", "at", F.col("further").alias("to"))
+        jump = tables.write(twice, f"jump{n}")
+        tables.drop(f"jump{n - 1}")
 
 
 class _Cooldown(StatefulProcessor):
@@ -86,24 +144,25 @@ def stream_cooldown(events: DataFrame, seconds: int) -> DataFrame:
 RETRY_SECONDS = 300
 
 
-def outbox_final(jobs: DataFrame, attempts: DataFrame, most: int = 5, retry: int = RETRY_SECONDS) -> DataFrame:
+def outbox_final(jobs: DataFrame, attempts: DataFrame, most: int = 5, retry: int = RETRY_SECONDS, salts: int = 16) -> DataFrame:
     """Final state of each notification: enqueued once for a new job, sent by the first success; failed without target or after `most` attempts, else pending.
 
     An attempt counts if the last one that counted is at least `retry` seconds older; earlier ones find the notification waiting and do nothing.
-    jobs: job_id, at. attempts: job_id, ts, attempt_id, outcome (ok, gone, error). A job's state is a few values; its attempts are folded in time order.
+    jobs: job_id, at. attempts: job_id, ts, attempt_id, outcome (ok, gone, error). Each of `most` steps takes the next attempt that counts, of all jobs at once; a job's state is a few
+    values, and its attempts are dealt to `salts` keys and never gathered.
     """
-    once = jobs.groupBy("job_id").agg(F.min("at").alias("enqueued_at"))
-    counted = attempts.groupBy("job_id").agg(F.sort_array(F.collect_list(F.struct("ts", "attempt_id", "outcome"))).alias("_tries"))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.lit(0).alias("n"), F.lit("pending").alias("status"))
-
-    def step(state: Column, x: Column) -> Column:
-        at, n = _micros(x["ts"]), state["n"] + 1
-        due = (state["status"] == "pending") & (state["last"].isNull() | (at - state["last"] >= retry * 1_000_000))
-        status = F.when(x["outcome"] == "ok", "sent").when((x["outcome"] == "gone") | (n >= most), "failed").otherwise("pending")
-        return F.when(due, F.struct(at.alias("last"), n.alias("n"), status.alias("status"))).otherwise(state)
-
-    x = once.join(counted.select("job_id", F.aggregate("_tries", start, step).alias("_s")), "job_id", "left")
-    return x.select("job_id", "enqueued_at", F.coalesce("_s.status", F.lit("pending")).alias("status"), F.coalesce("_s.n", F.lit(0)).alias("attempts"))
+    tries = attempts.select("job_id", "ts", "attempt_id", "outcome").withColumn("_salt", F.pmod(F.xxhash64("attempt_id", "ts"), F.lit(salts)).cast("int"))
+    state = jobs.groupBy("job_id").agg(F.min("at").alias("enqueued_at")).select("job_id", "enqueued_at", F.lit("pending").alias("status"), F.lit(0).alias("attempts"), F.lit(None).cast("long").alias("_last"))
+    for _ in range(most):
+        # All attempts meet the state; those that are due are compared, the others keep the row.
+        dealt = state.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(F.col("status") == "pending", salts - 1).otherwise(0))))
+        due = (F.col("status") == "pending") & F.col("ts").isNotNull() & (F.col("_last").isNull() | (_micros("ts") - F.col("_last") >= retry * 1_000_000))
+        found = dealt.join(tries, ["job_id", "_salt"], "left").groupBy("job_id", "_salt", "enqueued_at", "status", "attempts", "_last").agg(F.min(F.when(due, F.struct("ts", "attempt_id", "outcome"))).alias("_x"))
+        x = found.groupBy("job_id", "enqueued_at", "status", "attempts", "_last").agg(F.min("_x").alias("_x"))
+        n, outcome = F.col("attempts") + 1, F.col("_x.outcome")
+        status = F.when(F.col("_x").isNull(), F.col("status")).when(outcome == "ok", "sent").when((outcome == "gone") | (n >= most), "failed").otherwise("pending")
+        state = x.select("job_id", "enqueued_at", status.alias("status"), F.when(F.col("_x").isNull(), F.col("attempts")).otherwise(n).alias("attempts"), F.coalesce(_micros("_x.ts"), "_last").alias("_last"))
+    return state.drop("_last")
 
 
 class _Outbox(StatefulProcessor):

@@ -6,21 +6,27 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vacantia.operators.tables import shared_base
+
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder that driver and executors share: below spark.checkpoint.dir, or the warehouse where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_base(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
     """All rows that the stream emits for the input that is there now. State lives in RocksDB, which transformWithState needs."""
     spark = stream.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    path = shared_folder(spark)
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before, path = spark.conf.get(provider, None), shared_folder(spark)
 
     def batch(df: DataFrame, n: int) -> None:
         df.write.mode("overwrite").parquet(f"{path}/out/batch={n}")
 
-    stream.writeStream.outputMode(mode).foreachBatch(batch).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:  # a query takes the session's settings when it starts
+        query = stream.writeStream.outputMode(mode).foreachBatch(batch).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    finally:
+        spark.conf.unset(provider) if before is None else spark.conf.set(provider, before)
+    query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/out/*")
