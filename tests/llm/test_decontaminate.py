@@ -97,3 +97,60 @@ def test_fragments_that_leave_an_item_and_go_on_in_its_words(spark):
         for b in (bench[:1], bench):
             got = rows(contamination_report(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), spark.createDataFrame(b, "item_id long, text string")))
             assert got == brute(docs, b)
+
+
+def longest(text, item):
+    """Longest common run of words of at least 13 (or the whole of a shorter item): (item word, text word, words)."""
+    a, b, best = words(item), words(text), None
+    need = min(13, len(a))
+    for j in range(len(b)):
+        for i in range(len(a)):
+            n = 0
+            while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+                n += 1
+            if n >= need and (best is None or n > best[2]):
+                best = (i, j, n)
+    return best
+
+
+def test_longest_matches_with_each_item(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "PAIRS", 7)
+    rng = random.Random(3)
+    items = [" ".join(rng.choice("abc") if k % 2 else f"w{rng.randrange(9)}" for _ in range(rng.choice([3, 14, 20, 30]))) for k in range(12)] + ["z " * 20, "z " * 13]
+    docs = [(k, " ".join(" ".join(rng.choice(items).split()[rng.randrange(3) :]) + rng.choice(["", " mid"]) for _ in range(4))) for k in range(40)] + [(99, "z " * 60)]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    # On the driver, so that the small pieces hold.
+    block = next(decontaminate.test_blocks(bench, 13, "item_id", "text", 1 << 20))
+    data = "".join(t for _, t in docs).encode()
+    ends = [0]
+    for _, t in docs:
+        ends.append(ends[-1] + len(t.encode()))
+    import numpy as np
+
+    hashes, first = decontaminate.word_hashes(np.frombuffer(data, np.uint8), np.array(ends), decontaminate.ALNUM)
+    best, _ = decontaminate.shard_matches(hashes, first, block)
+    got = {(docs[r][0], int(block.ids[i])): (a, b, n) for r, i, a, b, n in zip(*(x.tolist() for x in best), strict=True)}
+    want = {(d, k): m for d, t in docs for k, item in enumerate(items) if (m := longest(t, item))}
+    assert {k: m[2] for k, m in got.items()} == {k: m[2] for k, m in want.items()}
+    assert {k: (m[1], m[0]) for k, m in got.items()} == {k: (m[1], m[0]) for k, m in want.items()}
+    assert {(r.doc_id, int(m.item_id)): (m.item_word, m.doc_word, m.n_words) for r in find_matches(df, bench).collect() for m in r.matches} == want
+    assert rows(contamination_report(df, bench)) == brute(docs, list(enumerate(items)))
+
+
+def test_repetitive_texts_take_little_memory(spark):
+    import tracemalloc
+
+    import numpy as np
+
+    shared = " ".join(f"s{k}" for k in range(13))
+    bench = [(0, "a " * 1000)] + [(k, f"{shared} tail{k}") for k in range(1, 3001)]
+    block = next(decontaminate.test_blocks(spark.createDataFrame(bench, "item_id long, text string"), 13, "item_id", "text", 1 << 20))
+    for text in ("a " * 20_000, (shared + " x ") * 800):
+        data = np.frombuffer(text.encode(), np.uint8)
+        tracemalloc.start()
+        n, matches, hits = decontaminate.row_matches(data, np.array([0, len(data)]), [type("B", (), {"value": block})])
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 400e6
+        assert len(matches[0]) == (1 if text[0] == "a" else 3000) and max(m[3] for m in matches[0]) == (1000 if text[0] == "a" else 13)
+        assert sum(b - a for a, b in hits[0]) == (20_000 if text[0] == "a" else 800 * 13)

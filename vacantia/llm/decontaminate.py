@@ -1,8 +1,9 @@
 """Benchmark decontamination with suffix arrays over the training texts.
 
 Every shard of training documents (a slice of an Arrow batch, whole documents only) gets a word suffix array. Every suffix of the
-benchmark is looked up in it by binary search, which gives the places of each window and, by stepping along the text, the longest
-verbatim matches with their locations. Documents with enough matched words are removed.
+benchmark is looked up in it by binary search (equal windows once), which gives the places of each window and, by stepping along the text, the longest
+verbatim match with each item and where it lies. Documents with enough matched words are removed. Places of a window in a text and in the items meet in pieces of PAIRS pairs, so that
+texts and items that repeat themselves, or a window that many items share, cost time but no memory.
 
 Only suffixes that begin with two adjacent benchmark words (or with the word of a one-word item) are entered, as no other suffix can
 hold a window. Nothing is shuffled: a document is judged where it is read, and the benchmark, a stated query set, goes to the tasks
@@ -30,6 +31,8 @@ WINDOW = 13
 BLOCK_WORDS = 1 << 20
 #: Blocks that one pass over the documents broadcasts.
 BLOCKS_AT_ONCE = 8
+#: Pairs of a place in a text and a place in an item that are held at once, but for those of a single place.
+PAIRS = 1 << 20
 
 MATCHES = "array<struct<item_id:string,item_word:int,doc_word:int,n_words:int>>"
 
@@ -58,8 +61,18 @@ class TestBlock:
                 length.append(np.full(n - m + 1, m))
                 item.append(np.full(n - m + 1, k))
         none = [np.zeros(0, np.int64)]
-        self.at, self.length, self.item = (np.concatenate(x or none).astype(np.int64) for x in (at, length, item))
-        self.longest = int(self.length.max()) if len(self.length) else 0
+        place, length, self.item_of_place = (np.concatenate(x or none).astype(np.int64) for x in (at, length, item))
+        self.longest = int(length.max()) if len(length) else 0
+        # Equal windows are one: `at` and `length` of each, and its places in the items from `first` on.
+        offset = np.arange(self.longest)
+        text = np.concatenate([self.words, np.zeros(self.longest + 1, np.int64)])
+        rows = np.where(offset < length[:, None], text[place[:, None] + np.where(offset < length[:, None], offset, 0)], 0).astype(np.int32)
+        same = np.ascontiguousarray(rows).view(np.dtype((np.void, 4 * self.longest))).reshape(-1) if len(rows) else np.zeros(0, np.int64)
+        _, one, window_of = np.unique(same, return_index=True, return_inverse=True)
+        self.at, self.length = place[one], length[one]
+        order = np.argsort(window_of, kind="stable")
+        self.places, self.item_of_place = place[order], self.item_of_place[order]
+        self.first = np.searchsorted(window_of[order], np.arange(len(one) + 1))
         two = (self.words[:-1] > 0) & (self.words[1:] > 0)
         self.pairs = np.unique(self.words[:-1][two] * (len(self.vocab) + 1) + self.words[1:][two])
         self.single = np.unique(self.words[self.at[self.length == 1]])
@@ -120,9 +133,53 @@ def bounds(sa: np.ndarray, words: np.ndarray, last: np.ndarray, test: np.ndarray
     return search(False), search(True)
 
 
-def shard_matches(hashes: np.ndarray, first: np.ndarray, block: TestBlock) -> tuple[np.ndarray, ...]:
-    """Maximal verbatim matches in a shard: (row, item, word of the item, word of the row's text, number of words)."""
-    none = tuple(np.zeros(0, np.int64) for _ in range(5))
+def best_of(rows: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Of (row, item, item word, text word, number of words) the longest of each row and item; ties go to the first in the text, then in the item."""
+    row, item, item_word, text_word, n = (np.concatenate(x) for x in zip(*rows, strict=True))
+    order = np.lexsort((item_word, text_word, -n, item, row))
+    keep = np.ones(len(order), bool)
+    keep[1:] = (row[order][1:] != row[order][:-1]) | (item[order][1:] != item[order][:-1])
+    return tuple(x[order][keep] for x in (row, item, item_word, text_word, n))
+
+
+def longest_matches(start: np.ndarray, window: np.ndarray, row: np.ndarray, block: TestBlock) -> tuple[np.ndarray, ...]:
+    """The longest match of each row and item, from the places of windows in the shard, which are in order. Windows that follow each other in a text and an item are one longer match."""
+    many = block.first[window + 1] - block.first[window]
+    total, at, found = np.cumsum(many), 0, [tuple(np.zeros(0, np.int64) for _ in range(5))]
+    # Matches that reach the last place of a piece, as the place in the item less that in the text, with their first place.
+    open_, since, last = np.zeros(0, np.int64), np.zeros(0, np.int64), -2
+    while at < len(start):
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PAIRS, side="right")))
+        while to < len(start) and start[to] == start[to - 1]:
+            to += 1
+        n = many[at:to]
+        which = np.repeat(np.arange(at, to), n)
+        place = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(block.first[window[at:to]], n)
+        text, test = start[which], block.places[place]
+        item, length, diagonal = block.item_of_place[place], block.length[window[which]], test - text
+        order = np.lexsort((text, diagonal))
+        text, test, item, length, diagonal, which = (x[order] for x in (text, test, item, length, diagonal, which))
+        new = np.ones(len(text), bool)
+        new[1:] = (diagonal[1:] != diagonal[:-1]) | (text[1:] != text[:-1] + 1)
+        head = np.flatnonzero(new)
+        tail = np.append(head[1:], len(text)) - 1
+        begin = text[head].copy()
+        if len(open_):
+            near = np.minimum(np.searchsorted(open_, diagonal[head]), len(open_) - 1)
+            goes_on = (open_[near] == diagonal[head]) & (text[head] == last + 1)
+            begin[goes_on] = since[near[goes_on]]
+        shift = text[head] - begin
+        found = [best_of([*found, (row[which[head]], item[head], test[head] - shift - block.item_at[item[head]], begin, text[tail] + length[tail] - begin)])]
+        last = int(start[to - 1])
+        reach = text[tail] == last
+        by = np.argsort(diagonal[tail][reach], kind="stable")
+        open_, since, at = diagonal[tail][reach][by], begin[reach][by], to
+    return found[0]
+
+
+def shard_matches(hashes: np.ndarray, first: np.ndarray, block: TestBlock) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """Of a shard the longest matches (row, item, word of the item, word of the row's text, number of words), and the hit words (row, start, end) of its windows."""
+    none = tuple(np.zeros(0, np.int64) for _ in range(5)), tuple(np.zeros(0, np.int64) for _ in range(3))
     n, rows = len(hashes), len(first) - 1
     if not n or not len(block.at):
         return none
@@ -144,18 +201,17 @@ def shard_matches(hashes: np.ndarray, first: np.ndarray, block: TestBlock) -> tu
     many = hi - lo
     if not many.sum():
         return none
-    which = np.repeat(np.arange(len(many)), many)
-    start = sa[np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo, many)]
-    # Windows that follow each other in an item and in a text are one longer match.
-    diagonal, item, length = start - block.at[which], block.item[which], block.length[which]
-    order = np.lexsort((start, diagonal, item))
-    start, diagonal, item, length, which = start[order], diagonal[order], item[order], length[order], which[order]
-    new = np.ones(len(start), bool)
-    new[1:] = (item[1:] != item[:-1]) | (diagonal[1:] != diagonal[:-1]) | (start[1:] != start[:-1] + 1)
-    head, tail = np.flatnonzero(new), np.append(np.flatnonzero(new)[1:], len(start)) - 1
+    window = np.repeat(np.arange(len(many)), many)
+    start = sa[np.arange(len(window)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo, many)]
+    order = np.argsort(start, kind="stable")
+    start, window = start[order], window[order]
     shifted = first[:-1] + np.arange(rows)
-    row = np.searchsorted(shifted, start[head], side="right") - 1
-    return row, item[head], block.at[which[head]] - block.item_at[item[head]], start[head] - shifted[row], start[tail] + length[tail] - start[head]
+    row = np.searchsorted(shifted, start, side="right") - 1
+    best = longest_matches(start, window, row, block)
+    # A row's words are followed by a 0, so that no range reaches into the next row.
+    begin, end = merged(start, start + block.length[window])
+    of = np.searchsorted(shifted, begin, side="right") - 1
+    return (*best[:3], best[3] - shifted[best[0]], best[4]), (of, begin - shifted[of], end - shifted[of])
 
 
 def test_blocks(benchmark: DataFrame, window: int, item_col: str, text_col: str, block_words: int) -> Iterator[TestBlock]:
@@ -186,16 +242,18 @@ def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start[new], end[np.append(np.flatnonzero(new)[1:], len(start)) - 1] if len(start) else end
 
 
-def row_matches(data: np.ndarray, offsets: np.ndarray, blocks: list) -> tuple[np.ndarray, list]:
-    """Words of each row, and its matches as (item_id, item_word, doc_word, n_words)."""
+def row_matches(data: np.ndarray, offsets: np.ndarray, blocks: list) -> tuple[np.ndarray, list, list]:
+    """Words of each row, its longest matches as (item_id, item_word, doc_word, n_words), and the ranges of its hit words."""
     hashes, first = word_hashes(data, offsets, ALNUM)
-    per_row: list[list[tuple]] = [[] for _ in offsets[1:]]
+    matches: list[list[tuple]] = [[] for _ in offsets[1:]]
+    hits: list[list[tuple]] = [[] for _ in offsets[1:]]
     for b in blocks:
-        row, item, item_word, doc_word, n = shard_matches(hashes, first, b.value)
-        order = np.lexsort((item_word, item, doc_word, row))
-        for r, *rest in zip(*(x[order].tolist() for x in (row, item, item_word, doc_word, n)), strict=True):
-            per_row[r].append((b.value.ids[rest[0]], *rest[1:]))
-    return np.diff(first), per_row
+        best, hit = shard_matches(hashes, first, b.value)
+        for r, item, *rest in zip(*(x.tolist() for x in best), strict=True):
+            matches[r].append((b.value.ids[item], *rest))
+        for r, *range_ in zip(*(x.tolist() for x in hit), strict=True):
+            hits[r].append(tuple(range_))
+    return np.diff(first), matches, hits
 
 
 _FIELDS = ("item_id", "item_word", "doc_word", "n_words")
@@ -204,7 +262,7 @@ _SPAN = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
 def with_matches(docs: DataFrame, benchmark: DataFrame, window: int, text_col: str, item_col: str, item_text: str, block_words: int, names: tuple[str, str, str]) -> DataFrame:
-    """docs and three more columns: number of words, matches, and hits (the words inside any match, merged)."""
+    """docs and three more columns: number of words, the longest match with each item, and hits (the words inside any window of an item, merged)."""
     spark, scratch, columns = docs.sparkSession, Scratch(docs.sparkSession), docs.columns
     shape = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema)}, `{names[0]}` long, `{names[1]}` {MATCHES}, `{names[2]}` array<struct<start:int,end:int>>"
 
@@ -214,14 +272,14 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, window: int, text_col: s
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for rows, data, offsets in slices(batch, text_col):
-                    n_words, found = row_matches(data, offsets, blocks)
+                    n_words, found, ranges = row_matches(data, offsets, blocks)
                     matches = [[dict(zip(_FIELDS, m, strict=True)) for m in x] for x in found]
                     if known:
                         matches = [a + b for a, b in zip(rows.column(-2).to_pylist(), matches, strict=True)]
+                        ranges = [[(h["start"], h["end"]) for h in a] + b for a, b in zip(rows.column(-1).to_pylist(), ranges, strict=True)]
                     hits = []
-                    for x in matches:
-                        at = np.array([m["doc_word"] for m in x], np.int64)
-                        start, end = merged(at, at + np.array([m["n_words"] for m in x], np.int64))
+                    for x in ranges:
+                        start, end = merged(*np.array(x, np.int64).reshape(-1, 2).T)
                         hits.append([{"start": a, "end": b} for a, b in zip(start.tolist(), end.tolist(), strict=True)])
                     yield pa.RecordBatch.from_arrays([*rows.columns[: len(columns)], pa.array(n_words, pa.int64()), pa.array(matches, _MATCH), pa.array(hits, _SPAN)], names=[*columns, *names])
 
@@ -236,9 +294,9 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, window: int, text_col: s
 
 
 def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Each document's maximal verbatim matches of at least `window` words with benchmark items (a shorter item: all its words).
+    """Each document's longest verbatim match with each benchmark item, of at least `window` words (a shorter item: all its words), and all its matched words.
 
-    Returns id_col, n_words, matches (item_id, item_word, doc_word, n_words), hits (start, end: the words inside any match, merged).
+    Returns id_col, n_words, matches (item_id, item_word, doc_word, n_words: ties go to the first in the document, then in the item), hits (start, end: the words inside any match, merged).
     """
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     found = with_matches(source, benchmark, window, "text", item_col, item_text, block_words, ("n_words", "matches", "hits"))
