@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from vacantia.operators.lifecycle import miss_counts
 from vacantia.streaming import events as ev
 from vacantia.streaming import state as st
-from vacantia.streaming.run import run_available
+from vacantia.streaming.run import run_available, state_in_rocksdb
 from vacantia.streaming.store import KeyedStore, Merge
 
 T0 = datetime(2026, 8, 1)
@@ -64,7 +64,8 @@ def test_verdicts_by_the_machines_clock(spark, tmp_path):
     spark.createDataFrame([(1, T0, 1, "open"), (1, T0, 2, "closed"), (2, T0, 1, "open")], schema).write.parquet(str(tmp_path / "in"))
     stream = st.stream_fresh(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), 30, by_events=False)
     found, until = [], time.time() + 60
-    q = stream.writeStream.outputMode("update").foreachBatch(lambda df, n: found.extend(df.collect())).option("checkpointLocation", str(tmp_path / "state")).start()
+    with state_in_rocksdb(spark):
+        q = stream.writeStream.outputMode("update").foreachBatch(lambda df, n: found.extend(df.collect())).option("checkpointLocation", str(tmp_path / "state")).start()
     try:  # such a stream looks for what has expired until it is stopped
         while len(found) < 2 and time.time() < until:
             time.sleep(0.2)

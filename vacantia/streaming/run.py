@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,19 +16,27 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{shared_base(spark)}/stream-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def state_in_rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Streams that start within keep their state in RocksDB, which transformWithState needs; the session's own setting comes back."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """All rows that the stream emits for the input that is there now. State lives in RocksDB, which transformWithState needs."""
+    """All rows that the stream emits for the input that is there now."""
     spark = stream.sparkSession
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before, path = spark.conf.get(provider, None), shared_folder(spark)
+    path = shared_folder(spark)
 
     def batch(df: DataFrame, n: int) -> None:
         df.write.mode("overwrite").parquet(f"{path}/out/batch={n}")
 
-    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:  # a query takes the session's settings when it starts
+    with state_in_rocksdb(spark):  # a query takes the session's settings when it starts
         query = stream.writeStream.outputMode(mode).foreachBatch(batch).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
-    finally:
-        spark.conf.unset(provider) if before is None else spark.conf.set(provider, before)
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/out/*")
