@@ -22,7 +22,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """
     hash_, key = own_names(docs, "text_hash", "text_key")
     keyed = docs.withColumn(hash_, F.xxhash64("text")).withColumn(key, F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id"), F.lit(0).cast("long")).alias("id"), F.col(hash_).alias("hash")))
-    found = jaccard.near_duplicate_components(keyed.select(F.col(key).alias("doc_id"), "text"), most_blocks=4)
+    found = jaccard.near_duplicate_components(keyed.select(F.col(key).alias("doc_id"), "text"), most_blocks=1, largest_block=5000)
     kept = found.where("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
     one = F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
     return keyed.join(kept, key, "left_semi").groupBy(key).agg(one.alias(hash_)).select(f"{hash_}.*")

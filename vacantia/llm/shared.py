@@ -45,6 +45,11 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+    def release(self) -> None:
+        """Let the driver find out which shuffles nothing refers to any more, so that executors delete their files now and not at its next collection."""
+        self.spark._jvm.System.gc()
+
+
 def own_names(df: DataFrame, *names: str) -> tuple[str, ...]:
     """The names, each with as many underscores in front as it takes to differ from df's columns."""
     taken = {c.lower() for c in df.columns}
