@@ -148,13 +148,16 @@ def job_feed(df: DataFrame, most: int = 2000) -> DataFrame:
 
 
 def ranked(df: DataFrame) -> DataFrame:
-    """Adds feed_rank: exact before possible before the rest, newest first seen first."""
+    """Adds feed_rank: exact before possible before the rest, newest first seen first. For a feed of bounded size (job_feed): ranks are counted in one task."""
     tier = F.when(F.col("match_tier") == "exact", 0).when(F.col("match_tier") == "possible", 1).otherwise(2)
     return df.withColumn("feed_rank", F.row_number().over(Window.orderBy(tier, F.desc("first_seen_at"), "posting_id")))
 
 
 def by_score(feed: DataFrame, scores: DataFrame) -> DataFrame:
-    """Adds score and score_rank to a feed: best match first, unscored ones last, then the newest listed, then by company. scores: posting_id, score (one row for each posting)."""
+    """Adds score and score_rank to a feed: best match first, unscored ones last, then the newest listed, then by company. scores: posting_id, score (one row for each posting).
+
+    For a feed of bounded size (job_feed): ranks are counted in one task.
+    """
     order = Window.orderBy(F.desc_nulls_last("score"), F.desc_nulls_last("posted_at"), "company", "posting_id")
     return feed.join(scores.select("posting_id", "score"), "posting_id", "left").withColumn("score_rank", F.row_number().over(order))
 

@@ -132,11 +132,11 @@ def run_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cov.run_diagnostic(e, e.where("event_id % 3 > 0"), e.where("event_id % 3 > 0 and event_id % 7 > 0"), e.where("event_id % 11 = 0"))
 
 
-@query(f"WITH o AS ({rq.ORACLE_SQL['outbox_final'].replace("<> 'view'", "<> 'view' AND ts < TIMESTAMP '2024-01-03'")}), j AS (SELECT user_id AS job_id, min(ts) AS enqueued_at FROM events GROUP BY 1) SELECT job_id FROM o JOIN j USING (job_id) WHERE status = 'pending' ORDER BY enqueued_at, job_id LIMIT 10")
+@query(f"WITH o AS ({rq.ORACLE_SQL['outbox_final'].replace("<> 'view'", "<> 'view' AND ts < TIMESTAMP '2024-01-03'")}), j AS (SELECT user_id AS job_id, min(ts) AS enqueued_at FROM events WHERE ts < TIMESTAMP '2024-01-03' GROUP BY 1) SELECT job_id FROM o JOIN j USING (job_id) WHERE status = 'pending' ORDER BY enqueued_at, job_id LIMIT 10")
 def outbox_drain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What waits on the third day."""
-    e = rq._events(spark, sf_dir)
-    attempts = e.where("event_type <> 'view' and ts < timestamp'2024-01-03'").selectExpr("user_id as job_id", "ts", "event_id as attempt_id", f"{rq._TRIES} as outcome")
+    """What waits as of the third day: jobs and attempts until then."""
+    e = rq._events(spark, sf_dir).where("ts < timestamp'2024-01-03'")
+    attempts = e.where("event_type <> 'view'").selectExpr("user_id as job_id", "ts", "event_id as attempt_id", f"{rq._TRIES} as outcome")
     return ev.drain(ev.outbox_final(e.selectExpr("user_id as job_id", "ts as at"), attempts)).select("job_id")
 
 

@@ -119,7 +119,14 @@ def top_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LETTER = "concat(description, CASE posting_id % 4 WHEN 0 THEN ' A cover letter is optional.' WHEN 1 THEN ' Please include a motivation letter.' ELSE '' END)"
 
 
-@query()
+_PADDED = f"concat(' ', {_NORM.format(v=f'concat(title, chr(10), {_LETTER.replace("description,", "p.description,", 1)})')}, ' ')"
+_FAMILY = "CASE " + " ".join("WHEN " + " OR ".join(f"contains({_PADDED}, ' {t} ')" for t in terms) + f" THEN '{label}'" for label, terms in mt.FAMILIES) + " ELSE 'finance / analyst' END"
+
+
+@query(_TOP + f""", ln AS (SELECT profile_id, generate_subscripts(string_split(text, chr(10)), 1) AS pos, unnest(string_split(text, chr(10))) AS line FROM ({PROFILES}) y), lt AS (SELECT profile_id, pos, line, unnest({_list('line')}) AS term FROM ln), fp AS (SELECT profile_id, term, arg_min(line, pos) AS line FROM lt GROUP BY ALL),
+ sk AS (SELECT posting_id, generate_subscripts(skills, 1) AS n, unnest(skills) AS term FROM p), ev AS (SELECT posting_id, profile_id, line, min(n) AS n FROM b JOIN sk USING (posting_id) JOIN fp USING (profile_id, term) WHERE match_rank <= 10 AND posting_id % 4 IN (0, 1) GROUP BY ALL),
+ el AS (SELECT posting_id, profile_id, list(line ORDER BY n) AS l FROM ev GROUP BY ALL HAVING count(*) >= 2)
+ SELECT posting_id, profile_id, concat('Dear Hiring Manager,', chr(10), chr(10), 'Please consider my application for the ', title, ' position at ', company, '. My profile contains documented evidence relevant to this ', {_FAMILY}, ' role.', chr(10), chr(10), 'Relevant evidence from my profile:', chr(10), array_to_string(list_transform(l[1:3], lambda e: CASE WHEN regexp_matches(e, '^[-*•▪‣]') THEN e ELSE concat('- ', e) END), chr(10)), chr(10), chr(10), 'Regards,', chr(10), '[Your name]') AS letter FROM el JOIN p USING (posting_id)""")
 def letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     jobs = postings(spark, sf_dir).where("active").withColumn("description", F.expr(_LETTER))
     return mt.draft_letters(mt.top_matches(_scored(spark, sf_dir, jobs)), jobs)

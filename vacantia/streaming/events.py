@@ -7,8 +7,8 @@ task by nature, and each key holds a few values only.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from datetime import timedelta
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,7 +38,7 @@ def rate_violations(events: DataFrame, seconds: int, limit: int, key: str | None
 
 
 def stream_rate(events: DataFrame, seconds: int, slide: int, limit: int, key: str, late: str = "1 minute") -> DataFrame:
-    """Sliding windows of a key with more events than the limit: the streaming form, on a grid of `slide` seconds."""
+    """Sliding windows of a key with more events than the limit, on a grid of `slide` seconds: a coarse alarm from a native aggregation. state.stream_violations has the very events."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", f"{seconds} seconds", f"{slide} seconds"), key).agg(F.count("*").alias("n")).where(F.col("n") > limit).select(F.col("window.start").alias("start"), key, "n")
 
 
@@ -108,36 +108,40 @@ def _followed(times: DataFrame, micros: int, tables: Rounds) -> DataFrame:
         tables.drop(f"jump{n - 1}")
 
 
+def _in_order(rows: Iterator[pd.DataFrame], ident: str) -> tuple[pd.DataFrame, np.ndarray]:
+    """All rows of a batch by time and id, and their times."""
+    every = pd.concat(list(rows), ignore_index=True).sort_values(["ts", ident], kind="stable", ignore_index=True)
+    return every, every["ts"].to_numpy("datetime64[us]").astype(np.int64)
+
+
 class _Cooldown(StatefulProcessor):
-    """Value state: the last accepted time of a key."""
+    """Value state: the last accepted time of a key. From each accepted row a search leads to the next."""
 
-    def __init__(self, seconds: int):
-        self.seconds = seconds
+    def __init__(self, seconds: int, key: str):
+        self.micros, self.key = seconds * 1_000_000, key
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "at timestamp")
+        self.last = handle.getValueState("last", "micros long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last = self.last.get()[0] if self.last.exists() else None
-        for part in rows:
-            out = []
-            for r in part.sort_values(["ts", "event_id"]).itertuples():
-                at = r.ts.to_pydatetime()
-                if last is None or at - last >= timedelta(seconds=self.seconds):
-                    last = at
-                    out.append((key[0], r.ts, r.event_id))
-            if out:
-                yield pd.DataFrame(out, columns=["user_id", "ts", "event_id"])
-        if last is not None:
-            self.last.update((last,))
+        every, at = _in_order(rows, "event_id")
+        k = int(np.searchsorted(at, self.last.get()[0] + self.micros)) if self.last.exists() else 0
+        taken = []
+        while k < len(at):
+            taken.append(k)
+            k = max(k + 1, int(np.searchsorted(at, at[k] + self.micros)))
+        if taken:
+            self.last.update((int(at[taken[-1]]),))
+            yield every.iloc[taken][["ts", "event_id"]].assign(**{self.key: key[0]})[[self.key, "ts", "event_id"]]
 
     def close(self) -> None:
         pass
 
 
-def stream_cooldown(events: DataFrame, seconds: int) -> DataFrame:
-    """Streaming form of cooldown, keyed by user_id; rows of a batch are taken in time order."""
-    return events.groupBy("user_id").transformWithStateInPandas(_Cooldown(seconds), "user_id long, ts timestamp, event_id long", "Append", "None")
+def stream_cooldown(events: DataFrame, seconds: int, key: str = "user_id") -> DataFrame:
+    """Streaming form of cooldown; rows of a batch are taken in time order."""
+    kind, ident = (events.schema[c].dataType.simpleString() for c in (key, "event_id"))
+    return events.select(key, "ts", "event_id").groupBy(key).transformWithStateInPandas(_Cooldown(seconds, key), f"`{key}` {kind}, ts timestamp, event_id {ident}", "Append", "None")
 
 
 #: Seconds between two attempts for one notification.
@@ -166,22 +170,24 @@ def outbox_final(jobs: DataFrame, attempts: DataFrame, most: int = 5, retry: int
 
 
 class _Outbox(StatefulProcessor):
-    """State of a job's notification: number of attempts, its status once that is final, and the time of the last attempt that counted."""
+    """State of a job's notification: number of attempts, its status once that is final, and the time of the last attempt that counted. Between attempts that count a search leads on."""
 
     def __init__(self, most: int, retry: int):
-        self.most, self.retry = most, timedelta(seconds=retry)
+        self.most, self.retry = most, retry * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", "attempts int, status string, last timestamp")
+        self.state = handle.getValueState("state", "attempts int, status string, last long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         n, status, last = self.state.get() if self.state.exists() else (0, "pending", None)
-        for part in rows:
-            for r in part.sort_values(["ts", "attempt_id"]).itertuples():
-                at = r.ts.to_pydatetime()
-                if status == "pending" and r.outcome != "new" and (last is None or at - last >= self.retry):
-                    n, last = n + 1, at
-                    status = "sent" if r.outcome == "ok" else "failed" if r.outcome == "gone" or n >= self.most else "pending"
+        every, at = _in_order(rows, "attempt_id")
+        tried = (every["outcome"] != "new").to_numpy()
+        at, outcome = at[tried], every["outcome"].to_numpy()[tried]
+        k = 0 if last is None else int(np.searchsorted(at, last + self.retry))
+        while status == "pending" and k < len(at):
+            n, last = n + 1, int(at[k])
+            status = "sent" if outcome[k] == "ok" else "failed" if outcome[k] == "gone" or n >= self.most else "pending"
+            k = max(k + 1, int(np.searchsorted(at, last + self.retry)))
         self.state.update((n, status, last))
         yield pd.DataFrame({"job_id": [key[0]], "status": [status], "attempts": [n]})
 
@@ -191,7 +197,8 @@ class _Outbox(StatefulProcessor):
 
 def stream_outbox(changes: DataFrame, most: int = 5, retry: int = RETRY_SECONDS) -> DataFrame:
     """Streaming form of outbox_final: rows (job_id, ts, attempt_id, outcome), outcome `new` enqueues; emits a job's state whenever it has rows."""
-    return changes.groupBy("job_id").transformWithStateInPandas(_Outbox(most, retry), "job_id long, status string, attempts int", "Update", "None")
+    kind = changes.schema["job_id"].dataType.simpleString()
+    return changes.groupBy("job_id").transformWithStateInPandas(_Outbox(most, retry), f"job_id {kind}, status string, attempts int", "Update", "None")
 
 
 def outbound_summary(outbox: DataFrame) -> DataFrame:
