@@ -13,6 +13,7 @@ from vacantia.streaming import state as st
 from vacantia.streaming.run import run_available, state_in_rocksdb
 from vacantia.streaming.store import KeyedStore, Merge
 
+pytestmark = pytest.mark.usefixtures("few_partitions")
 T0 = datetime(2026, 8, 1)
 EVENTS = "user_id string, ts timestamp, event_id long"
 
