@@ -3,11 +3,13 @@ import math
 import random
 import re
 
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from vacantia.llm import imatch
 
+pytestmark = pytest.mark.usefixtures("few_partitions")
 DOCS = "doc_id long, text string, unit string, start int"
 
 

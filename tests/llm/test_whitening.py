@@ -1,7 +1,9 @@
 import numpy as np
+import pytest
 
 from vacantia.llm import whitening
 
+pytestmark = pytest.mark.usefixtures("few_partitions")
 SHAPE = "vec_id long, embedding array<float>, label int"
 
 
@@ -26,8 +28,8 @@ def brute(rows, components=4):
 
 def agree(spark, rows):
     df = spark.createDataFrame([(i, v, 0) for i, v in rows], SHAPE).repartition(3)
-    w = whitening.fit(df)
-    got, want = whitening.transform(df, w).collect(), brute(rows)
+    model = whitening.fit(df)
+    got, want = whitening.transform(df, model).collect(), brute(rows)
     assert len(got) == sum(map(len, want.values()))
     flip = {}
     for r in got:
@@ -36,7 +38,7 @@ def agree(spark, rows):
         sign = flip.setdefault(r.component, np.sign(r.whitened * w)) if abs(w) > 1e-6 else 1
         assert abs(r.whitened - (sign or 1) * w) < 1e-8 * (1 + abs(w))
         assert abs(r.explained - share) < 1e-10 and r.identity_error < 1e-9
-    return got, w
+    return got, model
 
 
 def test_against_dense_eigenvectors(spark):
