@@ -79,7 +79,11 @@ def stored_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (stream_cooldown, stream_fresh, stream_inventory, stream_observations, stream_outbox, stream_rate, stream_stale, stream_violations, stored_runs)}
 _WATERMARK = "(SELECT max(epoch_us(ts)) - 60000000 FROM events)"
 ORACLE_SQL: dict[str, str] = {
+    "stream_cooldown": result_queries.ORACLE_SQL["cooldown_accepted"],
     "stream_fresh": result_queries.ORACLE_SQL["fresh_status"],
+    # One batch holds all rows, so that each job that was tried is sent once, and of each source its last silence.
+    "stream_outbox": f"SELECT * FROM ({result_queries.ORACLE_SQL['outbox_final']}) o WHERE job_id IN (SELECT user_id FROM events WHERE event_type <> 'view')",
+    "stream_stale": f"SELECT user_id % 40 AS connector_id, max(ts) AS last_run_at FROM events GROUP BY 1 HAVING epoch_us(max(ts)) + 3000000000 <= {_WATERMARK}",
     "stream_inventory": "SELECT user_id AS listing_id, md5(arg_max(event_type, concat(CAST(ts AS VARCHAR), md5(event_type)))) AS metadata_hash, 'queued' AS hydration_status, CAST(NULL AS TIMESTAMP) AS hydrated_at, min(ts) AS first_seen_at, max(ts) AS last_seen_at FROM events GROUP BY user_id",
     "stream_violations": f"SELECT v.event_id, v.user_id, v.in_window FROM ({result_queries.ORACLE_SQL['rate_violations']}) v JOIN events e USING (event_id) WHERE (epoch_us(e.ts) // 3600000000 + 1) * 3600000000 <= {_WATERMARK}",
     "stream_observations": """WITH o AS (SELECT user_id AS job_id, event_id, ts, event_type IN ('click', 'signup') AS official, CASE WHEN event_id % 4 = 0 THEN '' ELSE concat('title ', event_type, event_id % 97) END AS title, CASE WHEN event_type = 'signup' THEN concat('place ', event_id % 31) ELSE '' END AS location, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)

@@ -118,3 +118,6 @@ def tailored_lost(spark: SparkSession, sf_dir: str) -> DataFrame:
     gone = profiles(spark, sf_dir).where("profile_id % 3 = 0").select("profile_id", F.md5(F.concat(F.lit("gone "), F.col("profile_id").cast("string"))).alias("line_id"))
     proven = lines.where("pos = 3").select("profile_id", "line_id").union(gone)
     return mt.tailor_profile(lines, proven)[1]
+
+
+ORACLE_SQL["model_merge"] = ORACLE_SQL["model_results"]
