@@ -3,7 +3,9 @@
 import random
 import time
 from datetime import datetime, timedelta
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -39,6 +41,46 @@ def test_violations_in_any_order(spark, tmp_path):
     assert key(got) == key(want) and len(key(want)) > 100
 
 
+class OneKey:
+    """The state and timers of one key, and how often a processor turned to them."""
+
+    def __init__(self):
+        self.rows, self.timers, self.calls = {}, set(), 0
+
+    def getMapState(self, *_, **__):
+        called = lambda f: lambda *a: (setattr(self, "calls", self.calls + 1), f(*a))[1]
+        return SimpleNamespace(updateValue=called(self.rows.__setitem__), removeKey=called(self.rows.pop), iterator=called(lambda: iter(list(self.rows.items()))))
+
+    def getValueState(self, *_, **__):
+        was = []
+        return SimpleNamespace(exists=lambda: bool(was), get=lambda: was[0], update=lambda v: was.__setitem__(slice(None), [v]), clear=was.clear)
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.discard(at)
+
+
+def test_violations_settle_all_buckets_of_a_key_at_once(spark):
+    """The calls to the state grow with batches and not with the buckets that a key's events lie in, and no state is left."""
+    r, handle, rate = random.Random(7), OneKey(), st._Rate(60_000_000, 2, "user_id", "bigint")
+    rate.init(handle)
+    at, got = [r.randrange(300 * 60) * 1_000_000 + r.randrange(2) for _ in range(900)], []
+    for k, watermark in enumerate((0, 7_000_000, 60_000_000_000)):
+        batch = pd.DataFrame({"ts": pd.to_datetime([t for j, t in enumerate(at) if j % 3 == k and t >= 7_000_000_000 * (k == 2)], unit="us"), "event_id": [j for j, t in enumerate(at) if j % 3 == k and t >= 7_000_000_000 * (k == 2)]})
+        rate.handleInputRows(("a",), iter([batch]), None)
+        while due := sorted(t for t in handle.timers if t <= watermark):
+            handle.timers.discard(due[0])
+            now = SimpleNamespace(getCurrentWatermarkInMs=lambda w=watermark: w)
+            got += [x for df in rate.handleExpiredTimer(("a",), now, SimpleNamespace(getExpiryTimeInMs=lambda d=due[0]: d)) for x in zip(df["event_id"], df["in_window"], strict=True)]
+    seen = [(j, t) for j, t in enumerate(at) if j % 3 < 2 or t >= 7_000_000_000]
+    want = [(j, n) for j, t in seen if (n := sum(t - 60_000_000 < u <= t for _, u in seen)) > 2]
+    assert sorted(got) == want and want and not handle.rows and not handle.timers
+    assert handle.calls < 30
+
+
 def test_fresh_verdicts_in_any_order(spark, tmp_path):
     r = random.Random(4)
     schema = "job_id long, ts timestamp, check_id long, verdict string"

@@ -16,9 +16,9 @@ def _micros(ts: pd.Series) -> np.ndarray:
 
 
 class _Rate(StatefulProcessor):
-    """Events of a key by buckets of the window's length. When the watermark has passed a bucket's end, its events and those of the bucket before settle its counts.
+    """Events of a key, counted when the watermark has passed the end of their bucket of the window's length. One timer a key stands at the end of its first bucket that is open.
 
-    Each batch adds parts to the buckets it reaches, so no value of the state is rewritten; a bucket goes when the one after it has been settled.
+    Each batch adds one part with all of a key's rows; a timer settles all buckets that have ended by then at once, and keeps what is open and one window before it. Parts that lose no row aren't rewritten.
     """
 
     def __init__(self, window: int, limit: int, key: str, ident: str):
@@ -26,39 +26,54 @@ class _Rate(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.parts = handle.getMapState("parts", "bucket long, part long", f"times binary, ids array<{self.ident}>")
-        self.count = handle.getValueState("count", "n long")
+        self.parts = handle.getMapState("parts", "part long", f"times binary, ids array<{self.ident}>")
+        self.known = handle.getValueState("known", "n long, settled long, due long")  # parts so far, the time before which events are counted, the timer
+
+    def _end(self, at: int) -> int:
+        return (at // self.window + 1) * self.window
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        n = self.count.get()[0] if self.count.exists() else 0
+        n, settled, due = self.known.get() if self.known.exists() else (0, None, None)
+        had = due
         for part in rows:
             at = _micros(part["ts"])
-            for bucket in np.unique(at // self.window).tolist():
-                mine = at // self.window == bucket
-                self.parts.updateValue((bucket, n), (at[mine].tobytes(), part["event_id"].to_numpy()[mine].tolist()))
-                self.handle.registerTimer((bucket + 1) * self.window // 1000)
-                n += 1
-        self.count.update((n,))
+            self.parts.updateValue((n,), (at.tobytes(), part["event_id"].to_numpy().tolist()))
+            n, first = n + 1, self._end(int(at.min()))
+            due = first if due is None else min(due, first)
+        self._wait(had, n, settled, due)
         return iter(())
 
+    def _wait(self, had: int | None, n: int, settled: int | None, due: int) -> None:
+        if due != had:
+            if had is not None:
+                self.handle.deleteTimer(had // 1000)
+            self.handle.registerTimer(due // 1000)
+        self.known.update((n, settled, due))
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        bucket = expiredTimerInfo.getExpiryTimeInMs() * 1000 // self.window - 1
-        kept = [(tuple(k), v) for k, v in self.parts.iterator()]
-        own = [v for k, v in kept if k[0] == bucket]
-        times = np.concatenate([np.frombuffer(v[0], np.int64) for v in own] or [np.zeros(0, np.int64)])
-        every = np.sort(np.concatenate([times, *(np.frombuffer(v[0], np.int64) for k, v in kept if k[0] == bucket - 1)]))
-        ids = [i for v in own for i in v[1]]
-        if own:
-            self.handle.registerTimer((bucket + 2) * self.window // 1000)  # by then nothing needs this bucket
-        for k, v in kept:
-            if k[0] < bucket and not len(v[1]):
-                self.parts.removeKey(k)
-            elif k[0] == bucket and len(v[1]):
-                self.parts.updateValue(k, (v[0], []))  # only its times are needed any more
-        inside = np.searchsorted(every, times, "right") - np.searchsorted(every, times - self.window, "right")
-        over = np.flatnonzero(inside > self.limit)
-        if len(over):
-            yield pd.DataFrame({self.key: [key[0]] * len(over), "event_id": [ids[k] for k in over], "ts": times[over].astype("datetime64[us]"), "in_window": inside[over]})
+        n, settled, _ = self.known.get()
+        end = timerValues.getCurrentWatermarkInMs() * 1000 // self.window * self.window
+        kept = [(k[0], np.frombuffer(v[0], np.int64), v[1]) for k, v in self.parts.iterator()]
+        every = np.concatenate([at for _, at, _ in kept] or [np.zeros(0, np.int64)])
+        new = np.flatnonzero((every < end) & (every >= settled) if settled is not None else every < end)
+        if len(new):
+            times, inorder = every[new], np.sort(every)
+            inside = np.searchsorted(inorder, times, "right") - np.searchsorted(inorder, times - self.window, "right")
+            over = np.flatnonzero(inside > self.limit)
+            if len(over):
+                ids = [i for _, _, part in kept for i in part]
+                yield pd.DataFrame({self.key: [key[0]] * len(over), "event_id": [ids[k] for k in new[over]], "ts": times[over].astype("datetime64[us]"), "in_window": inside[over]})
+        for k, at, ids in kept:
+            stay = at >= end - self.window
+            if not stay.any():
+                self.parts.removeKey((k,))
+            elif not stay.all():
+                self.parts.updateValue((k,), (at[stay].tobytes(), [ids[j] for j in np.flatnonzero(stay)]))
+        if not (every >= end - self.window).any():
+            self.known.clear()
+            return
+        still = every[every >= end]
+        self._wait(None, n, end, self._end(int(still.min())) if len(still) else end + self.window)  # at last, when nothing needs the window before
 
     def close(self) -> None:
         pass
@@ -70,7 +85,7 @@ def stream_violations(events: DataFrame, seconds: int, limit: int, key: str, lat
     Rows may come in any order within `late`. An event is sent when the watermark has passed the bucket of the window's length that holds it.
     """
     kind, ident = (events.schema[c].dataType.simpleString() for c in (key, "event_id"))
-    keyed = events.select(key, "ts", "event_id").withWatermark("ts", late).groupBy(key)
+    keyed = events.select(key, "ts", "event_id").where("ts is not null").withWatermark("ts", late).groupBy(key)
     return keyed.transformWithStateInPandas(_Rate(seconds * 1_000_000, limit, key, ident), f"`{key}` {kind}, event_id {ident}, ts timestamp, in_window long", "Append", "EventTime")
 
 
