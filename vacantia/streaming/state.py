@@ -101,14 +101,16 @@ class _Fresh(StatefulProcessor):
         self.newest = handle.getValueState("newest", schema) if self.by_events else handle.getValueState("newest", schema, ttlDurationMs=self.millis)
 
     def _row(self, key, at: int, check_id, verdict: str | None) -> pd.DataFrame:
-        return pd.DataFrame({"job_id": [key[0]], "verdict": pd.Series([verdict], dtype=object), "ts": np.array([at]).astype("datetime64[us]"), "check_id": [check_id], "expires_at": np.array([at + self.millis * 1000]).astype("datetime64[us]")})
+        return pd.DataFrame({"job_id": [key[0]], "verdict": np.array([verdict], dtype=object), "ts": np.array([at], "datetime64[us]"), "check_id": [check_id], "expires_at": np.array([at + self.millis * 1000], "datetime64[us]")})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         had = tuple(self.newest.get()) if self.newest.exists() else None
         now = had
         for part in rows:
-            part = part.assign(at=_micros(part["ts"])).sort_values(["at", "check_id"])
-            last = (int(part["at"].iloc[-1]), part["check_id"].iloc[-1].item() if hasattr(part["check_id"].iloc[-1], "item") else part["check_id"].iloc[-1], part["verdict"].iloc[-1])
+            at, idents = _micros(part["ts"]), part["check_id"].to_numpy()
+            latest = np.flatnonzero(at == at.max()).tolist()  # of equal times the greatest check_id counts
+            k = max(latest, key=idents.__getitem__)
+            last = (int(at[k]), idents[k].item() if hasattr(idents[k], "item") else idents[k], part["verdict"].iat[k])
             now = last if now is None or last[:2] > now[:2] else now
         if now == had:
             return
