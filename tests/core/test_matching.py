@@ -73,6 +73,27 @@ def test_scores_and_letters(spark):
     assert "- SQL reporting for audit teams\n- Built Excel models" in letters[0].letter and letters[0].letter.startswith("Dear Hiring Manager")
 
 
+def test_profiles_are_not_broadcast(spark):
+    """However small the planner takes them for, profiles and their proofs are joined by shuffle."""
+    jobs, x = scored(spark)
+    plan = x._jdf.queryExecution().sparkPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join [profile_id" in line or "Join [ask" in line and "xxhash64" in line]
+    assert joins and not any("Broadcast" in line for line in joins)
+
+
+def test_terms_are_looked_for_once_a_text(spark):
+    rnd = random.Random(6)
+    texts = [("Excel", "SQL for audit"), ("Excel\nSQL", "for audit"), ("SQL", None), (None, None), ("Clerk", "tea"), ("Audit", "excel and sql")]
+    rows = [(i, *rnd.choice(texts)) for i in rnd.sample(range(1000), 300)]
+    jobs = spark.createDataFrame(rows, "posting_id long, title string, description string").repartition(5)
+    people = spark.createDataFrame([(1, ["Excel", "SQL"]), (2, ["audit"]), (3, ["Tableau"])], "profile_id long, terms array<string>")
+    every = matching.term_sets(jobs, "posting_id", F.concat_ws("\n", "title", "description"))
+    few = matching.offered_sets(jobs, cheap=7)
+    assert few.count() <= 7 * len(texts) < every.count()
+    pairs = [sorted(map(tuple, matching.likely_pairs(sets, people, 7).collect())) for sets in (few, every)]
+    assert pairs[0] == pairs[1] and len(pairs[0]) == 14
+
+
 def test_feed_orders_and_unions(spark):
     feed = spark.createDataFrame([(1, "B", "2024-01-01"), (2, "A", "2024-01-01"), (3, "C", "2024-02-01"), (4, "D", None)], "posting_id long, company string, posted_at string")
     scores = spark.createDataFrame([(4, 10), (9, 99)], "posting_id long, score int")

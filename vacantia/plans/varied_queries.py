@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vacantia.operators import classify as c
 from vacantia.operators import matching as mt
-from vacantia.plans.inputs import POSTINGS, pick, postings
+from vacantia.plans.inputs import POSTINGS, dealt, pick, postings
 from vacantia.plans.page_queries import pages
 from vacantia.plans.postings_queries import _CLASSIFIED
 from vacantia.plans.result_queries import _NORM, PROFILES, _list, profiles
@@ -38,7 +38,7 @@ _LINES = f"""v AS (SELECT c_custkey AS profile_id, {_CV} AS text FROM customer),
 
 
 def varied_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("c_custkey as profile_id", f"{_CV} as text")
+    return dealt(spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey"), "c_custkey").selectExpr("c_custkey as profile_id", f"{_CV} as text")
 
 
 @query(f"WITH {_LINES} SELECT profile_id, pos, line, section FROM s")
