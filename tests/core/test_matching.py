@@ -73,12 +73,15 @@ def test_scores_and_letters(spark):
     assert "- SQL reporting for audit teams\n- Built Excel models" in letters[0].letter and letters[0].letter.startswith("Dear Hiring Manager")
 
 
-def test_profiles_are_not_broadcast(spark):
-    """However small the planner takes them for, profiles and their proofs are joined by shuffle."""
-    jobs, x = scored(spark)
-    plan = x._jdf.queryExecution().sparkPlan().toString()
-    joins = [line for line in plan.splitlines() if "Join [profile_id" in line or "Join [ask" in line and "xxhash64" in line]
-    assert joins and not any("Broadcast" in line for line in joins)
+def test_profiles_are_not_broadcast(spark, tmp_path):
+    """However small the planner takes their file for, profiles and their proofs are joined by shuffle."""
+    spark.createDataFrame(PEOPLE, "profile_id long, text string").write.parquet(str(tmp_path / "people"))
+    spark.createDataFrame(JOBS, "posting_id long, title string, company string, location string, description string").write.parquet(str(tmp_path / "jobs"))
+    jobs, people = spark.read.parquet(str(tmp_path / "jobs")), spark.read.parquet(str(tmp_path / "people"))
+    pairs = spark.createDataFrame([(1, 1, 2)], "profile_id long, posting_id long, shared long")
+    x = matching.scored_pairs(pairs, matching.extract_requirements(jobs), matching.profile_terms(matching.profile_lines(people)), jobs, people)
+    joins = [line for line in x._jdf.queryExecution().sparkPlan().toString().splitlines() if "Join [profile_id" in line]
+    assert len(joins) == 2 and not any("Broadcast" in line for line in joins)
 
 
 def test_terms_are_looked_for_once_a_text(spark):
