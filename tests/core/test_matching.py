@@ -167,3 +167,26 @@ def test_names_of_employers_and_places(spark):
     df = spark.createDataFrame([("77-7777356 Default Company for India", "Wells Fargo Bank", "https://wf.wd1.myworkdayjobs.com/WellsFargoJobs/job/pune/1", "111442-IND-BENGALURU-INTL BLR"), (None, "", "https://jobs.acme.com/", None)], "legal string, site string, url string, place string")
     r = df.select(names.brand(F.col("site"), F.col("legal"), names.employer_from_path(F.col("url")), names.employer_from_host(host(F.col("url")))).alias("b"), names.clean_place(F.col("place")).alias("p"), names.place_from_path(F.col("url")).alias("u"), names.company_key(F.col("site")).alias("k")).collect()
     assert [tuple(x) for x in r] == [("Wells Fargo Bank", "Bengaluru, India", "pune, India", "wellsfargobank"), ("acme", "", "", "")]
+
+
+def test_normal_of_ascii_and_other_texts(spark):
+    texts = ["".join(map(chr, range(300))), "A\tB  c", "  ", "", None, "C++ & R/S-T #1 50% (x)_y", "İstanbul Kelvin", "a\u0000b"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    plain = F.trim(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "[^a-z0-9+#.&%/-]+", " "))
+    assert df.where(~matching.normal(F.col("text")).eqNullSafe(plain)).count() == 0
+
+
+def test_requirements_once_a_text_and_repeated_ids(spark):
+    """Requirements are looked for once a text, without a window over all of them; rows that share a posting_id are one posting."""
+    duties = "Must have 3-5 years of Excel and sql\nMust have 3-5 years of excel and SQL!\nknowledge of the Power  BI"
+    rows = [(k, "Risk Analyst", duties, "Pune") for k in range(40)] + [(41, None, None, None), (42, "Audit", "", "!!"), (42, "Audit", "", "Goa"), (43, "Audit", None, "Goa"), (43, "Audit", None, "Goa")]
+    jobs = spark.createDataFrame(rows, "posting_id long, title string, description string, location string")
+    got = {}
+    for r in matching.extract_requirements(jobs).orderBy("posting_id", "no").collect():
+        got.setdefault(r.posting_id, []).append((r.no, r.label, r.type))
+    want = [(1, "risk", "skill"), (2, "Excel", "skill"), (3, "SQL", "skill"), (4, "Power BI", "skill"), (5, "Must have 3-5 years of Excel and sql", "requirement"), (6, "knowledge of the Power  BI", "responsibility"), (7, "3-5 years", "experience"), (8, "Pune", "location")]
+    assert [got[k] for k in range(40)] == [want] * 40
+    assert got[42] == [(1, "audit", "skill"), (2, "!!", "location"), (3, "Goa", "location")] and got[43] == [(1, "audit", "skill"), (2, "Goa", "location")] and 41 not in got
+    plan = matching.extract_requirements(jobs.where("posting_id < 40"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Aggregate [title" in plan
+    assert "Aggregate [title" not in matching.judged_once(jobs, ("title",), lambda df: df.withColumn("n", F.length("title")), most=1)._jdf.queryExecution().optimizedPlan().toString()
