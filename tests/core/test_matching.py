@@ -190,3 +190,14 @@ def test_requirements_once_a_text_and_repeated_ids(spark):
     plan = matching.extract_requirements(jobs.where("posting_id < 40"))._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and "Aggregate [title" in plan
     assert "Aggregate [title" not in matching.judged_once(jobs, ("title",), lambda df: df.withColumn("n", F.length("title")), most=1)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_profile_scores_take_no_window_and_merge_repeated_ids(spark):
+    """The lines of a profile are judged within its row; rows that share an id count each other's lines, and rows without id have none."""
+    text = "Ana\nSkills:\nBuilt models for 3 clients\n## Projects\nReduced costs by 12%\n \nAwards |"
+    people = spark.createDataFrame([(1, text), (2, "Ben"), (2, "Education\r\nLed 4 projects"), (None, text), (3, None), (4, text)], "profile_id long, text string")
+    scores = matching.score_profiles(people)
+    got = sorted((r.profile_id or 0, r.words, r.sections, r.section_score, r.evidence_score, r.ats_score) for r in scores.collect())
+    assert got == [(0, 14, 0, 0, 0, 0), (1, 14, 3, 19, 5, 8), (2, 1, 1, 6, 4, 0), (2, 4, 1, 6, 4, 0), (3, 0, 0, 0, 0, 0), (4, 14, 3, 19, 5, 8)], got
+    plan = matching.score_profiles(people.where("profile_id in (1, 4)"))._jdf.queryExecution().toString()
+    assert "Window" not in plan and "Exchange" not in plan
