@@ -104,10 +104,11 @@ _NEW, _OLD = "posting_id % 4 = 1", "posting_id % 2 = 1 AND posting_id % 3 <> 0"
 @query(_CLASSIFIED + f" SELECT posting_id, CASE WHEN match_tier <> 'possible' THEN domain_status WHEN {_NEW} THEN 'exact' WHEN {_OLD} THEN 'likely' ELSE domain_status END AS domain_status, CASE WHEN match_tier = 'possible' AND ({_NEW} OR {_OLD}) THEN 'zero_to_two' ELSE experience_status END AS experience_status, CASE WHEN match_tier <> 'possible' THEN 'deterministic' WHEN {_NEW} OR {_OLD} THEN 'model' ELSE 'pending' END AS classification_method FROM t")
 def model_results_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fresh results go before cached ones of the present version; those of other versions don't count."""
-    p = c.classify_postings(postings(spark, sf_dir)).withColumn("description_hash", F.md5("description"))
+    jobs = postings(spark, sf_dir).withColumn("description_hash", F.md5("description"))
+    p = c.classify_texts(jobs)
     told = lambda domain, sure: ("posting_id", "description_hash", f"'{domain}' as domain_status", "'zero_to_two' as experience_status", "0.0D as minimum_years", "2.0D as maximum_years", f"{sure}D as confidence", "array(title) as evidence")
-    cache = p.where("posting_id % 2 = 1").selectExpr(*told("likely", 0.99), "case when posting_id % 3 = 0 then 'v1' else 'v2' end as version")
-    merged = mt.merge_model_results(p, p.where(_NEW).selectExpr(*told("exact", 0.8)), cache=cache, version="v2")
+    cache = jobs.where("posting_id % 2 = 1").selectExpr(*told("likely", 0.99), "case when posting_id % 3 = 0 then 'v1' else 'v2' end as version")
+    merged = mt.merge_model_results(p, jobs.where(_NEW).selectExpr(*told("exact", 0.8)), cache=cache, version="v2")
     return merged.select("posting_id", "domain_status", "experience_status", "classification_method")
 
 
