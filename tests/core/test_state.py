@@ -165,3 +165,25 @@ def test_boards_of_many_connectors_are_read_once(spark):
     assert {r.title for r in got.collect()} == {f"T{k}" for k in range(55)} and got.first().category is None
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Generate") == 1 and len(plan) < 20_000
+
+
+def test_groups_of_pending_have_a_node_for_a_key(spark, few_partitions, monkeypatch):
+    """The rounds link the least observations of shared keys: many observations of few keys, and alone ones, add no nodes."""
+    rnd, seen = random.Random(6), []
+    rows = [(k, "Co", f"E{rnd.randrange(12)}" if k % 3 else None, f"T{rnd.randrange(400)}", "", None, f"https://x.example.com/{rnd.randrange(30)}" if k % 5 else "", "") for k in range(600)] + [(None, "Co", "E1", "T", "", None, "", "")]
+    obs = spark.createDataFrame(rows, "obs_id long, company string, employer_job_id string, title string, location string, posted_at timestamp, detail_url string, apply_url string")
+    plain = linking.components
+    monkeypatch.setattr(linking, "components", lambda edges, *rest: seen.append(edges.selectExpr("u as x").union(edges.selectExpr("v")).distinct().count()) or plain(edges, *rest))
+    got = {r.obs_id: r.new_job for r in linking.group_pending(obs).collect()}
+    root, by = list(range(600)), {}
+    for r in rows[:600]:
+        for key in (("e", r[2]) if r[2] else None, ("t", r[3]), ("u", r[6]) if r[6] else None):
+            by.setdefault(key, []).append(r[0]) if key else None
+    find = lambda k: k if root[k] == k else find(root[k])
+    for ids in by.values():
+        for a in ids[1:]:
+            x, y = sorted((find(ids[0]), find(a)))
+            root[y] = x
+    assert got == {k: find(k) for k in range(600)}
+    shared = sum(len(ids) > 1 for ids in by.values())
+    assert seen and seen[0] <= shared < 300
