@@ -4,6 +4,7 @@ import random
 
 import pyarrow.parquet as pq
 
+from vacantia.llm import repeats
 from vacantia.llm.repeats import COVER, V, repeated_spans
 
 
@@ -49,3 +50,41 @@ def test_edges(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as id", "'c' as cls", "2 as bucket")
     assert got(repeated_spans(df)) == brute(docs)
     assert got(repeated_spans(df.limit(0))) == []
+
+
+def test_stretches_in_many_chunks(spark, monkeypatch, few_partitions):
+    """Long repeats settle whole stretches; their parts elsewhere find the copy that speaks for them, in whatever chunk it is."""
+    rnd = random.Random(4)
+    text = lambda n: "".join(rnd.choice("abcdefgh é") for _ in range(n))
+    long = [text(n) for n in (250, 330, 420, 700, 2500)]
+    docs = []
+    for k in range(160):
+        p = long[k % 5]
+        a = rnd.randrange(0, len(p) - 190)
+        part = p if k % 3 else p[a : a + rnd.randrange(190, 520)]
+        docs.append((k, text(rnd.randrange(0, 400)) + part + text(rnd.randrange(0, 300)) + (part if k % 17 == 0 else "")))
+    docs += [(200, "q" * 1500), (201, "xyz" * 300 + text(50)), (202, long[4]), (203, long[4]), (204, text(60) + long[4][300:520])]
+    monkeypatch.setattr(repeats, "CHUNK", 4000)
+    monkeypatch.setattr(repeats, "FILE", 30000)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert got(repeated_spans(df)) == brute(docs)
+
+
+def test_verdicts_by_chunk(spark, monkeypatch):
+    """Verdicts are rows of chunks and buckets, not of texts and buckets: a passage in all texts is named twice a chunk at most."""
+    rnd = random.Random(5)
+    text = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    passage, made = text(320), []
+    docs = [(k, text(60) + passage + text(60)) for k in range(3000)]
+    write = repeats.Scratch.write
+
+    def counted(self, df, name):
+        out = write(self, df, name)
+        if name.startswith("masks"):
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(repeats.Scratch, "write", counted)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert all(r.n_removed >= 320 for r in repeated_spans(df).collect())
+    assert made and max(made) <= 2 * 1024
