@@ -20,12 +20,14 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Texts that share an id are told apart: each is judged in its own group. A document without an id goes if a group of its text's near duplicates has one with an id;
     of those that have none, the one with the smallest hash stays. Null and empty texts, and texts without words, link with nothing and stay, each once for an id.
     """
-    hash_, key = own_names(docs, "text_hash", "text_key")
-    keyed = docs.withColumn(hash_, F.xxhash64("text")).withColumn(key, F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id"), F.lit(0).cast("long")).alias("id"), F.col(hash_).alias("hash")))
-    found = jaccard.near_duplicate_components(keyed.select(F.col(key).alias("doc_id"), "text"), most_blocks=1, largest_block=5000)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
+    none, id_, hash_, row = own_names(docs, "text_none", "text_id", "text_hash", "text_row")
+    keyed = docs.withColumns({none: F.col("doc_id").isNull(), id_: F.coalesce(F.col("doc_id"), F.lit(0).cast("long")), hash_: F.xxhash64("text")})
+    key = F.struct(F.col(none).alias("none"), F.col(id_).alias("id"), F.col(hash_).alias("hash"))
+    found = jaccard.near_duplicate_components(keyed.select(key.alias("doc_id"), "text"), most_blocks=1, largest_block=5000)
+    kept = found.where("doc_id = component_id").selectExpr(f"doc_id.none as {none}", f"doc_id.id as {id_}", f"doc_id.hash as {hash_}").distinct()
     one = F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    return keyed.join(kept, key, "left_semi").groupBy(key).agg(one.alias(hash_)).select(f"{hash_}.*")
+    # Joined and grouped by the same plain columns, so that the texts are shuffled once.
+    return keyed.join(kept, [none, id_, hash_]).groupBy(none, id_, hash_).agg(one.alias(row)).select(f"{row}.*")
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -74,3 +74,11 @@ def test_long_texts_pass_through(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         df = stage(spark, df, SF)
     assert corpus_pipeline.STAGES[-1][1](spark, df, SF).agg({"n_tokens": "sum"}).first()[0] > 0
+
+
+def test_texts_are_shuffled_once_to_the_ones_that_stay(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    plan = corpus_pipeline.one_of_each_group(spark, docs, SF)._jdf.queryExecution().executedPlan().toString().split("\n")
+    grouped = next(k for k, x in enumerate(plan) if "min_by" in x)
+    joined = next(k for k, x in enumerate(plan) if "SortMergeJoin" in x or "HashJoin" in x)
+    assert not [x for x in plan[grouped:joined] if "Exchange" in x]
