@@ -4,6 +4,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow.parquet as pq
 
+from vacantia.llm import topk
 from vacantia.llm.topk import exact_top_k
 
 
@@ -62,3 +63,15 @@ def test_vectors_whose_scores_need_more_than_64_bits(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     assert got(exact_top_k(df, "id % 100 = 0", k=5, block=3, tile=40)) == brute(rows, 5)
     assert (201, 1024 * 1024 * 2_200_000) in [r[2:] for r in got(exact_top_k(df, "id = 200", k=200))]
+
+
+def test_neither_blocks_nor_parts_of_the_sample_pass_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(topk, "SAMPLE", 50)
+    rnd = np.random.default_rng(6)
+    rows = [(k, rnd.normal(size=6).tolist()) for k in range(3000)]
+    df = exact_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "id % 100 = 0", block=10, tile=100)
+    assert got(df) == brute(rows)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Broadcast" not in plan
+    sent = topk.few(spark.createDataFrame([(k, bytes(8)) for k, _ in rows], "id long, v binary"), len(rows)).count()
+    assert 50 <= sent < 400

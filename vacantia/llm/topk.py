@@ -4,8 +4,8 @@ A table holds each candidate's distances to many pivots. For a query, the larges
 distances bounds their distance from below (triangle inequality), and with both lengths the inner product from above. Candidates are
 evaluated in the order of their bounds until the k-th best score lies above all that remain; so results are exact.
 
-Queries are a stated set. Candidates lie packed in tiles, queries packed in blocks; each group of tiles meets each block once, as a join on the group's
-number. Each meeting sends at most k rows a query on.
+Queries are a stated set. Candidates lie packed in tiles, queries packed in blocks; each tile meets each block once, in a product of the two written
+tables. Each meeting sends at most k rows a query on.
 
 Rows that agree in id and vector are one candidate with a number of copies, each of which counts; other rows that share an id are candidates and
 queries of their own. Only a row itself is no candidate of its own query.
@@ -169,14 +169,22 @@ def packed(most: int) -> Callable:
     return run
 
 
+def few(rows: DataFrame, total: int) -> DataFrame:
+    """About four times SAMPLE of the `total` rows (id, v) by their hashes, or all of few: each part of a sort sends its first rows to the driver."""
+    if total <= 4 * SAMPLE:
+        return rows
+    return rows.where(F.pmod(F.xxhash64("id", "v"), F.lit(1 << 40)) < F.lit(4 * SAMPLE * (1 << 40) // total))
+
+
 def exact_top_k(vectors: DataFrame, queries: str, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int = PIVOTS, block: int = QUERY_BLOCK, tile: int = TILE) -> DataFrame:
     """query_id, rank, vec_id, score of the k best other rows for every row that satisfies the SQL condition `queries` on `id`."""
     spark = vectors.sparkSession
     scratch = Scratch(spark)
     numbers = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector")).mapInArrow(whole_numbers, "id long, v binary").groupBy("id", "v").agg(F.count("*").alias("copies"))
     whole = scratch.write(numbers, "numbers")
-    width = whole.agg(F.max(F.expr(f"if({WIDE}, size(split(trim(cast(v as string)), ' ')), length(v) div 8)"))).first()[0] or 0
-    taken = whole.where(f"not {WIDE}").orderBy(F.xxhash64("id", "v"), "id", "v").limit(SAMPLE).toPandas()
+    width, total, asks, wide_asks = whole.agg(F.max(F.expr(f"if({WIDE}, size(split(trim(cast(v as string)), ' ')), length(v) div 8)")), *[F.count_if(F.expr(w)) for w in (f"not {WIDE}", f"not {WIDE} and ({queries})", f"{WIDE} and ({queries})")]).first()
+    width = width or 0
+    taken = few(whole.where(f"not {WIDE}"), total).orderBy(F.xxhash64("id", "v"), "id", "v").limit(SAMPLE).toPandas()
     sample, sample_ids = matrix([bytes(v) for v in taken.v], width), taken.id.to_numpy(np.int64)
     points = choose_pivots(sample, pivots)
     groups = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -188,12 +196,11 @@ def exact_top_k(vectors: DataFrame, queries: str, k: int = 10, id_col: str = "ve
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([d.astype("<f8").tobytes()], pa.binary())], names=["part", "ids", "copies", "v", "d"])
 
     shape = "ids binary, copies binary, v array<binary>"
-    apart = lambda df: [df.where(w).repartition(groups, F.xxhash64("id", "v")) for w in (f"not {WIDE}", WIDE)]
-    tiles = [part.mapInArrow(measured, f"part int, {shape}, d binary") for part in apart(whole)]
-    pivot_table = scratch.write(tiles[0].union(tiles[1]).withColumn("part", F.col("part") % groups), "pivot_table")
-    packs = [part.mapInArrow(packed(block), f"part int, {shape}") for part in apart(whole.where(queries).select("id", "copies", "v"))]
-    blocks = packs[0].union(packs[1])
-    asked = scratch.write(blocks.selectExpr("ids as q_ids", "copies as q_copies", "v as q_v"), "asked").select("*", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"))
+    apart = lambda df, *parts: [df.where(w).repartition(n, F.xxhash64("id", "v")) for w, n in zip((f"not {WIDE}", WIDE), parts, strict=True)]
+    tiles = [part.mapInArrow(measured, f"part int, {shape}, d binary") for part in apart(whole, groups, groups)]
+    pivot_table = scratch.write(tiles[0].union(tiles[1]).drop("part"), "pivot_table")
+    packs = [part.mapInArrow(packed(block), f"part int, {shape}") for part in apart(whole.where(queries).select("id", "copies", "v"), asks // block + 1, wide_asks // block + 1)]
+    asked = scratch.write(packs[0].union(packs[1]).selectExpr("ids as q_ids", "copies as q_copies", "v as q_v"), "asked")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,8 +212,8 @@ def exact_top_k(vectors: DataFrame, queries: str, k: int = 10, id_col: str = "ve
                     n = len(found)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part.ids[q])), pa.array([hashlib.md5(q_v[q]).digest()] * n, pa.binary()), pa.array(np.full(n, part.copies[q])), pa.array(found), pa.array(np.minimum(many, k)), pa.array(scores)], names=["query_id", "of", "asks", "vec_id", "copies", "score"])
 
-    # A pair of packed rows at a time: one tile and one block are all a task holds.
-    pairs = pivot_table.join(asked, "part").select("ids", "copies", "v", "d", "q_ids", "q_copies", "q_v")
+    # Tasks read their tiles and blocks from the written tables: no block is broadcast, copied for groups or shuffled.
+    pairs = pivot_table.hint("shuffle_replicate_nl").crossJoin(asked).select("ids", "copies", "v", "d", "q_ids", "q_copies", "q_v")
     found = pairs.mapInArrow(run, "query_id long, of binary, asks long, vec_id long, copies long, score long")
     each = found.select("query_id", "of", "asks", "vec_id", "score", F.explode(F.expr("sequence(1L, copies)")))
     rank = F.row_number().over(Window.partitionBy("query_id", "of").orderBy(F.desc("score"), "vec_id"))
